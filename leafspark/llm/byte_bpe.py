@@ -5,9 +5,9 @@ its documents as arrays of byte ids; higher-order functions fold the ranked merg
 the block's documents are then put together from the words' ids. Nothing is shuffled, and a block
 holds at most ``block_words`` words or one document.
 
-The rank map is a literal: an array of packed (pair, rank) entries placed by hash and displacement, so
-that a pair is found by two array reads. The fold keeps a word's ids and the ranks of its neighbouring
-pairs; a merge asks for the two new pairs alone. Decoding concatenates the tokens' bytes.
+The rank map is a literal: an array of (pair, rank) entries placed by hash and displacement, so that a
+pair is found by two array reads. The fold keeps a word's ids and the ranks of its neighbouring pairs; a merge
+asks for the two new pairs alone. Decoding concatenates the tokens' bytes.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; any UTF-8 text round-trips; an empty table gives no rows; other
@@ -28,13 +28,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from leafspark.llm.common import short_batches, table
 
-#: More than any rank: a pair that doesn't merge.
-NEVER = 1 << 30
-BUCKET_BITS, SLOT_BITS = 16, 19
-BLOCK_WORDS = 4_000_000
-
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
+#: Ranks and token ids have so many bits; what doesn't merge looks up a greater number.
+RANK_BITS = 17
+NEVER = 1 << RANK_BITS
+#: To the end of an array.
+REST = 1 << 30
+BLOCK_WORDS = 12_000_000
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -43,65 +42,89 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def _xxh64(x: np.ndarray, seed) -> np.ndarray:
     """XXH64 of longs, as the SQL function xxhash64 has it."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
     with np.errstate(over="ignore"):
-        h = np.asarray(seed, dtype=np.uint64) + _P5 + np.uint64(8)
-        h = h ^ (turn(x.astype(np.uint64) * _P2, 31) * _P1)
-        h = turn(h, 27) * _P1 + _P4
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
+        h = np.asarray(seed, dtype=np.uint64) + p5 + np.uint64(8)
+        h = turn(h ^ (turn(x.astype(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
         return h ^ (h >> np.uint64(32))
 
 
 class RankMap:
-    """The pairs of tokens that join to a token, as literal arrays for SQL."""
+    """The pairs of tokens that join to a token, as literal arrays for SQL.
+
+    A pair is one number, left then right. Its hash finds a displacement, and the hash with that the
+    pair's own slot. The entry there is XORed with the pair: what is left is the rank if the pair has
+    one, and NEVER or more if it hasn't.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.pad = max(ranks.values()) + 1
+        if self.pad >= NEVER:
+            raise ValueError("more tokens than the rank map has bits for")
         pairs = {
-            (ranks[token[:k]] << 17) | ranks[token[k:]]: rank
+            left << RANK_BITS | right: rank
             for token, rank in ranks.items()
             for k in range(1, len(token))
-            if token[:k] in ranks and token[k:] in ranks
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
         }
         keys = np.fromiter(pairs.keys(), dtype=np.int64, count=len(pairs))
         values = np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))
-        first = _xxh64(keys, 42)
-        bucket = (first & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
-        self.moves = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        self.entries = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
-        # Every bucket looks for the first displacement that sends its keys to free slots of their own.
-        left = np.argsort(-np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket], kind="stable")
-        for move in range(1 << 16):
-            if not len(left):
-                break
-            slot = (_xxh64(np.full(len(left), move), first[left]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            _, head = np.unique(slot, return_index=True)
-            bad = np.ones(len(left), dtype=bool)
-            bad[head] = False
-            bad |= self.entries[slot] >= 0
-            refused = np.zeros(1 << BUCKET_BITS, dtype=bool)
-            refused[bucket[left[bad]]] = True
-            done = ~refused[bucket[left]]
-            placed = left[done]
-            self.entries[slot[done]] = (keys[placed] << 17) | values[placed]
-            self.moves[bucket[placed]] = move
-            left = left[~done]
-        else:
-            raise ValueError("the rank map does not fit its slots")
-        self.bytes_ = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.slot_bits = max(8, int(len(keys) * 1.15).bit_length())
+        self.bucket_mask = (1 << (self.slot_bits - 2)) - 1
+        self.moves, self.entries = self._placed(keys, values)
+        self.bytes_ = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        #: Of each pair of single bytes.
+        self.first = np.full((256, 256), NEVER, dtype=np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
+
+    def _placed(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashed = _xxh64(keys, 42)
+        bucket = (hashed & np.uint64(self.bucket_mask)).astype(np.int64)
+        moves = np.zeros(self.bucket_mask + 1, dtype=np.int64)
+        entries = np.full(1 << self.slot_bits, 1 << 60, dtype=np.int64)
+        taken = np.zeros(1 << self.slot_bits, dtype=bool)
+        # Every bucket, the fullest first, looks for a displacement that sends its keys to free slots.
+        fullness = np.bincount(bucket)[bucket]
+        for full in np.unique(fullness)[::-1]:
+            left = np.flatnonzero(fullness == full)
+            for move in range(1 << 15):
+                if not len(left):
+                    break
+                slot = (_xxh64(np.full(len(left), move), hashed[left]) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+                head = np.unique(slot, return_index=True)[1]
+                good = np.zeros(len(left), dtype=bool)
+                good[head] = ~taken[slot[head]]
+                refused = np.zeros(self.bucket_mask + 1, dtype=bool)
+                refused[bucket[left[~good]]] = True
+                done = ~refused[bucket[left]]
+                entries[slot[done]] = keys[left[done]] << RANK_BITS | values[left[done]]
+                taken[slot[done]] = True
+                moves[bucket[left[done]]] = move
+                left = left[~done]
+            else:
+                raise ValueError("the rank map does not fit its slots")
+        return moves, entries
 
     @staticmethod
     def _literal(x: np.ndarray) -> Column:
         # One string that the optimizer turns into an array once.
         return F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
 
-    def rank(self, left: Column, right: Column) -> Column:
-        """The rank of the token that two tokens join to, or NEVER."""
-        key = left * F.lit(1 << 17) + right
-        move = F.get(self._literal(self.moves), F.xxhash64(key).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
-        slot = F.shiftrightunsigned(F.xxhash64(key, move), 64 - SLOT_BITS).cast("int")
-        entry = F.get(self._literal(self.entries), slot)
-        return F.when(F.shiftright(entry, 17) == key, entry.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")).otherwise(F.lit(NEVER))
+    def look_up(self, pairs: Column) -> Column:
+        """An array of pairs, each left then right, to their ranks; NEVER or more where there is none."""
+        moves, entries = self._literal(self.moves), self._literal(self.entries)
+
+        def rank(pair: Column) -> Column:
+            move = F.get(moves, F.xxhash64(pair).bitwiseAND(F.lit(self.bucket_mask)).cast("int"))
+            slot = F.shiftrightunsigned(F.xxhash64(pair, move), 64 - self.slot_bits).cast("int")
+            return F.get(entries, slot).bitwiseXOR(F.shiftleft(pair, RANK_BITS))
+
+        return F.transform(pairs, rank)
 
 
 def _let(value: Column, body) -> Column:
@@ -109,57 +132,63 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merged(ids: Column, ranks: RankMap) -> Column:
-    """A word's byte ids (array of int) to its tokens: a fold that joins the least-ranked pair, leftmost
-    first, until none joins."""
-
-    def rank(pair: Column) -> Column:
-        return _let(pair, lambda p: ranks.rank(p["l"].cast("long"), p["r"].cast("long")))
+def merged(word: Column, ranks: RankMap) -> Column:
+    """A word, as its byte ids ``t`` between two pads and the ranks ``r`` of their neighbouring pairs, to
+    its tokens between pads: a fold that joins the least-ranked pair, leftmost first, until none joins."""
 
-    def pair(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("l"), b.alias("r"))
+    def pair(left: Column, right: Column) -> Column:
+        return F.shiftleft(left, RANK_BITS).bitwiseOR(right)
 
     def join(s: Column) -> Column:
-        def at(v: Column) -> Column:
-            t, i, m = s["t"], v["i"], v["m"]
-            after = F.greatest(F.size(t) - i - 1, F.lit(0))
-            before = F.when(i > 1, F.array(rank(pair(F.get(t, i - 2), m)))).otherwise(F.array().cast("array<int>"))
-            behind = F.when(after > 0, F.array(rank(pair(m, F.get(t, i + 1))))).otherwise(F.array().cast("array<int>"))
+        t, r = s["t"], s["r"]
+
+        def at(i: Column) -> Column:
+            # r[i - 1] is the rank of the pair at t[i - 1] and t[i], and the id of what they join to.
+            new = F.get(r, i - 1)
             return F.struct(
-                F.concat(F.slice(t, F.lit(1), i - 1), F.array(m), F.slice(t, i + 2, after)).alias("t"),
-                F.concat(F.slice(s["r"], F.lit(1), F.greatest(i - 2, F.lit(0))), before, behind, F.slice(s["r"], i + 2, F.greatest(after - 1, F.lit(0)))).alias("r"),
+                F.concat(F.slice(t, F.lit(1), i - 1), F.array(new), F.slice(t, i + 2, F.lit(REST))).alias("t"),
+                F.concat(
+                    F.slice(r, F.lit(1), i - 2),
+                    ranks.look_up(F.array(pair(F.get(t, i - 2), new), pair(new, F.get(t, i + 1)))),
+                    F.slice(r, i + 2, F.lit(REST)),
+                ).alias("r"),
             )
 
-        least = F.array_min(s["r"])
-        found = _let(least, lambda m: F.struct(m.alias("m"), F.array_position(s["r"], m).cast("int").alias("i")))
-        return F.when(F.coalesce(least, F.lit(NEVER)) == NEVER, s).otherwise(_let(found, at))
+        return F.when(F.array_min(r) < NEVER, _let(F.array_position(r, F.array_min(r)).cast("int"), at)).otherwise(s)
 
-    first = F.struct(
-        ids.alias("t"),
-        F.when(
-            F.size(ids) > 1,
-            F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(pair(F.get(ids, i), F.get(ids, i + 1)))),
-        ).otherwise(F.array().cast("array<int>")).alias("r"),
-    )
-    steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
-    return F.aggregate(steps, first, lambda s, _: join(s), lambda s: s["t"])
+    return F.aggregate(F.sequence(F.lit(3), F.size(word["r"])), word, lambda s, _: join(s), lambda s: s["t"])
 
 
-def _pack(byte_ids: np.ndarray, block_words: int, schema: pa.Schema):
+def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
     """Arrow batches of (doc_id, words) to one row a block: its documents, their words by number, and
-    the byte ids of the distinct words."""
-
-    def block(ids: list, words: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
-        coded = pa.concat_arrays(words).cast(pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary
-        offsets = np.frombuffer(distinct.buffers()[1], dtype=np.int64, count=len(distinct) + 1 + distinct.offset)[distinct.offset :] if len(distinct) else np.zeros(1, dtype=np.int64)
-        raw = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(distinct) else np.zeros(0, dtype=np.uint8)
-        tokens = pa.ListArray.from_arrays((offsets - offsets[0]).astype(np.int32), byte_ids[raw])
-        numbers = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        all_ids = pa.concat_arrays(ids)
+    the distinct words as the fold begins with them."""
+    byte_ids, first, pad = ranks.bytes_, ranks.first, ranks.pad
+
+    def block(ids: list, words: list[pa.DictionaryArray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        coded = pa.chunked_array(words).unify_dictionaries()
+        distinct = coded.chunk(0).dictionary.cast(pa.large_binary())
+        n = len(distinct)
+        offsets = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[: n + 1] if n else np.zeros(1, dtype=np.int64)
+        raw = np.frombuffer(distinct.buffers()[2] or b"", dtype=np.uint8)[: offsets[-1]]
+        size = np.diff(offsets)
+        # Pads stand before and after each word; a rank stands between any two neighbours.
+        place = np.arange(len(raw)) + 2 * np.repeat(np.arange(n), size) + 1
+        t = np.full(len(raw) + 2 * n, pad, dtype=np.int64)
+        t[place] = byte_ids[raw]
+        r = np.full(len(raw) + n, NEVER, dtype=np.int64)
+        inner = np.ones(max(len(raw) - 1, 0), dtype=bool)
+        inner[offsets[1:-1] - 1] = False
+        pairs = np.flatnonzero(inner)
+        r[pairs + np.repeat(np.arange(n), size)[pairs] + 1] = first[raw[pairs], raw[pairs + 1]]
+        steps = np.arange(n + 1)
+        state = pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays((offsets + 2 * steps).astype(np.int32), t), pa.ListArray.from_arrays((offsets + steps).astype(np.int32), r)],
+            fields=list(schema.field("words").type.value_type),
+        )
+        numbers = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]).astype("<i4")
+        one = lambda x, i: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=schema.field(i).type)
         return pa.RecordBatch.from_arrays(
-            [one(all_ids), one(pa.array(np.concatenate(counts), pa.int32())), pa.array([numbers.tobytes()], pa.binary()), one(tokens)], schema=schema
+            [one(pa.concat_arrays(ids), 0), one(pa.array(np.concatenate(counts), pa.int32()), 1), pa.array([numbers.tobytes()], pa.binary()), one(state, 3)], schema=schema
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +200,7 @@ def _pack(byte_ids: np.ndarray, block_words: int, schema: pa.Schema):
                 yield block(ids, words, counts)
                 ids, words, counts, total = [], [], [], 0
             ids.append(batch.column(0))
-            words.append(flat)
+            words.append(flat.dictionary_encode())
             counts.append(lists.value_lengths().to_numpy(zero_copy_only=False))
             total += len(flat)
         if ids:
@@ -189,8 +218,9 @@ def _unpack(schema: pa.Schema):
                 docs, counts, numbers, tokens = (batch.column(c)[k] for c in range(4))
                 tokens, number = tokens.values, np.frombuffer(numbers.as_py(), dtype="<i4")
                 flat = tokens.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                size = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                start = np.cumsum(size) - size
+                # Less the pads around each word.
+                padded = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                size, start = padded - 2, np.cumsum(padded) - padded + 1
                 per_doc = np.concatenate([[0], np.cumsum(counts.values.to_numpy(zero_copy_only=False))])
                 values = docs.values
                 for at in range(0, len(values), 256):
@@ -215,18 +245,22 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     short_batches(docs.sparkSession)
     ranks = RankMap(load_ranks(path))
+    # A word is folded once a task, so tasks take several splits where there are more than cores.
+    parts = docs.rdd.getNumPartitions()
+    docs = docs.coalesce(max(1, min(parts, max(docs.sparkSession.sparkContext.defaultParallelism, parts // 4))))
     kind = docs.schema[id_col].dataType
     # (?U): white space, letters and numbers by Unicode.
     words = docs.select(
         F.col(id_col).alias("doc_id"),
         F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"),
     )
+    word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
     packed = StructType([
         StructField("docs", ArrayType(kind)), StructField("counts", ArrayType(IntegerType())),
-        StructField("numbers", BinaryType()), StructField("words", ArrayType(ArrayType(IntegerType()))),
+        StructField("numbers", BinaryType()), StructField("words", ArrayType(word)),
     ])
     out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
-    blocks = words.mapInArrow(_pack(ranks.bytes_, block_words, to_arrow_schema(packed)), packed)
+    blocks = words.mapInArrow(_pack(ranks, block_words, to_arrow_schema(packed)), packed)
     tokens = blocks.select("docs", "counts", "numbers", F.transform("words", lambda w: merged(w, ranks)).alias("tokens"))
     return tokens.mapInArrow(_unpack(to_arrow_schema(out)), out)
 

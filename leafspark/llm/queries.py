@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of the operators' numbers.
-MODULES = ("simhash", "exact_dedup")
+MODULES = ("mixing", "simhash", "exact_dedup", "quality", "byte_bpe")
 
 
 def _merged(name: str) -> dict:
