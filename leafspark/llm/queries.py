@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of the operators' numbers.
-MODULES = ("mixing", "simhash", "exact_dedup", "merkle", "quality", "pii", "byte_bpe", "token_files")
+MODULES = ("html_text", "mixing", "simhash", "exact_dedup", "merkle", "quality", "pii", "byte_bpe", "token_files")
 
 
 def _merged(name: str) -> dict:
