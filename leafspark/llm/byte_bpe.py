@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from leafspark.llm.common import short_batches, table
 
@@ -33,7 +33,9 @@ RANK_BITS = 17
 NEVER = 1 << RANK_BITS
 #: To the end of an array.
 REST = 1 << 30
-BLOCK_WORDS = 12_000_000
+BLOCK_WORDS = 8_000_000
+#: Words in one row of the fold.
+CHUNK = 1_000
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -160,36 +162,52 @@ def merged(word: Column, ranks: RankMap) -> Column:
 
 
 def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
-    """Arrow batches of (doc_id, words) to one row a block: its documents, their words by number, and
-    the distinct words as the fold begins with them."""
+    """Arrow batches of (doc_id, words), a block at a time: rows with a thousand of the block's distinct
+    words each, as the fold begins with them, then a row a document with its words by number."""
     byte_ids, first, pad = ranks.bytes_, ranks.first, ranks.pad
-
-    def block(ids: list, words: list[pa.DictionaryArray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        coded = pa.chunked_array(words).unify_dictionaries()
-        distinct = coded.chunk(0).dictionary.cast(pa.large_binary())
-        n = len(distinct)
-        offsets = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[: n + 1] if n else np.zeros(1, dtype=np.int64)
-        raw = np.frombuffer(distinct.buffers()[2] or b"", dtype=np.uint8)[: offsets[-1]]
+    state_type = schema.field("words").type.value_type
+
+    def starts(words: pa.Array) -> pa.Array:
+        words = words.cast(pa.large_binary())
+        n = len(words)
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + n + 1]
+        raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
         size = np.diff(offsets)
+        word = np.repeat(np.arange(n), size)
         # Pads stand before and after each word; a rank stands between any two neighbours.
-        place = np.arange(len(raw)) + 2 * np.repeat(np.arange(n), size) + 1
         t = np.full(len(raw) + 2 * n, pad, dtype=np.int64)
-        t[place] = byte_ids[raw]
+        t[np.arange(len(raw)) + 2 * word + 1] = byte_ids[raw]
         r = np.full(len(raw) + n, NEVER, dtype=np.int64)
-        inner = np.ones(max(len(raw) - 1, 0), dtype=bool)
-        inner[offsets[1:-1] - 1] = False
+        inner = np.ones(len(raw), dtype=bool)
+        inner[offsets[1:] - 1] = False
         pairs = np.flatnonzero(inner)
-        r[pairs + np.repeat(np.arange(n), size)[pairs] + 1] = first[raw[pairs], raw[pairs + 1]]
+        r[pairs + word[pairs] + 1] = first[raw[pairs], raw[pairs + 1]]
         steps = np.arange(n + 1)
-        state = pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays((offsets + 2 * steps).astype(np.int32), t), pa.ListArray.from_arrays((offsets + steps).astype(np.int32), r)],
-            fields=list(schema.field("words").type.value_type),
-        )
-        numbers = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]).astype("<i4")
-        one = lambda x, i: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=schema.field(i).type)
-        return pa.RecordBatch.from_arrays(
-            [one(pa.concat_arrays(ids), 0), one(pa.array(np.concatenate(counts), pa.int32()), 1), pa.array([numbers.tobytes()], pa.binary()), one(state, 3)], schema=schema
-        )
+        lists = [pa.ListArray.from_arrays((offsets + k * steps).astype(np.int32), x) for k, x in ((2, t), (1, r))]
+        return pa.StructArray.from_arrays(lists, fields=list(state_type))
+
+    def block(ids: list, words: list[pa.DictionaryArray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array(words).unify_dictionaries()
+        distinct = coded.chunk(0).dictionary
+        for at in range(0, max(len(distinct), 1), 16 * CHUNK):
+            part = distinct.slice(at, 16 * CHUNK)
+            n = -(-len(part) // CHUNK) or 1
+            ends = np.minimum(np.arange(n + 1) * CHUNK, len(part)).astype(np.int32)
+            state = starts(part) if len(part) else pa.array([], state_type)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at == 0] + [False] * (n - 1)), pa.nulls(n, schema.field(1).type), pa.nulls(n, pa.binary()),
+                 pa.ListArray.from_arrays(ends, state, type=schema.field(3).type)], schema=schema
+            )
+        for docs, chunk, count in zip(ids, coded.chunks, counts, strict=True):
+            number = chunk.indices.to_numpy(zero_copy_only=False).astype("<i4")
+            ends = np.cumsum(count)
+            for at in range(0, len(docs), 64):
+                part = range(at, min(at + 64, len(docs)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([False] * len(part)), docs.slice(at, len(part)), pa.array([number[ends[i] - count[i] : ends[i]].tobytes() for i in part], pa.binary()),
+                     pa.ListArray.from_arrays(np.zeros(len(part) + 1, np.int32), pa.array([], state_type), type=schema.field(3).type)], schema=schema
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, counts, total = [], [], [], 0
@@ -197,50 +215,70 @@ def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
             lists = batch.column(1)
             flat = lists.flatten()
             if total and total + len(flat) > block_words:
-                yield block(ids, words, counts)
+                yield from block(ids, words, counts)
                 ids, words, counts, total = [], [], [], 0
             ids.append(batch.column(0))
             words.append(flat.dictionary_encode())
             counts.append(lists.value_lengths().to_numpy(zero_copy_only=False))
             total += len(flat)
         if ids:
-            yield block(ids, words, counts)
+            yield from block(ids, words, counts)
 
     return run
 
 
-def _unpack(schema: pa.Schema):
-    """Blocks with their words' tokens to one row a document."""
+def _unpack(schema: pa.Schema, pieces: list[bytes] | None):
+    """Rows of words' tokens and of documents' words by number to one row a document, with the decoded
+    bytes if ``pieces`` are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+        flat, start, size = (np.zeros(0, dtype=np.int64) for _ in range(3))
         for batch in batches:
+            fresh, docs, numbers, tokens = batch.columns
+            keep, out = [], []
             for k in range(batch.num_rows):
-                docs, counts, numbers, tokens = (batch.column(c)[k] for c in range(4))
-                tokens, number = tokens.values, np.frombuffer(numbers.as_py(), dtype="<i4")
-                flat = tokens.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                # Less the pads around each word.
-                padded = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                size, start = padded - 2, np.cumsum(padded) - padded + 1
-                per_doc = np.concatenate([[0], np.cumsum(counts.values.to_numpy(zero_copy_only=False))])
-                values = docs.values
-                for at in range(0, len(values), 256):
-                    ends = per_doc[at : at + 257]
-                    out, lengths = [], []
-                    for a, b in zip(ends, ends[1:], strict=False):
-                        own = number[a:b]
-                        n = size[own]
-                        total = int(n.sum())
-                        # Positions of each word's tokens in flat, word after word.
-                        shift = np.repeat(start[own] - (np.cumsum(n) - n), n)
-                        out.append(flat[shift + np.arange(total)].tobytes())
-                        lengths.append(total)
-                    yield pa.RecordBatch.from_arrays([values[at : at + 256], pa.array(lengths, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+                if fresh[k].as_py():
+                    parts = []
+                if not numbers[k].is_valid:
+                    found = tokens[k].values
+                    padded = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    parts.append((found.flatten().to_numpy(zero_copy_only=False).astype("<u4"), padded))
+                    flat = None
+                    continue
+                if flat is None:
+                    padded = np.concatenate([x[1] for x in parts])
+                    # Less the pads around each word.
+                    flat, size, start = np.concatenate([x[0] for x in parts]), padded - 2, np.cumsum(padded) - padded + 1
+                own = np.frombuffer(numbers[k].as_buffer(), dtype="<i4")
+                n = size[own]
+                # Positions of each word's tokens in flat, word after word.
+                keep.append(k)
+                out.append(flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            if keep:
+                columns = [docs.take(pa.array(keep)), pa.array(map(len, out), pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+                if pieces:
+                    columns.append(pa.array([_joined(pieces, x) for x in out], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
+def _joined(pieces: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(pieces.__getitem__, ids.tolist()))
+
+
+def _pieces(path: str) -> list[bytes]:
+    ranks = load_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, decoded: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), and if
+    asked for ``decoded``, the bytes that the ids decode to."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     short_batches(docs.sparkSession)
@@ -256,21 +294,23 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     )
     word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
     packed = StructType([
-        StructField("docs", ArrayType(kind)), StructField("counts", ArrayType(IntegerType())),
+        StructField("fresh", BooleanType()), StructField("doc_id", kind),
         StructField("numbers", BinaryType()), StructField("words", ArrayType(word)),
     ])
     out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    if decoded:
+        out = out.add("decoded", BinaryType())
     blocks = words.mapInArrow(_pack(ranks, block_words, to_arrow_schema(packed)), packed)
-    tokens = blocks.select("docs", "counts", "numbers", F.transform("words", lambda w: merged(w, ranks)).alias("tokens"))
-    return tokens.mapInArrow(_unpack(to_arrow_schema(out)), out)
+    tokens = blocks.select("fresh", "doc_id", "numbers", F.transform("words", lambda w: merged(w, ranks)).alias("tokens"))
+    return tokens.mapInArrow(_unpack(to_arrow_schema(out), _pieces(path) if decoded else None), out)
 
 
 def decoder(path: str):
     """A function from a column of ids to the bytes they stand for."""
-    pieces = {rank: token for token, rank in load_ranks(path).items()}
+    pieces = _pieces(path)
 
     def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids], dtype=object)
+        return pd.Series([_joined(pieces, np.frombuffer(x, "<u4")) for x in ids], dtype=object)
 
     return F.pandas_udf(run, BinaryType())
 
@@ -279,10 +319,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return coded.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoder(path)("ids"), 256).alias("decoded_sha256")
-    )
+    coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op9_byte_bpe": op9_byte_bpe}
