@@ -49,7 +49,7 @@ def interleave(pages: DataFrame, lead: Column) -> DataFrame:
 def page_ranges(specs: DataFrame) -> DataFrame:
     """``specs(spec, page_count)`` to the pages each names, from 0: parts by comma, semicolon or new
     line; 5, 2-4, 8-, -3, and - for all; ends in either order and clamped to the document."""
-    part = F.explode(F.filter(F.transform(F.split("spec", "[,;\n]"), F.trim), lambda p: p != ""))
+    part = F.explode(F.filter(F.transform(F.split("spec", "[,;\n]"), lambda p: F.trim(p)), lambda p: p != ""))
     found = specs.select("spec", "page_count", part.alias("part"))
     first = F.regexp_extract("part", r"^(\d*)\s*(-?)\s*(\d*)$", 1)
     dash = F.regexp_extract("part", r"^(\d*)\s*(-?)\s*(\d*)$", 2)
@@ -63,7 +63,7 @@ def page_ranges(specs: DataFrame) -> DataFrame:
 
 def bad_ranges(specs: DataFrame) -> DataFrame:
     """Parts that are no page, range or open range."""
-    part = F.explode(F.filter(F.transform(F.split("spec", "[,;\n]"), F.trim), lambda p: p != ""))
+    part = F.explode(F.filter(F.transform(F.split("spec", "[,;\n]"), lambda p: F.trim(p)), lambda p: p != ""))
     return specs.select("spec", part.alias("part")).filter(~F.regexp_like("part", F.lit(r"^(\d+|\d*\s*-\s*\d*)$")))
 
 
