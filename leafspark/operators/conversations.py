@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from leafspark.functions.text import utf8_size
 
-_BACK = Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def message_sizes(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", utf8_size(F.col("text")).cast("long").alias("size"))
 
@@ -17,7 +14,8 @@ def message_sizes(turns: DataFrame) -> DataFrame:
 def compaction_cut(turns: DataFrame, trigger: int, keep: int) -> DataFrame:
     """Conversations over ``trigger`` bytes to the turn their kept tail begins at: the oldest user turn,
     from the end, within ``keep`` bytes, or else the newest user turn."""
-    sized = message_sizes(turns).withColumn("tail", F.sum("size").over(_BACK))
+    back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sized = message_sizes(turns).withColumn("tail", F.sum("size").over(back))
     user = F.col("role") == "user"
     cut = sized.groupBy("conv_id").agg(
         F.sum("size").alias("total"),
