@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from leafspark import registry
@@ -11,7 +12,7 @@ from tests.conftest import SF_DIR
 
 def normal(frame):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         if isinstance(v, float):
             return str(int(v)) if v == int(v) else f"{v:.9g}"
