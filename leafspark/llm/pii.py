@@ -28,13 +28,13 @@ from leafspark.llm.common import broadcast_up_to, staged, table
 #: The key of the query; a caller has a secret one.
 KEY = "example-key"
 #: Between pieces, and the escape of both in a text that holds them.
-CUT, ESCAPE = "", ""
+CUT, ESCAPE = "\ue000", "\ue001"
 
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Doña", "госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин")
 OTHER = ("Dr", "Prof")
-_TITLE = rf"(?:{'|'.join(FEMALE + MALE + OTHER)})\.?[  ]"
-_NAME = r"\p{Lu}[\p{Ll}'’\-]+(?:[  ]\p{Lu}[\p{Ll}'’\-]+)?"
+_TITLE = rf"(?:{'|'.join(FEMALE + MALE + OTHER)})\.?[ \xA0]"
+_NAME = r"\p{Lu}[\p{Ll}'’\-]+(?:[ \xA0]\p{Lu}[\p{Ll}'’\-]+)?"
 
 #: In order of precedence; none matches another's whole text.
 PATTERNS = {
@@ -64,7 +64,7 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    name = F.lower(F.regexp_replace(F.regexp_replace(entity, rf"^{_TITLE}", ""), " ", " "))
+    name = F.lower(F.regexp_replace(F.regexp_replace(entity, rf"^{_TITLE}", ""), r"\xA0", " "))
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", ""))
         .when(kind == "person", name)
@@ -73,7 +73,7 @@ def canonical(kind: Column, entity: Column) -> Column:
 
 
 def gender(entity: Column) -> Column:
-    titled = lambda names: F.regexp_like(entity, F.lit(rf"^(?:{'|'.join(names)})\.?[  ]"))
+    titled = lambda names: F.regexp_like(entity, F.lit(rf"^(?:{'|'.join(names)})\.?[ \xA0]"))
     return F.when(titled(FEMALE), F.lit("f")).when(titled(MALE), F.lit("m"))
 
 

@@ -161,7 +161,8 @@ def decode_blocks(blocks: list[bytes], coder: Coder, slots: np.ndarray) -> np.nd
                 state = coder.freq[s] * (state >> np.uint64(SCALE)) + slot - coder.base[s]
                 low = state < LOW
                 take = np.cumsum(low, axis=1)
-                word = words[np.where(low, place[:, None] + take - 1, 0)]
+                # A damaged block may ask for more words than there are; its checksum tells.
+                word = words[np.minimum(np.where(low, place[:, None] + take - 1, 0), len(words) - 1)]
                 state = np.where(low, state << np.uint64(32) | word, state)
                 place = place + take[:, -1]
         for i, k in enumerate(own):

@@ -1,0 +1,166 @@
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from leafspark.llm import byte_bpe, common, html_text, pii, quality, token_files
+from tests.llm.conftest import ROWS
+
+RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+
+
+def texts():
+    return sorted((str(i), t or "") for i, t, _, _ in ROWS)
+
+
+def test_html_layout():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>Intro <b>bold</b>text<p>One<p hidden>No
+<p>Two<br>three<ul><li>a<li>b<ul><li>b1</ul><li>c</ul><ol start=3><li>x<li value=7>y</ol>
+<table><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>a much longer one<td>4</table><pre>
+ a  b
+   c</pre><div style="display: none">no</div><details><summary>S</summary>hid</details><script>if(a<b)</script>x &lt; y &amp; z <!-- c"""
+    assert html_text.page_text(page) == (
+        "Intro boldtext\n\nOne\n\nTwo\nthree\n\n- a\n- b\n  - b1\n- c\n\n3. x\n7. y\n\n"
+        "Name               Qty\napple              3\na much longer one  4\n\n a  b\n   c\n\nS\n\nx < y & z"
+    )
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "<p title='x", "</p>", "<!--", "<table><td>", "<li>" * 3, "a < b <3 c", "<div " + 'a="' * 50, "<script>x"])
+def test_odd_pages_are_read_to_the_end(page):
+    assert isinstance(html_text.page_text(page), str)
+
+
+def test_deep_and_long_pages():
+    assert html_text.page_text("<div>" * 30000 + "deep") == "deep"
+    assert html_text.page_text("<table><tr><td>" * 200 + "cell").strip() == "cell"
+    assert len(html_text.page_text("<p>x" * 20000).split("\n\n")) == 20000
+
+
+def test_visible_words_survive(spark):
+    pages = common.table(spark, "/root/testdata/sf0.001", "pages").limit(20).toPandas()
+    for page in pages.html:
+        body = re.sub(r"<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->", "", page, flags=re.S)
+        import html as h
+
+        wanted = h.unescape(re.sub(r"<[^>]+>", " ", body)).split()
+        assert html_text.page_text(page).replace("\n- ", "\n").removeprefix("- ").split() == wanted
+
+
+def test_byte_bpe_is_the_librarys(docs):
+    ranks = byte_bpe.load_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # A block of its own for every few words, and one for all.
+    for block in (50, byte_bpe.BLOCK_WORDS):
+        rows = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_words=block, decoded=True).collect()
+        got = sorted((str(r.doc_id), bytes(r.decoded).decode(), np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens) for r in rows)
+        assert got == sorted((i, t, library.encode_ordinary(t), len(library.encode_ordinary(t))) for i, t in texts())
+
+
+def test_decoder_alone(docs):
+    coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    rows = coded.select("doc_id", byte_bpe.decoder(RANKS)("ids").alias("d")).collect()
+    assert sorted((str(r.doc_id), bytes(r.d).decode()) for r in rows) == texts()
+
+
+def test_rank_map_has_every_pair(spark):
+    ranks = byte_bpe.load_ranks(RANKS)
+    table = byte_bpe.RankMap(ranks)
+    pairs = [(ranks[t[:k]] << byte_bpe.RANK_BITS | ranks[t[k:]], r) for t, r in list(ranks.items())[5000:5400] for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    frame = spark.createDataFrame([([p for p, _ in pairs] + [table.pad << byte_bpe.RANK_BITS | 5, 5 << byte_bpe.RANK_BITS | table.pad],)], "p array<bigint>")
+    got = frame.select(table.look_up(F.col("p")).alias("r")).first().r
+    assert got[: len(pairs)] == [r for _, r in pairs]
+    assert all(x >= byte_bpe.NEVER for x in got[len(pairs) :])
+
+
+def test_token_files_round_trip(spark, docs):
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    path = common.new_path(spark, "test-files")
+    token_files.write_files(docs, path, WORDS)
+    rows = token_files.read_files(spark, path).orderBy("start").collect()
+    order = sorted(((i, t or "") for i, t, _, _ in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    at = 0
+    for r, (i, t) in zip(rows, order, strict=True):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (r.doc_id, r.start, bytes(r.ids)) == (i, at, ids.tobytes())
+        at += len(ids)
+
+
+def test_blocks_and_checkpoints():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.geometric(0.01, size=token_files.BLOCK * 2 + 777) - 1, 5000).astype(np.int64)
+    used, counts = np.unique(ids, return_counts=True)
+    freqs = token_files.frequencies(used, counts)
+    assert freqs.sum() == 1 << token_files.SCALE
+    coder = token_files.Coder(used, freqs)
+    blocks = token_files.encode_blocks(ids, coder)
+    assert len(blocks) == 3
+    assert len(token_files.parse_block(blocks[0])[3]) == token_files.STEPS // token_files.CHECK
+    assert (token_files.decode_blocks(blocks, coder, coder.by_slot()) == ids).all()
+    assert (token_files.decode_blocks(blocks[1:2], coder, coder.by_slot()) == ids[token_files.BLOCK : 2 * token_files.BLOCK]).all()
+    entropy = -(counts / len(ids) * np.log2(counts / len(ids))).sum() * len(ids) / 8
+    assert sum(map(len, blocks)) < 1.1 * entropy
+    broken = bytearray(blocks[0])
+    broken[-5000] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        token_files.decode_blocks([bytes(broken)], coder, coder.by_slot())
+    assert zlib.crc32(ids[: token_files.BLOCK].astype("<u4").tobytes()) == token_files.parse_block(blocks[0])[2]
+
+
+def test_quality_on_held_out_rows(spark):
+    labels = common.table(spark, "/root/testdata/sf0.01", "labels")
+    scores = quality.quality_scores(common.table(spark, "/root/testdata/sf0.01", "documents"), labels)
+    rows = scores.filter("held_out").join(labels, "doc_id").collect()
+    assert len(rows) > 100
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+    for r in rows:
+        assert zlib.crc32(str(r.doc_id).encode()) % 3 == 1
+
+
+def test_quality_of_odd_rows(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1), (9, 0), (8, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    rows = quality.quality_scores(docs, labels).collect()
+    assert len(rows) == len(ROWS)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(none, labels).count() == 0
+
+
+def test_surrogates(docs):
+    new = pii.surrogates(docs, "k")
+    assert set(new.columns) == {*docs.columns, "n_entities"}
+    rows = {str(r.doc_id): r for r in new.collect()}
+    assert new.count() == len(ROWS)
+    for i, t, _, _ in ROWS:
+        if i not in (15,):
+            assert rows[str(i)].text == t
+    text = rows["15"].text
+    m = re.fullmatch(r"Mail (\S+)@(\S+) or (\S+)@(\S+); \+1 \(\d{3}\) \d{3}-\d{4}, Mrs (\w+na \w+), Dr\. (\w+na \w+), (\d+\.){3}\d+, (\d{16})  ", text)
+    assert m, text
+    assert m[1].lower() == m[3] and m[2].lower() == m[4] and m[5] == m[6]
+    assert "Doe" not in text and "Smith" not in text and "555-6503" not in text and "10.20.30.40" not in text
+    digits = [int(c) for c in m[8]]
+    assert sum(sum(divmod(2 * d, 10)) if k % 2 == 0 else d for k, d in enumerate(digits)) % 10 == 0
+    assert pii.surrogates(docs, "other").filter("doc_id = 15").first().text != text
+
+
+def test_surrogates_stay_distinct(spark):
+    # Nine surrogates for nine two-digit forms with one first digit would collide without the check.
+    forms = spark.createDataFrame([("ssn", f"{a}{b}", None) for a in (1, 2) for b in range(5)], "kind string, form string, sex string")
+    rows = pii.distinct_surrogates(forms, "k").collect()
+    aliases = [r.alias for r in rows]
+    assert len(set(aliases)) == 10 and not {r.form for r in rows} & set(aliases)
+
+
+def test_empty_tables(spark, none):
+    assert byte_bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert pii.surrogates(none, "k").count() == 0
+    path = common.new_path(spark, "test-files")
+    token_files.write_files(none, path, WORDS)
+    assert token_files.read_files(spark, path).count() == 0
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
