@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 CONTROLS = r"[\x00-\x1f\x7f-\x9f]+"
 
+#: What counts as a list marker, a lone page number and a range of page numbers.
+LIST_MARKER = r"^\s*([•▪◦‣∙·●○■□❖➤►*+–—\-]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxlcdmIVXLCDM]{1,6}[.)])\s+\S"
+PAGE_NUMBER = r"^(?i)(page ?)?\d{1,4}( ?(of|/) ?\d{1,4})?\z"
+PAGE_RANGE = r"^\d{1,4} ?[\-–—] ?\d{1,4}\z"
+
 
 def squeezed(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
@@ -80,8 +85,8 @@ def furniture_key(text: Column) -> Column:
 def is_page_number(text: Column, ranges: bool = False) -> Column:
     """A lone page number; with ``ranges``, also "3 - 4"."""
     value = squeezed(text)
-    plain = F.regexp_like(value, F.lit(r"^(?i)(page ?)?\d{1,4}( ?(of|/) ?\d{1,4})?\z"))
-    return plain | F.regexp_like(value, F.lit(r"^\d{1,4} ?[\-–—] ?\d{1,4}\z")) if ranges else plain
+    plain = F.regexp_like(value, F.lit(PAGE_NUMBER))
+    return plain | F.regexp_like(value, F.lit(PAGE_RANGE)) if ranges else plain
 
 
 def fnv_id(text: Column) -> Column:
@@ -172,8 +177,7 @@ def token_estimate(text: Column, images: Column | int = 0) -> Column:
 
 def list_marker(text: Column) -> Column:
     """The bullet, number, letter or numeral that opens a list item with a body; null if none does."""
-    pattern = r"^\s*([•▪◦‣∙·●○■□❖➤►*+–—\-]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxlcdmIVXLCDM]{1,6}[.)])\s+\S"
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, LIST_MARKER, 1), F.lit(""))
 
 
 def failure_code(message: Column) -> Column:
