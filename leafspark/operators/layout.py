@@ -249,3 +249,60 @@ def wrap(texts: DataFrame, width: int) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length(w) / width).cast("int") - 1, F.lit(0))), lambda i: F.substring(w, i * width + 1, F.lit(width)))))
     lines = F.aggregate(pieces, start.cast(state), add, lambda s: F.concat(s["out"], F.array(s["line"])))
     return texts.select("id", F.posexplode(lines).alias("line_no", "line"))
+
+
+#: Footnote marks, caption labels, characters that take no space before or after them.
+FOOTNOTE = r"^\s*(\d{1,3}|[*†‡§¶]|\[\d{1,3}\])\s+\S"
+CAPTION = r"^(?i)(fig(ure)?|tab(le)?|exhibit|chart|diagram)\s*(\d{1,3}|[ivxlcdm]{1,6}|[a-z](?=[.:)\-–—]))\s*([.:)\-–—]|\s)"
+CAPTION_LEAD = r"^(?i)(source|note|notes)\s*:"
+CJK = r"[\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{ac00}-\x{d7af}]"
+NO_SPACE_BEFORE, NO_SPACE_AFTER = r"""^[.,;:!?)\]}%'"”’]""", r"""[(\[{'"“‘/\-]\z"""
+
+
+def line_roles(lines: DataFrame, band: float = 0.085) -> DataFrame:
+    """``lines(…, text, font_size, bold, y, height, body_size, page_height)`` with ``role``, the first of:
+    page number near an end of the page, footnote, header, footer, heading, list item, caption, body."""
+    from leafspark.functions.text import list_marker
+
+    text = F.trim("text")
+    ratio = F.greatest("font_size", F.lit(0.1)) / F.greatest("body_size", F.lit(0.1))
+    at = (F.col("y") + F.col("height") / 2) / F.col("page_height")
+    letters, upper = F.length(F.regexp_replace(text, "[^A-Za-z]", "")), F.length(F.regexp_replace(text, "[^A-Z]", ""))
+    share = F.when(letters >= 3, upper / letters).otherwise(0.0)
+    n_words = F.size(F.split(text, SPACE))
+    open_end = ~F.regexp_like(text, F.lit(r"[.!?,;]\z"))
+    bold = F.col("bold") & (ratio >= 0.95) & (F.length(text) <= 80) & open_end & ((share >= 0.7) | (n_words <= 8))
+    shout = (share >= 0.85) & (letters >= 4) & (F.length(text) <= 60) & open_end & (n_words <= 10)
+    role = (
+        F.when(text == "", "unknown")
+        .when(is_page_number(text) & (at < 0.2), "header")
+        .when(is_page_number(text) & (at > 0.8), "footer")
+        .when(F.regexp_like(text, F.lit(FOOTNOTE)) & (ratio <= 0.92) & (at > 0.6) & (F.length(text) >= 12), "footnote")
+        .when((ratio <= 1.1) & (at < band), "header")
+        .when((ratio <= 1.1) & (at > 1 - band), "footer")
+        .when((ratio >= 1.16) | bold | shout, "heading")
+        .when(list_marker(text).isNotNull(), "list-item")
+        .when((ratio <= 1.05) & (F.regexp_like(text, F.lit(CAPTION)) | F.regexp_like(text, F.lit(CAPTION_LEAD))) & (F.length(text) <= 240), "caption")
+        .otherwise("body")
+    )
+    return lines.withColumn("role", role)
+
+
+def column_bounds(lines: DataFrame) -> DataFrame:
+    """``lines(doc_id, page_index, column_index, role, x0, x1)`` to each column's edges and the median of its
+    lines' ends; headers and footers don't count."""
+    body = lines.filter("role NOT IN ('header', 'footer')")
+    return body.groupBy(*PAGE, "column_index").agg(F.min("x0").alias("left_"), F.max("x1").alias("right_"), F.expr("percentile(x1, 0.5)").alias("typical_end"))
+
+
+def joined_words(parts: Column) -> Column:
+    """An array of words to one text: no space at brackets, closing marks, slashes, hyphens or CJK."""
+
+    def add(text: Column, part: Column) -> Column:
+        tight = (
+            F.regexp_like(part, F.lit(NO_SPACE_BEFORE)) | F.regexp_like(text, F.lit(NO_SPACE_AFTER))
+            | F.regexp_like(text, F.lit(CJK + r"\z")) | F.regexp_like(part, F.lit("^" + CJK))
+        )
+        return F.when(text == "", part).when(tight, F.concat(text, part)).otherwise(F.concat(text, F.lit(" "), part))
+
+    return F.aggregate(F.filter(parts, lambda p: p != ""), F.lit(""), add)

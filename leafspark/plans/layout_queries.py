@@ -62,6 +62,12 @@ QUOTA_RESULT = (
     "(1,1,'ok',10.0),(1,2,'ok',20.0),(1,3,'ok',30.0),(1,4,'minute',4.0),(1,5,'ok',40.0),(1,6,'ok',100.0),(1,7,'bytes',140.0),(1,8,'day',7.0),(1,9,'day',8.0),(1,10,'ok',5.0),(2,11,'bytes',101.0),(2,12,'ok',99.0),(2,13,'bytes',101.0)",
     "subject long, event_id long, verdict string, used double",
 )
+ROLE_LINES = (
+    "(0,'12',9.0,false,770.0),(1,'1 See the note below',8.0,false,700.0),(2,'Running head',9.0,false,10.0),(3,'Foot text',9.0,false,780.0),(4,'A Title',16.0,false,100.0),(5,'Bold label',10.0,true,200.0),(6,'SHOUTED LINE',10.0,false,200.0),(7,'- item text',10.0,false,300.0),(8,'Figure 3: A chart',10.0,false,400.0),(9,'Source: here',10.0,false,400.0),(10,'plain body text.',10.0,false,400.0),(11,'  ',10.0,false,400.0),(12,'Bold but a sentence.',10.0,true,400.0)",
+    "id int, text string, font_size double, bold boolean, y double",
+)
+ROLE_RESULT = ("(0,'footer'),(1,'footnote'),(2,'header'),(3,'footer'),(4,'heading'),(5,'heading'),(6,'heading'),(7,'list-item'),(8,'caption'),(9,'caption'),(10,'body'),(11,'unknown'),(12,'body')", "id int, role string")
+WORD_LISTS = ("(0,'Hello|,|world'),(1,'(|a|)|b'),(2,'中|文|x'),(3,'and|/|or'),(4,'one||two'),(5,'“|quoted|”|.')", "id int, words string")
 PER_MINUTE, PER_DAY, BYTES_PER_DAY = 6, 150, 2000.0
 
 
@@ -130,6 +136,21 @@ def wrapped_text(s, d):
     return lines.groupBy("id").agg(F.max(F.length("line") <= 40).alias("fits"), F.sum(F.length(F.replace("line", F.lit(" "), F.lit("")))).alias("chars"))
 
 
+def line_roles(s, d):
+    lines = literal(s, *ROLE_LINES).withColumn("height", F.lit(12.0)).withColumn("body_size", F.lit(10.0)).withColumn("page_height", F.lit(792.0))
+    return L.line_roles(lines).select("id", "role")
+
+
+def column_bounds(s, d):
+    """Lines of documents as columns by the remainder of their number."""
+    runs = doc_runs(table(s, d, "documents")).withColumn("column_index", F.col("run_no") % 2)
+    return L.column_bounds(runs.select("doc_id", "page_index", "column_index", F.lit("body").alias("role"), F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1")))
+
+
+def joined_words(s, d):
+    return literal(s, *WORD_LISTS).select("id", L.joined_words(F.split("words", "[|]")).alias("text"))
+
+
 def role_counts(s, d):
     return L.role_counts(literal(s, *PARAGRAPHS))
 
@@ -271,6 +292,9 @@ SELECT para_id, CASE WHEN c >= greatest(1, n * 0.6) THEN 'center' WHEN r >= grea
     "glyph_words": "SELECT doc_id::BIGINT AS doc_id, page_index::INT AS page_index, word_no::INT AS word_no, text, x0::DOUBLE AS x0, x1::DOUBLE AS x1 FROM (VALUES (1,0,1,'Hi',0,9),(1,0,2,'yo',12,22.5),(1,0,3,'u',30,35),(1,1,1,'z',3,8)) AS t(doc_id, page_index, word_no, text, x0, x1)",
     "cluster_runs": "SELECT doc_id::BIGINT AS doc_id, page_index::INT AS page_index, run_no::INT AS run_no, text, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height, 10.0::DOUBLE AS font_size FROM (VALUES (1,0,0,'Hello world',0,100,55,11),(1,0,1,'far',200,100,15,10),(1,0,2,'next',0,115,20,10)) AS t(doc_id, page_index, run_no, text, x, y, width, height)",
     "wrapped_text": "SELECT item_id AS id, true AS fits, length(regexp_replace(text, '\\s', '', 'g')) AS chars FROM benchmark",
+    "line_roles": f"SELECT * FROM {literal_sql(*ROLE_RESULT)}",
+    "column_bounds": f"WITH {RUNS_SQL} SELECT doc_id, page_index, run_no % 2 AS column_index, min(x) AS left_, max(x + width) AS right_, quantile_cont(x + width, 0.5) AS typical_end FROM doc_runs GROUP BY 1, 2, 3",
+    "joined_words": "SELECT id::INT AS id, text FROM (VALUES (0,'Hello, world'),(1,'(a) b'),(2,'中文x'),(3,'and /or'),(4,'one two'),(5,'“quoted”.')) AS t(id, text)",
     "role_counts": f"SELECT role, count(*) AS n FROM {literal_sql(*PARAGRAPHS)} GROUP BY role",
     "confidence_bands": "SELECT event_id, CASE WHEN event_id % 100 / 100 >= 0.85 THEN 'high' WHEN event_id % 100 / 100 >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM events",
     "box_overlap": f"WITH r AS (SELECT * FROM {literal_sql(*RECTS)}) SELECT a.page, a.id, b.id AS other, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared FROM r a JOIN r b ON a.page = b.page AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1",
