@@ -42,6 +42,8 @@ WINDOW = LENGTH - PIECE + 1
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Strings in a run at most, and positions that are hashed at once.
 LONGEST, STRIDE = 200, 1 << 18
+#: Bytes of runs that are indexed at once.
+PART_BYTES = 2 << 20
 
 _BLOCK = "block long, ids array<long>, sizes array<long>, digests array<binary>, data binary"
 _U = np.uint64
@@ -292,29 +294,10 @@ class RunLengthIndex:
         return out
 
 
-def _matches(rows: pa.Table) -> pa.Table:
-    """A bucket's runs to the spans that a smaller document owns, by block."""
-    blocks = rows["block"].to_pylist()
-    places = [_array(x.as_py(), "<i8").reshape(3, -1) for x in rows["places"]]
-    start, size, doc = np.concatenate(places, axis=1)
-    block = np.repeat(np.arange(len(blocks)), [p.shape[1] for p in places])
-    key = np.concatenate([_array(x.as_py(), "<u4") for x in rows["keys"]])
-    raw = np.concatenate([_array(x.as_py(), np.uint8) for x in rows["text"]])
-    # Pieces of one document only, once whole copies are left out, are of no use.
-    order = np.argsort(key, kind="stable")
-    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    lonely = np.minimum.reduceat(doc[order], at) == np.maximum.reduceat(doc[order], at)
-    good = np.ones(len(key), dtype=bool)
-    good[order] = ~np.repeat(lonely, np.diff(np.append(at, len(key))))
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
-    keep = np.flatnonzero(good)
-    coded = strings.take(pa.array(keep)).dictionary_encode()
-    start, size, doc, block = start[keep], size[keep], doc[keep], block[keep]
+def _owned(strings: pa.Array, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs and their documents to (run, begin, end) of what documents of smaller id own."""
+    coded = strings.dictionary_encode()
     number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["block", "spans"])
-    if not len(number):
-        return empty
     least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(least, number, doc)
     # Distinct runs in order of their smallest document.
@@ -326,10 +309,9 @@ def _matches(rows: pa.Table) -> pa.Table:
     off = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[: len(order) + 1]
     length = np.diff(off)
     symbols = np.zeros(int(off[-1]) + len(order), dtype=np.int32)
-    owner = np.repeat(np.arange(len(order)), length + 1)
     inside = np.arange(int(off[-1])) + np.repeat(np.arange(len(order)), length)
     symbols[inside] = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[: off[-1]].astype(np.int32) + 1
-    index = RunLengthIndex(symbols, owner)
+    index = RunLengthIndex(symbols, np.repeat(np.arange(len(order)), length + 1))
     owned = least[index.owners(symbols, off[1:] + np.arange(len(order)), length)]
     # Every run against the owners of its strings.
     count = length - LENGTH + 1
@@ -342,11 +324,39 @@ def _matches(rows: pa.Table) -> pa.Table:
     begin = np.flatnonzero(hit & (edge | ~np.append(False, hit[:-1])))
     end = np.flatnonzero(hit & (np.append(edge[1:], True) | ~np.append(hit[1:], False)))
     run = np.searchsorted(first, begin, side="right") - 1
-    spans = np.stack([start[run] + begin - first[run], start[run] + end - first[run] + LENGTH])
+    return run, begin - first[run], end - first[run] + LENGTH
+
+
+def _matches(rows: pa.Table) -> pa.Table:
+    """A bucket's runs to the spans that a smaller document owns, by block."""
+    blocks = rows["block"].to_pylist()
+    places = [_array(x.as_py(), "<i8").reshape(3, -1) for x in rows["places"]]
+    start, size, doc = np.concatenate(places, axis=1)
+    block = np.repeat(np.arange(len(blocks)), [p.shape[1] for p in places])
+    key = np.concatenate([_array(x.as_py(), "<u4") for x in rows["keys"]])
+    raw = np.concatenate([_array(x.as_py(), np.uint8) for x in rows["text"]])
+    # Pieces of one document only, once whole copies are left out, are of no use.
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    lonely = np.minimum.reduceat(doc[order], at) == np.maximum.reduceat(doc[order], at)
+    good = np.ones(len(key), dtype=bool)
+    good[order] = ~np.repeat(lonely, np.diff(np.append(at, len(key))))
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+    # A piece's runs stay together, so that the pieces can be taken in parts of bounded size.
+    keep = np.flatnonzero(good)
+    parts = int(size[keep].sum()) // PART_BYTES + 1
+    found = []
+    for part in range(parts):
+        own = keep[key[keep] % parts == part]
+        if len(own):
+            run, begin, end = _owned(strings.take(pa.array(own)), doc[own])
+            found.append(np.stack([own[run], start[own[run]] + begin, start[own[run]] + end]))
+    run, begin, end = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+    order = np.argsort(block[run], kind="stable")
+    run, spans = run[order], np.stack([begin, end])[:, order]
     cut = np.searchsorted(block[run], np.arange(len(blocks) + 1))
     used = np.flatnonzero(np.diff(cut))
-    if not len(used):
-        return empty
     return pa.table(
         [pa.array([blocks[k] for k in used], pa.int64()), pa.array([_packed(spans[:, cut[k] : cut[k + 1]].astype("<i8")) for k in used], pa.binary())],
         ["block", "spans"],
