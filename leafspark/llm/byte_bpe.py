@@ -33,9 +33,9 @@ RANK_BITS = 17
 NEVER = 1 << RANK_BITS
 #: To the end of an array.
 REST = 1 << 30
-BLOCK_WORDS = 8_000_000
+BLOCK_WORDS = 6_000_000
 #: Words in one row of the fold.
-CHUNK = 1_000
+CHUNK = 500
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -162,7 +162,7 @@ def merged(word: Column, ranks: RankMap) -> Column:
 
 
 def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
-    """Arrow batches of (doc_id, words), a block at a time: rows with a thousand of the block's distinct
+    """Arrow batches of (doc_id, words), a block at a time: rows with some hundred of the block's distinct
     words each, as the fold begins with them, then a row a document with its words by number."""
     byte_ids, first, pad = ranks.bytes_, ranks.first, ranks.pad
     state_type = schema.field("words").type.value_type
@@ -219,6 +219,9 @@ def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
                 ids, words, counts, total = [], [], [], 0
             ids.append(batch.column(0))
             words.append(flat.dictionary_encode())
+            if len(words) % 16 == 0:  # one dictionary for all so far
+                words = pa.chunked_array(words).unify_dictionaries().chunks
+                pa.default_memory_pool().release_unused()
             counts.append(lists.value_lengths().to_numpy(zero_copy_only=False))
             total += len(flat)
         if ids:

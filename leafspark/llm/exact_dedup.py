@@ -1,9 +1,10 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the normalised texts, each partition is sorted externally so that
-equal texts stand together, and each row is compared in full with its neighbours. A text's rows are
-spread over ``salts`` sub-keys of the sort, so a text that a third of all rows share fills many
-partitions; the heads of its runs, at most ``salts`` rows a text, are then merged by digest.
+Sampled splitters range-partition the normalised texts by their beginnings and, where these are alike,
+their hashes; each partition is sorted externally so that equal texts stand together, and each row is
+compared in full with its neighbours. A text's rows are spread over ``salts`` sub-keys of the sort, so
+a text that a third of all rows share fills many partitions; the heads of its runs, at most ``salts``
+rows a text, are then merged by digest.
 
 Defined results: a null text counts as empty; empty texts equal each other; among equal texts the row
 with the most code points stays, then the smallest id (a null id last), and of rows repeated with one
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from leafspark.llm.common import staged, table, without_blanks
 
+#: Characters of a text in the sort's splitters.
+HEAD = 32
+
 
 def normalised(text: Column) -> Column:
     return without_blanks(F.coalesce(text, F.lit("")))
@@ -31,9 +35,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         normalised(F.col(text_col)).alias("norm"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
     )
-    run = Window.partitionBy("norm", "salt").orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
+    # The splitters, which the driver gathers, are short: a text's beginning, then its hash.
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("mark", F.xxhash64("norm"))
+    run = Window.partitionBy("head", "mark", "norm", "salt").orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
     placed = staged(
-        rows.repartitionByRange("norm", "salt")
+        rows.repartitionByRange("head", "mark", "salt")
         .withColumn("place", F.row_number().over(run))
         .withColumn("head_id", F.first("doc_id").over(run))
         .withColumn("head_chars", F.first("n_chars").over(run))
@@ -63,18 +69,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keep = duplicate_groups(docs, id_col, text_col, salts).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    )
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    once = Window.partitionBy(id_col, "_sha").orderBy(F.length(text_col).desc_nulls_last())
-    return (
-        rows.join(keep, same, "left_semi")
-        .withColumn("_place", F.row_number().over(once))
-        .filter("_place = 1")
-        .drop("_sha", "_place")
-    )
+    key = lambda id_, sha: F.sha2(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), sha), 256)
+    kept = duplicate_groups(docs, id_col, text_col, salts).filter("kept")
+    kept = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    once = Window.partitionBy("_key").orderBy(F.length(text_col).desc_nulls_last())
+    rows = docs.withColumn("_key", key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)))
+    return rows.join(kept, "_key", "left_semi").withColumn("_place", F.row_number().over(once)).filter("_place = 1").drop("_key", "_place")
 
 
 def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

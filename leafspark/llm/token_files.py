@@ -41,11 +41,14 @@ from leafspark.llm.common import broadcast_up_to, new_path, short_batches, stage
 END = 2
 LANES, STEPS, CHECK = 64, 1024, 256
 BLOCK = LANES * STEPS
-SEGMENT = 32 * BLOCK
+SEGMENT = 16 * BLOCK
 SCALE = 20
 LOW = np.uint64(1 << 31)
 #: Distinct words a worker remembers the ids of.
-MEMO = 1_000_000
+MEMO = 600_000
+MARKS = (b",", b".")
+#: Bytes of text that are cut into words at once.
+TEXT_BYTES = 2 << 20
 _HEAD = struct.Struct("<4s6I")
 
 
@@ -173,48 +176,98 @@ def decode_blocks(blocks: list[bytes], coder: Coder, slots: np.ndarray) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
-_TOKENIZERS: dict = {}
+class _Words:
+    """Ids of the words a worker has met. White space never reaches a token of this vocabulary, so a
+    text's ids are those of its words, between ASCII white space."""
 
-
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Ids of each word as bytes. White space never reaches a token of this vocabulary, so a text's ids
-    are those of its words; a worker keeps the ids of the words it has met."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _TOKENIZERS[path] = tokenizer, {}
-    tokenizer, memo = _TOKENIZERS[path]
-    if len(memo) > MEMO:
-        memo.clear()
-    new = [w for w in words if w not in memo]
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-        memo.update(zip(part, (np.array(c.ids, dtype="<u4").tobytes() for c in coded), strict=True))
-    return [memo[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that end a run of letters, digits or marks.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.start, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.flat = np.zeros(1 << 18, dtype="<u4")
+        self.words = self.used = 0
+
+    def _append(self, word: bytes, ids: np.ndarray) -> None:
+        if self.words == len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * self.words), np.resize(self.size, 2 * self.words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[self.words], self.size[self.words] = self.used, len(ids)
+        self.number[word] = self.words
+        self.words, self.used = self.words + 1, self.used + len(ids)
+
+    def _ids(self, word: bytes) -> np.ndarray:
+        k = self.number[word]
+        return self.flat[self.start[k] : self.start[k] + self.size[k]]
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words of letters alone are encoded many to a text and told apart by the tokens that end them."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        single = [k for k, t in enumerate(texts) if not t.isalpha()]
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(group):
+                single += group
+                continue
+            for k, part in zip(group, np.split(ids, cut[:-1]), strict=True):
+                self._append(words[k], part)
+        for k, coded in zip(single, self.tokenizer.encode_batch_fast([texts[k] for k in single], add_special_tokens=False), strict=True):
+            self._append(words[k], np.array(coded.ids, dtype="<u4"))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > MEMO:
+            self.clear()
+        new = set(words).difference(self.number)
+        if new:
+            # The tokenizer makes lower case, and parts a closing mark from the letters before it.
+            plain = {w: w.lower() if w.isascii() else w for w in new}
+            marked = {w for w in set(plain.values()) if w[-1:] in MARKS and w[:-1].isascii() and w[:-1].isalpha()}
+            wanted = set(plain.values()).difference(marked).union(*((w[:-1], w[-1:]) for w in marked))
+            self._encode([w for w in wanted if w not in self.number])
+            for w in marked:
+                if w not in self.number:
+                    self._append(w, np.concatenate([self._ids(w[:-1]), self._ids(w[-1:])]))
+            for w, p in plain.items():
+                self.number[w] = self.number[p]
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+_WORDS: dict[str, _Words] = {}
+
+
+def encode_texts(path: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with the end id, and how many each has."""
+    if path not in _WORDS:
+        _WORDS[path] = _Words(path)
+    known = _WORDS[path]
+    lists = [t.split() for t in texts]
+    number = known.numbers([w for words in lists for w in words])
+    n = known.size[number]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    per_doc = np.concatenate([[0], np.cumsum([len(words) for words in lists])])
+    length = np.diff(upto[per_doc])
+    ids = known.flat[np.repeat(known.start[number] - upto[:-1], n) + np.arange(upto[-1])] if len(number) else known.flat[:0]
+    return np.insert(ids, np.cumsum(length), end_id).astype("<u4"), length + 1
 
 
 def _segments(path: str, end_id: int, schema: pa.Schema):
     """Sorted (doc_id, text) batches to segments of whole documents with their raw ids."""
 
-    def tokenized(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
-        coded = lists.flatten().dictionary_encode()
-        pieces = _word_ids(path, coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        start = np.cumsum(size) - size
-        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[number]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        per_doc = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-        length = np.diff(upto[per_doc])
-        tokens = flat[np.repeat(start[number] - upto[:-1], n) + np.arange(upto[-1])] if len(number) else flat[:0]
-        return np.insert(tokens, np.cumsum(length), end_id).astype("<u4"), length + 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, place, before = TaskContext.get().partitionId(), 0, 0
         docs, lengths, ids, total = [], [], [], 0
@@ -228,9 +281,14 @@ def _segments(path: str, end_id: int, schema: pa.Schema):
             )
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                tokens, length = tokenized(batch)
+            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TEXT_BYTES, prepend=0, append=-1))
+            for at, end in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+                if at == end:
+                    continue
+                batch = whole.slice(int(at), int(end - at))
+                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
+                tokens, length = encode_texts(path, texts, end_id)
                 docs.append(batch.column(0))
                 lengths.append(length)
                 ids.append(tokens)
