@@ -24,9 +24,12 @@ checksum doesn't match raises an error.
 from __future__ import annotations
 
 import os
+import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,8 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 #: Distinct words a worker remembers the ids of.
 MEMO = 600_000
-MARKS = (b",", b".")
+#: Marks of ASCII but the apostrophe, which may begin a contraction.
+MARKS = string.punctuation.replace("'", "").encode()
 #: Bytes of text that are cut into words at once.
 TEXT_BYTES = 2 << 20
 _HEAD = struct.Struct("<4s6I")
@@ -176,6 +180,14 @@ def decode_blocks(blocks: list[bytes], coder: Coder, slots: np.ndarray) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
+def _all_letters(word: bytes) -> bool:
+    """Whether the word is of letters, as the tokenizer normalises it, that every Unicode version knows."""
+    if word.isascii():
+        return word.isalpha()
+    text = unicodedata.normalize("NFC", word.decode("utf-8", "surrogatepass")).lower()
+    return text.isalpha() and max(text) < "\u0530"
+
+
 class _Words:
     """Ids of the words a worker has met. White space never reaches a token of this vocabulary, so a
     text's ids are those of its words, between ASCII white space."""
@@ -198,19 +210,23 @@ class _Words:
         self.flat = np.zeros(1 << 18, dtype="<u4")
         self.words = self.used = 0
 
-    def _append(self, word: bytes, ids: np.ndarray) -> None:
-        if self.words == len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * self.words), np.resize(self.size, 2 * self.words)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.words], self.size[self.words] = self.used, len(ids)
-        self.number[word] = self.words
-        self.words, self.used = self.words + 1, self.used + len(ids)
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.number[word]
-        return self.flat[self.start[k] : self.start[k] + self.size[k]]
+    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remembers words whose ids stand one word after the other."""
+        n, end = self.words + len(words), self.used + len(ids)
+        if n > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
+        if end > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * end)
+        self.flat[self.used : end] = ids
+        self.size[self.words : n] = sizes
+        self.start[self.words : n] = self.used + np.cumsum(sizes) - sizes
+        self.number.update(zip(words, range(self.words, n), strict=True))
+        self.words, self.used = n, end
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one word after the other, and how many each has."""
+        n = self.size[number]
+        return self.flat[np.repeat(self.start[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     def _encode(self, words: list[bytes]) -> None:
         """Words of letters alone are encoded many to a text and told apart by the tokens that end them."""
@@ -223,45 +239,45 @@ class _Words:
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(group):
                 single += group
-                continue
-            for k, part in zip(group, np.split(ids, cut[:-1]), strict=True):
-                self._append(words[k], part)
-        for k, coded in zip(single, self.tokenizer.encode_batch_fast([texts[k] for k in single], add_special_tokens=False), strict=True):
-            self._append(words[k], np.array(coded.ids, dtype="<u4"))
+            else:
+                self._put([words[k] for k in group], ids, np.diff(cut, prepend=0))
+        lists = [coded.ids for coded in self.tokenizer.encode_batch_fast([texts[k] for k in single], add_special_tokens=False)]
+        self._put([words[k] for k in single], np.fromiter(chain.from_iterable(lists), dtype="<u4"), np.fromiter(map(len, lists), dtype=np.int64))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > MEMO:
             self.clear()
-        new = set(words).difference(self.number)
+        number = self.number
+        new = [w for w in words if w not in number]
         if new:
-            # The tokenizer makes lower case, and parts a closing mark from the letters before it.
-            plain = {w: w.lower() if w.isascii() else w for w in new}
-            marked = {w for w in set(plain.values()) if w[-1:] in MARKS and w[:-1].isascii() and w[:-1].isalpha()}
-            wanted = set(plain.values()).difference(marked).union(*((w[:-1], w[-1:]) for w in marked))
-            self._encode([w for w in wanted if w not in self.number])
-            for w in marked:
-                if w not in self.number:
-                    self._append(w, np.concatenate([self._ids(w[:-1]), self._ids(w[-1:])]))
-            for w, p in plain.items():
-                self.number[w] = self.number[p]
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+            # The tokenizer makes lower case, and parts closing marks from the letters before them.
+            plain = [w.lower() if w.isascii() else w for w in new]
+            wanted = set(plain).difference(number)
+            heads = {w: head for w in wanted if 0 < len(head := w.rstrip(MARKS)) < len(w) and _all_letters(head)}
+            marked = [*heads]
+            parts = [part for w, head in heads.items() for part in (head, w[len(head) :])]
+            self._encode([*wanted.difference(heads).union(parts).difference(number)])
+            ids, n = self.ids(np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts)))
+            self._put(marked, ids, n.reshape(-1, 2).sum(axis=1))
+            number.update(zip(new, map(number.__getitem__, plain), strict=True))
+        return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 _WORDS: dict[str, _Words] = {}
 
 
-def encode_texts(path: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with the end id, and how many each has."""
     if path not in _WORDS:
         _WORDS[path] = _Words(path)
     known = _WORDS[path]
-    lists = [t.split() for t in texts]
-    number = known.numbers([w for words in lists for w in words])
-    n = known.size[number]
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    number = known.numbers(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+    ids, n = known.ids(number[coded.indices.to_numpy(zero_copy_only=False)])
     upto = np.concatenate([[0], np.cumsum(n)])
-    per_doc = np.concatenate([[0], np.cumsum([len(words) for words in lists])])
+    per_doc = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     length = np.diff(upto[per_doc])
-    ids = known.flat[np.repeat(known.start[number] - upto[:-1], n) + np.arange(upto[-1])] if len(number) else known.flat[:0]
     return np.insert(ids, np.cumsum(length), end_id).astype("<u4"), length + 1
 
 
@@ -287,8 +303,7 @@ def _segments(path: str, end_id: int, schema: pa.Schema):
                 if at == end:
                     continue
                 batch = whole.slice(int(at), int(end - at))
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-                tokens, length = encode_texts(path, texts, end_id)
+                tokens, length = encode_texts(path, batch.column(1), end_id)
                 docs.append(batch.column(0))
                 lengths.append(length)
                 ids.append(tokens)

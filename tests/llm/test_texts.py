@@ -1,8 +1,10 @@
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -91,6 +93,19 @@ def test_token_files_round_trip(spark, docs):
         at += len(ids)
 
 
+def test_words_one_by_one_are_the_librarys():
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(4)
+    letters = "aBcéßÀñİΣσς中أ\u0939\u093f\u094d\u0958K½²1٣_'’.,!?$#&*()<>|-…\u0338\u0301ﬁ한ᄒ"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(30)) for _ in range(300)]
+    texts += ["don't, can't! it's. 'tis we're.. a<|endoftext|> <|endoftext|>, x<|endoftext|>.", "", " ", " \x0b\x0c a  b\x1cc ", None]
+    ids, n = token_files.encode_texts(WORDS, pa.array(texts), 2)
+    wanted = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [*map(len, wanted)]
+    assert ids.tolist() == [i for w in wanted for i in w]
+
+
 def test_blocks_and_checkpoints():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, size=token_files.BLOCK * 2 + 777) - 1, 5000).astype(np.int64)
