@@ -3,46 +3,64 @@
 An event counts by minute, then by day, then by bytes; a refused event still counts in the windows it
 reached, but its bytes are given back. An event at the very end of a window begins a new one. What an
 event finds depends on all earlier ones of its subject, so a subject is an ordered fold; the batch form
-folds inside Spark SQL and the stream form (``leafspark.streaming.quota``) keeps the same state.
+streams sorted rows through it and the stream form (``leafspark.streaming.quota``) keeps the same state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MINUTE, DAY = 60.0, 86400.0
-STATE = "struct<m0:double,mn:bigint,d0:double,dn:bigint,b0:double,bytes:double,out:array<struct<event_id:bigint,verdict:string,used:double>>>"
+
+
+def judge(state: list, t: float | None, amount: float | None, limits: tuple[int, int, float]) -> tuple[str, float | None]:
+    """Updates a subject's windows by one event."""
+    if state[0] is None or t >= state[0] + MINUTE:
+        state[0], state[1] = t, 0
+    state[1] += 1
+    if state[1] > limits[0]:
+        return "minute", float(state[1])
+    if state[2] is None or t >= state[2] + DAY:
+        state[2], state[3] = t, 0
+    state[3] += 1
+    if state[3] > limits[1]:
+        return "day", float(state[3])
+    if state[4] is None or t >= state[4] + DAY:
+        state[4], state[5] = t, 0.0
+    if amount is None:
+        return "ok", None
+    used = state[5] + amount
+    if used > limits[2]:
+        return "bytes", used
+    state[5] = used
+    return "ok", used
 
 
 def verdicts(events: DataFrame, per_minute: int, per_day: int, bytes_per_day: float) -> DataFrame:
     """``events(subject, event_id, t seconds, bytes)`` to subject, event_id, verdict, used. A subject's
-    events are gathered in one row, so the subject is the unit of memory, as it is of the state."""
-    gathered = events.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "bytes"))).alias("events"))
-
-    def step(s: Column, e: Column) -> Column:
-        def window(start: str, n: str, length: float) -> tuple[Column, Column]:
-            fresh = s[start].isNull() | (e["t"] >= s[start] + length)
-            return F.when(fresh, e["t"]).otherwise(s[start]), F.when(fresh, F.lit(0).cast(dict(mn="bigint", dn="bigint", bytes="double")[n])).otherwise(s[n])
-
-        m0, mn = window("m0", "mn", MINUTE)
-        d0, dn = window("d0", "dn", DAY)
-        b0, used = window("b0", "bytes", DAY)
-        by_minute, by_day = mn + 1 > per_minute, dn + 1 > per_day
-        by_bytes = used + e["bytes"] > bytes_per_day
-        verdict = F.when(by_minute, "minute").when(by_day, "day").when(by_bytes, "bytes").otherwise("ok")
-        amount = F.when(by_minute, (mn + 1).cast("double")).when(by_day, (dn + 1).cast("double")).otherwise(used + e["bytes"])
-        reached_day, reached_bytes = ~by_minute, ~by_minute & ~by_day
-        return F.struct(
-            m0.alias("m0"), (mn + 1).alias("mn"),
-            F.when(reached_day, d0).otherwise(s["d0"]).alias("d0"), F.when(reached_day, dn + 1).otherwise(s["dn"]).alias("dn"),
-            F.when(reached_bytes, b0).otherwise(s["b0"]).alias("b0"),
-            F.when(reached_bytes & ~by_bytes, used + e["bytes"]).when(reached_bytes, used).otherwise(s["bytes"]).alias("bytes"),
-            F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), verdict.alias("verdict"), amount.alias("used")))).alias("out"),
-        ).cast(STATE)
-
-    start = F.expr(f"CAST(named_struct('m0', NULL, 'mn', 0, 'd0', NULL, 'dn', 0, 'b0', NULL, 'bytes', 0.0, 'out', array()) AS {STATE})")
-    return gathered.select("subject", F.inline(F.aggregate("events", start, step, lambda s: s["out"])))
+    events pass one task in order, sorted outside memory; only its six numbers of state are held."""
+    limits = per_minute, per_day, bytes_per_day
+    subject = events.schema["subject"].dataType
+    out = StructType().add("subject", subject).add("event_id", "long").add("verdict", "string").add("used", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), []
+        for batch in batches:
+            subjects, found = batch.column(0), []
+            for own, t, amount in zip(subjects.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if own != now:
+                    now, state = own, [None, 0, None, 0, None, 0.0]
+                found.append(judge(state, t, amount, limits))
+            verdict, used = pa.array([v for v, _ in found], pa.string()), pa.array([u for _, u in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([subjects, batch.column(1), verdict, used], ["subject", "event_id", "verdict", "used"])
+
+    rows = events.select("subject", F.col("event_id").cast("long"), F.col("t").cast("double"), F.col("bytes").cast("double"))
+    return rows.repartition("subject").sortWithinPartitions("subject", "t", "event_id", "bytes").mapInArrow(run, out)
 
 
 def settled(reserved: DataFrame) -> DataFrame:

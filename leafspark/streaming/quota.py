@@ -12,33 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from leafspark.operators.quota import DAY, MINUTE
+from leafspark.operators.quota import judge
 
 OUT = "subject long, event_id long, verdict string, used double"
 STATE = "m0 double, mn long, d0 double, dn long, b0 double, bytes double"
 
 
-def judge(state: list, t: float, amount: float, limits: tuple[int, int, float]) -> tuple[str, float]:
-    """Updates a subject's windows by one event."""
-    if state[0] is None or t >= state[0] + MINUTE:
-        state[0], state[1] = t, 0
-    state[1] += 1
-    if state[1] > limits[0]:
-        return "minute", float(state[1])
-    if state[2] is None or t >= state[2] + DAY:
-        state[2], state[3] = t, 0
-    state[3] += 1
-    if state[3] > limits[1]:
-        return "day", float(state[3])
-    if state[4] is None or t >= state[4] + DAY:
-        state[4], state[5] = t, 0.0
-    used = state[5] + amount
-    if used > limits[2]:
-        return "bytes", used
-    state[5] = used
-    return "ok", used
-
-
 def verdict_stream(events: DataFrame, per_minute: int, per_day: int, bytes_per_day: float) -> DataFrame:
     """A stream of (subject, event_id, t, bytes) to verdicts, in append mode."""
     limits = per_minute, per_day, bytes_per_day

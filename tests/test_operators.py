@@ -1,5 +1,7 @@
 """Rules that the queries don't reach, on small fixtures."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,18 @@ def test_newest_user_turn_is_the_cut_when_all_are_too_large(spark):
     assert conversations.compaction_cut(turns, 100, 10).first().cut == 0
 
 
+def test_quota_of_one_large_subject_is_not_gathered(spark):
+    rng = random.Random(4)
+    rows = [(1 if rng.random() < 0.9 else k % 50, k, float(rng.randrange(400_000)), float(rng.randrange(9))) for k in range(30_000)]
+    found = quota.verdicts(spark.createDataFrame(rows, "subject long, event_id long, t double, bytes double").repartition(3), 3, 2000, 5000.0)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    wanted, held = set(), {}
+    for own, event, t, n in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        wanted.add((own, event, *quota.judge(held.setdefault(own, [None, 0, None, 0, None, 0.0]), t, n, (3, 2000, 5000.0))))
+    assert {tuple(r) for r in found.collect()} == wanted
+    assert {r[2] for r in wanted} == {"ok", "minute", "day", "bytes"}
+
+
 def test_stream_and_batch_quotas_agree(spark, tmp_path):
     events = [(s, i, float(t), float(b)) for i, (s, t, b) in enumerate([(1, 0, 5), (1, 1, 5), (1, 2, 90), (1, 61, 5), (2, 0, 101), (2, 3, 50), (1, 62, 1), (1, 63, 1)])]
     schema = "subject long, event_id long, t double, bytes double"
