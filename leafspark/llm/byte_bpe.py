@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding.
 
-Spark splits the texts by the vocabulary's pattern; each task gathers the distinct words of a block of
-its documents as arrays of byte ids; higher-order functions fold the ranked merges over those arrays;
-the block's documents are then put together from the words' ids. Nothing is shuffled, and a block
-holds at most ``block_words`` words or one document.
+Spark splits the texts by the vocabulary's pattern. Blocks of whole documents are written as the numbers
+of their words and a list of their distinct words. All blocks' distinct words are shuffled and sorted by
+word, so that each is folded once in the corpus: higher-order functions fold the ranked merges over its
+byte ids. The tokens go back to the blocks that asked, where the documents are put together.
 
 The rank map is a literal: an array of (pair, rank) entries placed by hash and displacement, so that a
 pair is found by two array reads. The fold keeps a word's ids and the ranks of its neighbouring pairs; a merge
-asks for the two new pairs alone. Decoding concatenates the tokens' bytes.
+asks for the two new pairs alone. Decoding reads each id's piece from a literal array, in hexadecimal,
+joins the pieces and turns them into bytes, all in Spark.
+
+A block holds at most ``block_words`` words or one document. A word has one row a block, however often it
+stands there, so no key has more rows than there are blocks.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; any UTF-8 text round-trips; an empty table gives no rows; other
@@ -20,22 +24,24 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from leafspark.llm.common import short_batches, table
+from leafspark.llm.common import short_batches, staged, table
 
 #: Ranks and token ids have so many bits; what doesn't merge looks up a greater number.
 RANK_BITS = 17
 NEVER = 1 << RANK_BITS
 #: To the end of an array.
 REST = 1 << 30
-BLOCK_WORDS = 6_000_000
-#: Words in one row of the fold.
-CHUNK = 500
+BLOCK_WORDS = 4_000_000
+#: Words in one row of the fold, rows of words packed at once, and rows of words a task of the fold takes.
+CHUNK, PACKED, TASK_WORDS = 500, 1 << 16, 250_000
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -161,11 +167,9 @@ def merged(word: Column, ranks: RankMap) -> Column:
     return F.aggregate(F.sequence(F.lit(3), F.size(word["r"])), word, lambda s, _: join(s), lambda s: s["t"])
 
 
-def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
-    """Arrow batches of (doc_id, words), a block at a time: rows with some hundred of the block's distinct
-    words each, as the fold begins with them, then a row a document with its words by number."""
+def _starts(ranks: RankMap, kind: pa.DataType):
+    """A function from words to the state the fold begins with."""
     byte_ids, first, pad = ranks.bytes_, ranks.first, ranks.pad
-    state_type = schema.field("words").type.value_type
 
     def starts(words: pa.Array) -> pa.Array:
         words = words.cast(pa.large_binary())
@@ -185,145 +189,200 @@ def _pack(ranks: RankMap, block_words: int, schema: pa.Schema):
         r[pairs + word[pairs] + 1] = first[raw[pairs], raw[pairs + 1]]
         steps = np.arange(n + 1)
         lists = [pa.ListArray.from_arrays((offsets + k * steps).astype(np.int32), x) for k, x in ((2, t), (1, r))]
-        return pa.StructArray.from_arrays(lists, fields=list(state_type))
-
-    def block(ids: list, words: list[pa.DictionaryArray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        coded = pa.chunked_array(words).unify_dictionaries()
-        distinct = coded.chunk(0).dictionary
-        for at in range(0, max(len(distinct), 1), 16 * CHUNK):
-            part = distinct.slice(at, 16 * CHUNK)
-            n = -(-len(part) // CHUNK) or 1
-            ends = np.minimum(np.arange(n + 1) * CHUNK, len(part)).astype(np.int32)
-            state = starts(part) if len(part) else pa.array([], state_type)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at == 0] + [False] * (n - 1)), pa.nulls(n, schema.field(1).type), pa.nulls(n, pa.binary()),
-                 pa.ListArray.from_arrays(ends, state, type=schema.field(3).type)], schema=schema
-            )
-        for docs, chunk, count in zip(ids, coded.chunks, counts, strict=True):
-            number = chunk.indices.to_numpy(zero_copy_only=False).astype("<i4")
-            ends = np.cumsum(count)
-            for at in range(0, len(docs), 64):
-                part = range(at, min(at + 64, len(docs)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([False] * len(part)), docs.slice(at, len(part)), pa.array([number[ends[i] - count[i] : ends[i]].tobytes() for i in part], pa.binary()),
-                     pa.ListArray.from_arrays(np.zeros(len(part) + 1, np.int32), pa.array([], state_type), type=schema.field(3).type)], schema=schema
-                )
+        return pa.StructArray.from_arrays(lists, fields=list(kind))
+
+    return starts
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their bytes' places, lowest first, which compress better so."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def _blocks(block_words: int, schema: pa.Schema):
+    """Batches of (doc_id, words) to blocks: documents, how many words each has, all their words by number
+    and the distinct words, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, counts, total = [], [], [], 0
+        number, (ids, words, counts, total) = TaskContext.get().partitionId() << 32, ([], [], [], 0)
+
+        def block() -> pa.RecordBatch:
+            coded = pa.chunked_array(words).combine_chunks() if len(words) > 1 else words[0]
+            indices = coded.indices.to_numpy(zero_copy_only=False)
+            often = np.argsort(-np.bincount(indices, minlength=len(coded.dictionary)), kind="stable")
+            place = np.empty(len(often), dtype=np.int64)
+            place[often] = np.arange(len(often))
+            one = lambda x, f: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=f.type)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), one(pa.concat_arrays(ids), schema.field(1)), one(pa.array(np.concatenate(counts), pa.int32()), schema.field(2)),
+                 pa.array([_planes(place[indices])], pa.binary()), one(coded.dictionary.take(pa.array(often)), schema.field(4))], schema=schema
+            )
+
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten()
             if total and total + len(flat) > block_words:
-                yield from block(ids, words, counts)
-                ids, words, counts, total = [], [], [], 0
+                yield block()
+                number, (ids, words, counts, total) = number + 1, ([], [], [], 0)
             ids.append(batch.column(0))
             words.append(flat.dictionary_encode())
             if len(words) % 16 == 0:  # one dictionary for all so far
-                words = pa.chunked_array(words).unify_dictionaries().chunks
+                words = [pa.chunked_array(words).unify_dictionaries().combine_chunks()]
                 pa.default_memory_pool().release_unused()
             counts.append(lists.value_lengths().to_numpy(zero_copy_only=False))
             total += len(flat)
         if ids:
-            yield from block(ids, words, counts)
+            words = [pa.chunked_array(words).unify_dictionaries().combine_chunks()]
+            yield block()
 
     return run
 
 
-def _unpack(schema: pa.Schema, pieces: list[bytes] | None):
-    """Rows of words' tokens and of documents' words by number to one row a document, with the decoded
-    bytes if ``pieces`` are given."""
+def _pack(ranks: RankMap, schema: pa.Schema):
+    """Batches of (word, block, place) in order of word to rows of some hundred distinct words as the
+    fold begins with them, and, for each of their rows, the word's number, block and place."""
+    starts = _starts(ranks, schema.field("words").type.value_type)
+
+    def packed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        coded = rows.column(0).dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
+        block, place = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        for at in range(0, len(coded.dictionary), CHUNK):
+            part = coded.dictionary.slice(at, CHUNK)
+            own = slice(*np.searchsorted(which, [at, at + len(part)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), starts(part), type=schema.field(0).type), pa.array([(which[own] - at).tobytes()], pa.binary()),
+                 pa.array([block[own].astype("<i8").tobytes()], pa.binary()), pa.array([place[own].astype("<i4").tobytes()], pa.binary())], schema=schema
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list = []
-        flat, start, size = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        rows, total = [], 0
         for batch in batches:
-            fresh, docs, numbers, tokens = batch.columns
-            keep, out = [], []
-            for k in range(batch.num_rows):
-                if fresh[k].as_py():
-                    parts = []
-                if not numbers[k].is_valid:
-                    found = tokens[k].values
-                    padded = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    parts.append((found.flatten().to_numpy(zero_copy_only=False).astype("<u4"), padded))
-                    flat = None
-                    continue
-                if flat is None:
-                    padded = np.concatenate([x[1] for x in parts])
-                    # Less the pads around each word.
-                    flat, size, start = np.concatenate([x[0] for x in parts]), padded - 2, np.cumsum(padded) - padded + 1
-                own = np.frombuffer(numbers[k].as_buffer(), dtype="<i4")
-                n = size[own]
-                # Positions of each word's tokens in flat, word after word.
-                keep.append(k)
-                out.append(flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-            if keep:
-                columns = [docs.take(pa.array(keep)), pa.array(map(len, out), pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
-                if pieces:
-                    columns.append(pa.array([_joined(pieces, x) for x in out], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            rows.append(batch)
+            total += batch.num_rows
+            if total >= PACKED:
+                yield from packed(rows)
+                rows, total = [], 0
+        if total:
+            yield from packed(rows)
 
     return run
 
 
-def _joined(pieces: list[bytes], ids: np.ndarray) -> bytes:
-    return b"".join(map(pieces.__getitem__, ids.tolist()))
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words' tokens to, for each block that has some of them, their places, sizes and tokens."""
+    for batch in batches:
+        words = batch.column(0).flatten()
+        if not len(words):
+            continue
+        flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        padded = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        # Less the pads around each word.
+        start, size = np.cumsum(padded) - padded + 1, padded - 2
+        before = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False)) - batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+        whole = lambda k, kind: [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
+        which = np.concatenate([x.astype(np.int64) + b for x, b in zip(whole(1, "<i4"), before, strict=True)])
+        block, place = np.concatenate(whole(2, "<i8")), np.concatenate(whole(3, "<i4"))
+        order = np.lexsort((place, block))
+        which, block, place = which[order], block[order], place[order]
+        head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        n = size[which]
+        tokens = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.cumsum(n)
+        cuts = [*zip(head, np.append(head[1:], len(block)), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[head], pa.int64()), pa.array([place[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype("<i4").tobytes() for a, b in cuts], pa.binary()),
+             pa.array([tokens[ends[a] - n[a] : ends[b - 1]].tobytes() for a, b in cuts], pa.binary())], ["block", "places", "sizes", "tokens"]
+        )
+
+
+def _documents(schema: pa.Schema):
+    """A block and its words' tokens to one row a document."""
+
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        read = lambda name: np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x.as_buffer(), "<i4") for x in replies[name])]).astype(np.int64)
+        place, n, flat = read("places"), read("sizes"), read("tokens").astype("<i4")
+        start, size = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+        start[place], size[place] = np.cumsum(n) - n, n
+        out = []
+        for k in range(blocks.num_rows):
+            docs, counts = blocks["docs"][k].values, blocks["counts"][k].values.to_numpy(zero_copy_only=False)
+            number = _numbers(blocks["numbers"][k].as_py())
+            ends, last = np.zeros(len(counts), dtype=np.int64), np.cumsum(counts)
+            parts = []
+            for i, (a, b) in enumerate(zip(last - counts, last, strict=True)):
+                own = number[a:b]
+                m = size[own]
+                parts.append(flat[np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
+                ends[i] = len(parts[-1])
+            lengths, tokens = ends, np.concatenate([np.zeros(0, "<i4"), *parts])
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(4 * offsets), pa.py_buffer(tokens)])
+            out.append(pa.table([docs, pa.array(lengths, pa.int64()), raw, pa.ListArray.from_arrays(offsets, tokens, type=schema.field(3).type)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
 
 
-def _pieces(path: str) -> list[bytes]:
+def decoded(tokens: Column, path: str) -> Column:
+    """The bytes that an array of token ids stands for: their pieces joined."""
     ranks = load_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
+    pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        out[rank] = token
-    return out
+        pieces[rank] = token.hex()
+    pieces = F.split(F.lit(",".join(pieces)), ",")
+    return F.unhex(F.array_join(F.transform(tokens, lambda i: F.get(pieces, i)), ""))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, decoded: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), and if
-    asked for ``decoded``, the bytes that the ids decode to."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the
+    same as an array, ``tokens``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     ranks = RankMap(load_ranks(path))
-    # A word is folded once a task, so tasks take several splits where there are more than cores.
-    parts = docs.rdd.getNumPartitions()
-    docs = docs.coalesce(max(1, min(parts, max(docs.sparkSession.sparkContext.defaultParallelism, parts // 4))))
     kind = docs.schema[id_col].dataType
     # (?U): white space, letters and numbers by Unicode.
     words = docs.select(
         F.col(id_col).alias("doc_id"),
         F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"),
     )
-    word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
-    packed = StructType([
-        StructField("fresh", BooleanType()), StructField("doc_id", kind),
-        StructField("numbers", BinaryType()), StructField("words", ArrayType(word)),
+    shape = StructType([
+        StructField("block", LongType()), StructField("docs", ArrayType(kind)), StructField("counts", ArrayType(IntegerType())),
+        StructField("numbers", BinaryType()), StructField("words", ArrayType(StringType())),
     ])
-    out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
-    if decoded:
-        out = out.add("decoded", BinaryType())
-    blocks = words.mapInArrow(_pack(ranks, block_words, to_arrow_schema(packed)), packed)
-    tokens = blocks.select("fresh", "doc_id", "numbers", F.transform("words", lambda w: merged(w, ranks)).alias("tokens"))
-    return tokens.mapInArrow(_unpack(to_arrow_schema(out), _pieces(path) if decoded else None), out)
-
-
-def decoder(path: str):
-    """A function from a column of ids to the bytes they stand for."""
-    pieces = _pieces(path)
+    blocks = staged(words.mapInArrow(_blocks(block_words, to_arrow_schema(shape)), shape), "word-blocks")
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
+    cores = spark.sparkContext.defaultParallelism
+    fold_tasks = max(1, min(2 * cores, size.words // (TASK_WORDS // 10)), size.words // TASK_WORDS)
+    block_tasks = max(1, min(size.blocks, 4 * cores), size.blocks // 8)
 
-    def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([_joined(pieces, np.frombuffer(x, "<u4")) for x in ids], dtype=object)
-
-    return F.pandas_udf(run, BinaryType())
+    word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
+    packed = StructType([StructField("words", ArrayType(word)), *(StructField(c, BinaryType()) for c in ("which", "blocks", "places"))])
+    asked = blocks.select(F.posexplode("words").alias("place", "word"), "block").select("word", "block", "place")
+    asked = asked.repartition(fold_tasks, "word").sortWithinPartitions("word")
+    folded = asked.mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
+        F.transform("words", lambda w: merged(w, ranks)).alias("tokens"), "which", "blocks", "places"
+    )
+    replies = folded.mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")
+    out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("tokens", ArrayType(IntegerType()))])
+    whole = blocks.select("block", "docs", "counts", "numbers").repartition(block_tasks, "block").groupBy("block")
+    return whole.cogroup(replies.repartition(block_tasks, "block").groupBy("block")).applyInArrow(_documents(to_arrow_schema(out)), out)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded(F.col("tokens"), path), 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op9_byte_bpe": op9_byte_bpe}

@@ -58,15 +58,26 @@ def test_byte_bpe_is_the_librarys(docs):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     # A block of its own for every few words, and one for all.
     for block in (50, byte_bpe.BLOCK_WORDS):
-        rows = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_words=block, decoded=True).collect()
-        got = sorted((str(r.doc_id), bytes(r.decoded).decode(), np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens) for r in rows)
+        coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_words=block)
+        rows = coded.withColumn("decoded", byte_bpe.decoded(F.col("tokens"), RANKS)).collect()
+        assert all(np.frombuffer(r.ids, "<u4").tolist() == r.tokens for r in rows)
+        got = sorted((str(r.doc_id), bytes(r.decoded).decode(), r.tokens, r.n_tokens) for r in rows)
         assert got == sorted((i, t, library.encode_ordinary(t), len(library.encode_ordinary(t))) for i, t in texts())
 
 
-def test_decoder_alone(docs):
-    coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    rows = coded.select("doc_id", byte_bpe.decoder(RANKS)("ids").alias("d")).collect()
-    assert sorted((str(r.doc_id), bytes(r.d).decode()) for r in rows) == texts()
+def test_decoder_alone(spark):
+    rows = [[[0, 50255, 0]], [[]], [None]]
+    pieces = {v: k for k, v in byte_bpe.load_ranks(RANKS).items()}
+    got = spark.createDataFrame(rows, "t array<int>").select(byte_bpe.decoded(F.col("t"), RANKS).alias("d")).collect()
+    assert [r.d and bytes(r.d) for r in got] == [pieces[0] + pieces[50255] + pieces[0], b"", None]
+
+
+def test_byte_bpe_of_whole_table(spark):
+    documents = common.table(spark, "/root/testdata/sf0.01", "documents")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    coded = byte_bpe.encode(documents, RANKS, public_tokenizers.PATTERN, block_words=100_000)
+    got = {r.doc_id: (r.tokens, bytes(r.d).decode()) for r in coded.withColumn("d", byte_bpe.decoded(F.col("tokens"), RANKS)).collect()}
+    assert got == {r.doc_id: (library.encode_ordinary(r.text or ""), r.text or "") for r in documents.collect()}
 
 
 def test_rank_map_has_every_pair(spark):
