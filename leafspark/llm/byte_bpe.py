@@ -1,17 +1,17 @@
 """Byte-level BPE encoding and decoding.
 
 Spark splits the texts by the vocabulary's pattern. Blocks of whole documents are written as the numbers
-of their words and a list of their distinct words. All blocks' distinct words are shuffled and sorted by
-word, so that each is folded once in the corpus: higher-order functions fold the ranked merges over its
-byte ids. The tokens go back to the blocks that asked, where the documents are put together.
+of their words and a list of their distinct words. All blocks' distinct words are shuffled by word, so that
+each is folded once in the corpus: higher-order functions fold the ranked merges over its byte ids. The
+tokens go back to the blocks that asked, where the documents are put together.
 
 The rank map is a literal: an array of (pair, rank) entries placed by hash and displacement, so that a
 pair is found by two array reads. The fold keeps a word's ids and the ranks of its neighbouring pairs; a merge
 asks for the two new pairs alone. Decoding reads each id's piece from a literal array, in hexadecimal,
 joins the pieces and turns them into bytes, all in Spark.
 
-A block holds at most ``block_words`` words or one document. A word has one row a block, however often it
-stands there, so no key has more rows than there are blocks.
+A block holds at most ``block_words`` words or one document. It sends a word once, however often it stands
+there, and a bucket of words grows with the number of distinct words that the blocks send, not with a word.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; any UTF-8 text round-trips; an empty table gives no rows; other
@@ -24,6 +24,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -38,9 +39,9 @@ RANK_BITS = 17
 NEVER = 1 << RANK_BITS
 #: To the end of an array.
 REST = 1 << 30
-BLOCK_WORDS = 4_000_000
-#: Words in one row of the fold, rows of words packed at once, and rows of words a task of the fold takes.
-CHUNK, PACKED, TASK_WORDS = 500, 1 << 16, 250_000
+BLOCK_WORDS = 6_000_000
+#: Words in one row of the fold, and words of all blocks that go to one bucket.
+CHUNK, BUCKET_WORDS = 500, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -243,33 +244,68 @@ def _blocks(block_words: int, schema: pa.Schema):
     return run
 
 
+def _places(x: np.ndarray) -> bytes:
+    """Ascending numbers by their steps."""
+    return _planes(np.diff(x, prepend=0))
+
+
+def _asked(buckets: int):
+    """Blocks to their distinct words, parted by a hash of the word: places in the block, sizes, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(1)[k].values
+                bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                words = words.take(pa.array(order)).cast(pa.large_binary())
+                offsets, raw = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1], words.buffers()[2]
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(cut))
+                parts = [(cut[b], cut[b + 1]) for b in used]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(used), pa.int64()), pa.array([_places(order[a:b]) for a, b in parts], pa.binary()),
+                     pa.array([_planes(np.diff(offsets[a : b + 1])) for a, b in parts], pa.binary()),
+                     pa.array([zstandard.compress(memoryview(raw)[offsets[a] : offsets[b]], 3) for a, b in parts], pa.binary())], ["bucket", "block", "places", "sizes", "data"]
+                )
+
+    return run
+
+
 def _pack(ranks: RankMap, schema: pa.Schema):
-    """Batches of (word, block, place) in order of word to rows of some hundred distinct words as the
-    fold begins with them, and, for each of their rows, the word's number, block and place."""
+    """A bucket's words to rows of some hundred distinct ones as the fold begins with them, and, for each
+    block that has them, the word's number, block and place."""
     starts = _starts(ranks, schema.field("words").type.value_type)
 
-    def packed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        coded = rows.column(0).dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-        block, place = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+    def packed(rows: list) -> Iterator[pa.RecordBatch]:
+        block, places, sizes, data = zip(*rows, strict=True)
+        places = [np.cumsum(_numbers(x.as_py()).astype(np.int64)) for x in places]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([_numbers(x.as_py()) for x in sizes]).astype(np.int64))])
+        raw = b"".join(zstandard.decompress(x.as_py()) for x in data)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(which, kind="stable")
+        which, place = which[order].astype("<i4"), np.concatenate(places)[order].astype("<i4")
+        block = np.repeat([b.as_py() for b in block], [*map(len, places)])[order].astype("<i8")
         for at in range(0, len(coded.dictionary), CHUNK):
             part = coded.dictionary.slice(at, CHUNK)
             own = slice(*np.searchsorted(which, [at, at + len(part)]))
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), starts(part), type=schema.field(0).type), pa.array([(which[own] - at).tobytes()], pa.binary()),
-                 pa.array([block[own].astype("<i8").tobytes()], pa.binary()), pa.array([place[own].astype("<i4").tobytes()], pa.binary())], schema=schema
+                 pa.array([block[own].tobytes()], pa.binary()), pa.array([place[own].tobytes()], pa.binary())], schema=schema
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, total = [], 0
+        rows, last = [], None
         for batch in batches:
-            rows.append(batch)
-            total += batch.num_rows
-            if total >= PACKED:
-                yield from packed(rows)
-                rows, total = [], 0
-        if total:
+            for bucket, *row in zip(*batch.columns, strict=True):
+                if rows and bucket.as_py() != last:
+                    yield from packed(rows)
+                    rows = []
+                last = bucket.as_py()
+                rows.append(row)
+        if rows:
             yield from packed(rows)
 
     return run
@@ -278,16 +314,17 @@ def _pack(ranks: RankMap, schema: pa.Schema):
 def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of words' tokens to, for each block that has some of them, their places, sizes and tokens."""
     for batch in batches:
-        words = batch.column(0).flatten()
+        lists = batch.column(0)
+        words = lists.flatten()
         if not len(words):
             continue
-        flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        flat = words.flatten().to_numpy(zero_copy_only=False)
         padded = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         # Less the pads around each word.
         start, size = np.cumsum(padded) - padded + 1, padded - 2
-        before = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False)) - batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+        per_row = lists.value_lengths().to_numpy(zero_copy_only=False)
         whole = lambda k, kind: [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
-        which = np.concatenate([x.astype(np.int64) + b for x, b in zip(whole(1, "<i4"), before, strict=True)])
+        which = np.concatenate([x.astype(np.int64) + b for x, b in zip(whole(1, "<i4"), np.cumsum(per_row) - per_row, strict=True)])
         block, place = np.concatenate(whole(2, "<i8")), np.concatenate(whole(3, "<i4"))
         order = np.lexsort((place, block))
         which, block, place = which[order], block[order], place[order]
@@ -297,8 +334,8 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(n)
         cuts = [*zip(head, np.append(head[1:], len(block)), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block[head], pa.int64()), pa.array([place[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype("<i4").tobytes() for a, b in cuts], pa.binary()),
-             pa.array([tokens[ends[a] - n[a] : ends[b - 1]].tobytes() for a, b in cuts], pa.binary())], ["block", "places", "sizes", "tokens"]
+            [pa.array(block[head], pa.int64()), pa.array([_places(place[a:b]) for a, b in cuts], pa.binary()), pa.array([_planes(n[a:b]) for a, b in cuts], pa.binary()),
+             pa.array([_planes(tokens[ends[a] - n[a] : ends[b - 1]]) for a, b in cuts], pa.binary())], ["block", "places", "sizes", "tokens"]
         )
 
 
@@ -306,8 +343,8 @@ def _documents(schema: pa.Schema):
     """A block and its words' tokens to one row a document."""
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        read = lambda name: np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x.as_buffer(), "<i4") for x in replies[name])]).astype(np.int64)
-        place, n, flat = read("places"), read("sizes"), read("tokens").astype("<i4")
+        read = lambda name: [np.zeros(0, np.int64), *(_numbers(x.as_py()).astype(np.int64) for x in replies[name])]
+        place, n, flat = np.concatenate([*map(np.cumsum, read("places"))]), np.concatenate(read("sizes")), np.concatenate(read("tokens")).astype("<i4")
         start, size = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         start[place], size[place] = np.cumsum(n) - n, n
         out = []
@@ -361,14 +398,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     blocks = staged(words.mapInArrow(_blocks(block_words, to_arrow_schema(shape)), shape), "word-blocks")
     size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
     cores = spark.sparkContext.defaultParallelism
-    fold_tasks = max(1, min(2 * cores, size.words // (TASK_WORDS // 10)), size.words // TASK_WORDS)
+    buckets = max(1, min(2 * cores, size.words // (BUCKET_WORDS // 10)), size.words // BUCKET_WORDS)
     block_tasks = max(1, min(size.blocks, 4 * cores), size.blocks // 8)
 
     word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
     packed = StructType([StructField("words", ArrayType(word)), *(StructField(c, BinaryType()) for c in ("which", "blocks", "places"))])
-    asked = blocks.select(F.posexplode("words").alias("place", "word"), "block").select("word", "block", "place")
-    asked = asked.repartition(fold_tasks, "word").sortWithinPartitions("word")
-    folded = asked.mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
+    asked = blocks.select("block", "words").mapInArrow(_asked(buckets), "bucket long, block long, places binary, sizes binary, data binary")
+    folded = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
         F.transform("words", lambda w: merged(w, ranks)).alias("tokens"), "which", "blocks", "places"
     )
     replies = folded.mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")
