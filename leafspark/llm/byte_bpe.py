@@ -42,6 +42,8 @@ REST = 1 << 30
 BLOCK_WORDS = 6_000_000
 #: Words in one row of the fold, and words of all blocks that go to one bucket.
 CHUNK, BUCKET_WORDS = 500, 250_000
+#: Tokens in a batch of documents.
+OUT_TOKENS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -340,29 +342,40 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(schema: pa.Schema):
-    """A block and its words' tokens to one row a document."""
+    """In order of block, its words' tokens and then the block itself, to one row a document."""
 
-    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        read = lambda name: [np.zeros(0, np.int64), *(_numbers(x.as_py()).astype(np.int64) for x in replies[name])]
-        place, n, flat = np.concatenate([*map(np.cumsum, read("places"))]), np.concatenate(read("sizes")), np.concatenate(read("tokens")).astype("<i4")
+    def batch(docs: pa.Array, parts: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array([*map(len, parts)], dtype=np.int64)
+        offsets, tokens = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), np.concatenate(parts)
+        raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(4 * offsets), pa.py_buffer(tokens)])
+        return pa.RecordBatch.from_arrays([docs, pa.array(lengths), raw, pa.ListArray.from_arrays(offsets, tokens, type=schema.field(3).type)], schema=schema)
+
+    def documents(docs: pa.Array, counts: np.ndarray, number: np.ndarray, replies: list) -> Iterator[pa.RecordBatch]:
+        read = lambda k: [np.zeros(0, np.int64), *(_numbers(x[k]).astype(np.int64) for x in replies)]
+        place, n, flat = np.concatenate([*map(np.cumsum, read(0))]), np.concatenate(read(1)), np.concatenate(read(2)).astype("<i4")
         start, size = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         start[place], size[place] = np.cumsum(n) - n, n
-        out = []
-        for k in range(blocks.num_rows):
-            docs, counts = blocks["docs"][k].values, blocks["counts"][k].values.to_numpy(zero_copy_only=False)
-            number = _numbers(blocks["numbers"][k].as_py())
-            ends, last = np.zeros(len(counts), dtype=np.int64), np.cumsum(counts)
-            parts = []
-            for i, (a, b) in enumerate(zip(last - counts, last, strict=True)):
-                own = number[a:b]
-                m = size[own]
-                parts.append(flat[np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
-                ends[i] = len(parts[-1])
-            lengths, tokens = ends, np.concatenate([np.zeros(0, "<i4"), *parts])
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(4 * offsets), pa.py_buffer(tokens)])
-            out.append(pa.table([docs, pa.array(lengths, pa.int64()), raw, pa.ListArray.from_arrays(offsets, tokens, type=schema.field(3).type)], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        last = np.cumsum(counts)
+        parts, done, total = [], 0, 0
+        for i, (a, b) in enumerate(zip(last - counts, last, strict=True)):
+            own = number[a:b]
+            m = size[own]
+            parts.append(flat[np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
+            total += len(parts[-1])
+            if total > OUT_TOKENS or i == len(counts) - 1:
+                yield batch(docs.slice(done, len(parts)), parts)
+                parts, done, total = [], i + 1, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replies = []
+        for rows in batches:
+            docs, counts, numbers = rows.column(1), rows.column(2), rows.column(3)
+            for k in range(rows.num_rows):
+                if numbers[k].is_valid:
+                    yield from documents(docs[k].values, counts[k].values.to_numpy(zero_copy_only=False), _numbers(numbers[k].as_py()), replies)
+                    replies = []
+                else:
+                    replies.append([rows.column(c)[k].as_py() for c in (4, 5, 6)])
 
     return run
 
@@ -409,8 +422,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     )
     replies = folded.mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")
     out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("tokens", ArrayType(IntegerType()))])
-    whole = blocks.select("block", "docs", "counts", "numbers").repartition(block_tasks, "block").groupBy("block")
-    return whole.cogroup(replies.repartition(block_tasks, "block").groupBy("block")).applyInArrow(_documents(to_arrow_schema(out)), out)
+    # Replies to a block come before it.
+    both = blocks.drop("words").unionByName(replies, allowMissingColumns=True).repartition(block_tasks, "block")
+    return both.sortWithinPartitions("block", F.col("numbers").isNotNull()).mapInArrow(_documents(to_arrow_schema(out)), out)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
