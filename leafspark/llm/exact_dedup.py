@@ -1,15 +1,18 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the normalised texts by their beginnings and, where these are alike,
-their hashes; each partition is sorted externally so that equal texts stand together, and each row is
-compared in full with its neighbours. A text's rows are spread over ``salts`` sub-keys of the sort, so
-a text that a third of all rows share fills many partitions; the heads of its runs, at most ``salts``
-rows a text, are then merged by digest.
+The normalised texts are written once. Sampled splitters range-partition them by their beginnings and,
+where these are alike, their hashes; each partition is sorted externally by the whole text, so that equal
+texts stand together, and each row is compared in full with its neighbour to find where a run of equals
+ends. The first of a run has the most code points and then the least id.
+
+A text with more than ``hot`` rows, by the counts of the hashes, is cut into that many times as many runs,
+which may lie in different partitions. The first rows of these runs, with their texts, are sorted and
+compared in the same way and so stitched; all other texts have one run.
 
 Defined results: a null text counts as empty; empty texts equal each other; among equal texts the row
 with the most code points stays, then the smallest id (a null id last), and of rows repeated with one
 id exactly one is ``kept``. An empty table gives no rows. Other columns are ignored by
-``duplicate_groups`` and passed on by ``exact_dedup``.
+``duplicate_groups`` and passed on by ``exact_dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,64 +20,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafspark.llm.common import staged, table, without_blanks
+from leafspark.llm.common import broadcast_up_to, staged, table, without_blanks
 
-#: Characters of a text in the sort's splitters.
-HEAD = 32
+#: Characters of a text in the sort's splitters, and rows of one text in a run.
+HEAD, HOT = 32, 10_000
 
 
 def normalised(text: Column) -> Column:
     return without_blanks(F.coalesce(text, F.lit("")))
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
-        normalised(F.col(text_col)).alias("norm"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
-    )
-    # The splitters, which the driver gathers, are short: a text's beginning, then its hash.
-    rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("mark", F.xxhash64("norm"))
-    run = Window.partitionBy("head", "mark", "norm", "salt").orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
-    placed = staged(
-        rows.repartitionByRange("head", "mark", "salt")
-        .withColumn("place", F.row_number().over(run))
-        .withColumn("head_id", F.first("doc_id").over(run))
-        .withColumn("head_chars", F.first("n_chars").over(run))
-        .select("doc_id", "salt", "place", "head_id", "head_chars", F.sha2("norm", 256).alias("text_sha256")),
-        "content-sort",
+def sorted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text_sha256, mark (a hash of the text), part (of a hot
+    text), its place in its run of equal texts, the run's rows, and its first row's head_id and head_chars;
+    ``norm`` is the text of the first rows of a hot text's runs, and null elsewhere."""
+    rows = staged(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
+            normalised(F.col(text_col)).alias("norm"),
+        )
+        # The splitters, which the driver gathers, are short: a text's beginning, then its hash.
+        .withColumn("head", F.substring("norm", 1, HEAD))
+        .withColumn("mark", F.xxhash64("norm")),
+        "normalised",
     )
-    runs = placed.groupBy("text_sha256", "salt").agg(
-        F.count(F.lit(1)).alias("n"), F.max("head_chars").alias("head_chars"), F.min("head_id").alias("head_id")
+    many = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("mark", F.ceil(F.col("n") / hot).alias("parts"))
+    rows = rows.join(broadcast_up_to(staged(many, "hot-texts"), 100_000), "mark", "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("doc_id", "n_chars"), F.col("parts")), F.lit(0)).cast("int")
     )
-    text = Window.partitionBy("text_sha256")
-    best = text.orderBy(F.col("head_chars").desc(), F.col("head_id").asc_nulls_last())
-    groups = runs.select(
+    run = Window.partitionBy("head", "mark", "norm", "part")
+    first = run.orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
+    return staged(
+        rows.repartitionByRange("head", "mark", "part")
+        .withColumn("place", F.row_number().over(first))
+        .withColumn("head_id", F.first("doc_id").over(first))
+        .withColumn("head_chars", F.first("n_chars").over(first))
+        .withColumn("rows", F.count(F.lit(1)).over(run))
+        .select(
+            "doc_id", "mark", "part", "place", "rows", "head_id", "head_chars", F.sha2("norm", 256).alias("text_sha256"),
+            F.when((F.col("place") == 1) & F.col("parts").isNotNull(), F.col("norm")).alias("norm"),
+        ),
+        "content-sort",
+    )
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    placed = sorted_runs(docs, id_col, text_col, hot)
+    text = Window.partitionBy("mark", "norm")
+    best = text.orderBy(F.col("head_chars").desc(), F.col("head_id").asc_nulls_last(), "part")
+    stitched = placed.filter("norm is not null").select(
+        "mark",
+        "part",
         "text_sha256",
-        "salt",
-        F.sum("n").over(text).alias("group_size"),
-        F.first("head_id").over(best).alias("keep_id"),
-        F.first("salt").over(best).alias("keep_salt"),
+        F.sum("rows").over(text).alias("all_rows"),
+        F.first("head_id").over(best).alias("best_id"),
+        F.first("part").over(best).alias("best_part"),
     )
-    return placed.join(groups, ["text_sha256", "salt"]).select(
+    whole = F.col("best_part").isNull()
+    return placed.join(broadcast_up_to(staged(stitched, "stitched"), 100_000), ["mark", "part", "text_sha256"], "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        ((F.col("place") == 1) & (F.col("salt") == F.col("keep_salt"))).alias("kept"),
+        F.when(whole, F.col("head_id")).otherwise(F.col("best_id")).alias("keep_id"),
+        F.coalesce("all_rows", "rows").alias("group_size"),
+        ((F.col("place") == 1) & (whole | (F.col("part") == F.col("best_part")))).alias("kept"),
         "text_sha256",
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     key = lambda id_, sha: F.sha2(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), sha), 256)
-    kept = duplicate_groups(docs, id_col, text_col, salts).filter("kept")
-    kept = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    once = Window.partitionBy("_key").orderBy(F.length(text_col).desc_nulls_last())
-    rows = docs.withColumn("_key", key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)))
-    return rows.join(kept, "_key", "left_semi").withColumn("_place", F.row_number().over(once)).filter("_place = 1").drop("_key", "_place")
+    kept = duplicate_groups(docs, id_col, text_col, hot).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.length(F.col(text_col)).alias("size"), key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)).alias("key"))
+    once = Window.partitionBy("key").orderBy(F.col("size").desc_nulls_last())
+    rows = rows.join(kept, "key", "left_semi").withColumn("place", F.row_number().over(once)).filter("place = 1")
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

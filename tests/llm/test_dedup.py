@@ -17,8 +17,9 @@ def test_same_as_sql(spark, module):
         assert normal(module.QUERIES[name](spark, SF_DIR).toPandas()) == normal(run_sql(sql))
 
 
-def test_exact_groups_of_odd_rows(docs):
-    rows = exact_dedup.duplicate_groups(docs).collect()
+@pytest.mark.parametrize("hot", [10_000, 1, 2])
+def test_exact_groups_of_odd_rows(docs, hot):
+    rows = exact_dedup.duplicate_groups(docs, hot=hot).collect()
     texts = [(i, re.sub(r"[\x20\x09-\x0D]", "", t or ""), len(t or "")) for i, t, _, _ in ROWS]
     assert len(rows) == len(ROWS)
     for r in rows:
@@ -29,6 +30,25 @@ def test_exact_groups_of_odd_rows(docs):
     assert sum(r.kept for r in rows) == len({x[1] for x in texts})
 
 
+def test_sort_brings_equals_together(spark, docs):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    norms = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in documents.collect()]
+    # Every row but the first of its text was compared with an equal neighbour.
+    placed = exact_dedup.sorted_runs(documents)
+    assert placed.filter("place > 1").count() == len(norms) - len(set(norms)) > 0
+    # A hot text is cut into runs, and they are stitched.
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("hot text"), F.repeat(F.lit(" "), (F.col("id") % 5).cast("int")))).otherwise(F.col("id").cast("string")).alias("text"))
+    assert exact_dedup.sorted_runs(many, hot=100).filter("place = 1 AND norm = 'hottext'").count() == 10
+    group = exact_dedup.duplicate_groups(many, hot=100).filter("group_size > 1").collect()
+    assert len(group) == 1000 and {(r.keep_id, r.group_size) for r in group} == {(9, 1000)} and [r.doc_id for r in group if r.kept] == [9]
+
+
+def test_exact_dedup_with_any_column_names(docs):
+    clashing = docs.withColumns({c: F.lit("own") for c in ("_key", "_place", "row", "size", "mark", "part", "best_part", "head")})
+    kept = exact_dedup.exact_dedup(clashing)
+    assert kept.columns == clashing.columns and kept.filter("_key = 'own' AND _place = 'own' AND head = 'own'").count() == exact_dedup.exact_dedup(docs).count()
+
+
 def test_exact_dedup_keeps_whole_rows_once(docs):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
