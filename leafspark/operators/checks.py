@@ -19,13 +19,55 @@ def text_checks(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("doc_id", F.inline(checks))
 
 
-def forbidden_strings(texts: DataFrame, needles: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``needles(item_id, needle)`` to the texts that hold each. Substring tests have no key, so the list is
-    broadcast; a longer one than ``limit`` is refused."""
-    if needles.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} forbidden strings")
-    found = texts.join(F.broadcast(needles), F.contains("text", "needle"))
-    return found.select("item_id", "doc_id")
+def forbidden_strings(texts: DataFrame, needles: DataFrame, part_chars: int = 8 << 20) -> DataFrame:
+    """``needles(item_id, needle)`` to the texts that hold each, whole needles in whole texts. Substring
+    tests have no key to join by: each task reads its texts once through an automaton of the needles. A
+    list of more than ``part_chars`` characters is taken in parts of that size, one pass over the texts
+    each. Null and empty needles are in no text."""
+    from collections.abc import Iterator
+
+    import ahocorasick
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    out = StructType([StructField("item_id", needles.schema["item_id"].dataType), StructField("doc_id", texts.schema["doc_id"].dataType)])
+    schema = to_arrow_schema(out)
+    held = needles.filter("length(needle) > 0").select("item_id", "needle")
+
+    def search(found: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, items = ahocorasick.Automaton(), {}
+            for item, needle in found:
+                items.setdefault(needle, []).append(item)
+            for needle, own in items.items():
+                automaton.add_word(needle, own)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, hits = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    own = {id(x): x for _, x in automaton.iter(text)} if text else {}
+                    for x in own.values():
+                        hits.extend(x)
+                        rows.extend([k] * len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(hits, schema.field(0).type), batch.column(0).take(pa.array(rows, pa.int64()))], schema=schema)
+
+        return texts.select("doc_id", "text").mapInArrow(run, out)
+
+    # The driver holds one part of the list at a time.
+    parts, now, size = [], [], 0
+    for row in held.toLocalIterator():
+        if now and size + len(row.needle) > part_chars:
+            parts.append(search(now))
+            now, size = [], 0
+        now.append((row.item_id, row.needle))
+        size += len(row.needle)
+    if now:
+        parts.append(search(now))
+    result = texts.sparkSession.createDataFrame([], out)
+    for part in parts:
+        result = result.union(part)
+    return result
 
 
 def occurrences(text, needle):

@@ -131,10 +131,17 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def coverage(boxes: DataFrame, step: int = 8) -> DataFrame:
     """``boxes(doc_id, page_index, x, y, width, height, page_w, page_h)``: the part of each page's area
-    in grid cells that a box touches."""
-    cells = lambda a, n: F.sequence(F.floor(F.col(a) / step), F.floor((F.col(a) + F.greatest(F.col(n), F.lit(0.0))) / step))
-    grid = boxes.withColumn("cx", F.explode(cells("x", "width"))).withColumn("cy", F.explode(cells("y", "height")))
-    return grid.groupBy(*PAGE).agg(F.least(F.count_distinct("cx", "cy") * step * step / F.max(F.col("page_w") * F.col("page_h")), F.lit(1.0)).alias("coverage"))
+    in grid cells that a box touches. A row of cells is a set of intervals, whose union a running maximum
+    gives; a page is shuffled once."""
+    last = lambda a, n: F.floor((F.col(a) + F.greatest(F.col(n), F.lit(0.0))) / step)
+    rows = boxes.select(
+        *PAGE, (F.col("page_w") * F.col("page_h")).alias("page_area"), F.floor(F.col("x") / step).alias("first"), last("x", "width").alias("last"),
+        F.explode(F.sequence(F.floor(F.col("y") / step), last("y", "height"))).alias("row"),
+    )
+    before = Window.partitionBy(*PAGE, "row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.coalesce(F.max("last").over(before), F.col("first") - 1), F.col("first") - 1)
+    rows = rows.repartition(*PAGE).withColumn("new", F.greatest(F.col("last") - reached, F.lit(0)))
+    return rows.groupBy(*PAGE).agg(F.least(F.sum("new") * step * step / F.max("page_area"), F.lit(1.0)).alias("coverage"))
 
 
 def cleaned_runs(runs: DataFrame, longest: int = 120) -> DataFrame:

@@ -39,10 +39,10 @@ def delete_pages(pages: DataFrame, marks: DataFrame) -> DataFrame:
     return pages.join(marks, ["doc_index", "page_index"], "left_anti")
 
 
-def interleave(pages: DataFrame, lead: Column) -> DataFrame:
-    """Pages of two documents in turn, the one ``lead`` is true for first; what the longer one has left
-    follows."""
-    order = Window.orderBy("page_index", F.when(lead, 0).otherwise(1))
+def interleave(pages: DataFrame, lead: Column, keys: list[str]) -> DataFrame:
+    """Pages of the two documents of each key in turn, the one ``lead`` is true for first; what the longer
+    one has left follows."""
+    order = Window.partitionBy(*keys).orderBy("page_index", F.when(lead, 0).otherwise(1))
     return pages.withColumn("out_pos", F.row_number().over(order) - 1)
 
 

@@ -114,7 +114,7 @@ def line_relations(s, d):
 
 
 def coverage_ratio(s, d):
-    runs = doc_runs(table(s, d, "documents")).withColumn("page_w", F.lit(612.0)).withColumn("page_h", F.lit(792.0)).withColumn("width", F.least("width", F.lit(468.0)))
+    runs = doc_runs(table(s, d, "documents")).withColumn("page_w", F.lit(612.0)).withColumn("page_h", F.lit(792.0))
     return L.coverage(runs)
 
 
@@ -283,7 +283,7 @@ SELECT l_orderkey, min(l_quantity) AS median FROM u WHERE upto >= half GROUP BY
 r AS (SELECT *, (baseline - pb) / greatest(0.1, pitch) AS gap_ratio, CASE WHEN abs(x0 - px0) <= 2 THEN 'left' WHEN abs(x1 - px1) <= 2 THEN 'right' WHEN abs((x0 + x1) / 2 - (px0 + px1) / 2) <= 2 THEN 'center' ELSE 'none' END AS sh, abs(font_size / greatest(ps, 0.1) - 1) <= 0.06 AND family = pf AS same, px1 < column_end - greatest(greatest(font_size, ps, 1) * 2, 12) AS short FROM b WHERE px0 IS NOT NULL)
 SELECT doc_id, page_index, line_no, gap_ratio, x0 - px0 AS indent_delta, x1 - px1 AS right_delta, sh AS shared_alignment, same AS same_typography,
 least(greatest(0.5::DOUBLE * least(greatest((1.8::DOUBLE - gap_ratio) / 0.8::DOUBLE, 0), 1) + 0.2::DOUBLE * CASE WHEN sh = 'none' THEN 0.25::DOUBLE ELSE 1 END + 0.2::DOUBLE * CASE WHEN same THEN 1 ELSE 0.3::DOUBLE END + 0.1::DOUBLE * CASE WHEN short THEN 0 ELSE 1 END, 0), 1) AS continuation FROM r""",
-    "coverage_ratio": f"""WITH {RUNS_SQL}, a AS (SELECT doc_id, page_index, unnest(range(floor(x / 8)::BIGINT, floor((x + least(width, 468)) / 8)::BIGINT + 1)) AS cx, y, height FROM doc_runs), b AS (SELECT doc_id, page_index, cx, unnest(range(floor(y / 8)::BIGINT, floor((y + height) / 8)::BIGINT + 1)) AS cy FROM a)
+    "coverage_ratio": f"""WITH {RUNS_SQL}, a AS (SELECT doc_id, page_index, unnest(range(floor(x / 8)::BIGINT, floor((x + width) / 8)::BIGINT + 1)) AS cx, y, height FROM doc_runs), b AS (SELECT doc_id, page_index, cx, unnest(range(floor(y / 8)::BIGINT, floor((y + height) / 8)::BIGINT + 1)) AS cy FROM a)
 SELECT doc_id, page_index, least(count(*) * 64 / (612.0::DOUBLE * 792.0::DOUBLE), 1.0::DOUBLE) AS coverage FROM (SELECT DISTINCT * FROM b) GROUP BY 1, 2""",
     "paragraph_alignment": f"""WITH l AS (SELECT *, CASE WHEN x0 - left_ > 2 AND abs((x0 - left_) - (right_ - x1)) <= 2 THEN 'center' WHEN x0 - left_ > 2 AND right_ - x1 <= 2 THEN 'right' ELSE 'left' END AS a, line_no < max(line_no) OVER (PARTITION BY para_id) AS inner_, x0 - left_ <= greatest(font_size, 1) * 1.6 AND right_ - x1 <= greatest(font_size, 1) * 1.6 AS fills FROM {literal_sql(*ALIGNED)}),
 s AS (SELECT para_id, count(*) AS n, count(*) FILTER (a = 'center') AS c, count(*) FILTER (a = 'right') AS r, coalesce(bool_and(fills) FILTER (inner_), false) AS f FROM l GROUP BY 1)

@@ -53,8 +53,9 @@ def delete_pages(s, d):
 
 
 def interleave_pages(s, d):
-    pages = _pages(s, d).filter("doc_index IN (1, 7)")
-    return P.interleave(pages, F.col("doc_index") == 7).select("out_pos", "doc_index", "page_index")
+    """Each document of odd number in turn with the one before it, the odd one first."""
+    pages = _pages(s, d).withColumn("pair", F.floor(F.col("doc_index") / 2))
+    return P.interleave(pages, F.col("doc_index") % 2 == 1, ["pair"]).select("pair", "out_pos", "doc_index", "page_index")
 
 
 def page_ranges(s, d):
@@ -164,7 +165,7 @@ SQL = {
     "select_pages": f"WITH {_LINE} SELECT r.out_pos, r.doc_index, r.page_index, r.rotate, p.l_partkey FROM {literal_sql(*REFS)} r JOIN lineitem_pages p USING (doc_index, page_index)",
     "missing_pages": f"WITH {_LINE} SELECT out_pos, doc_index, page_index FROM {literal_sql(*REFS)} r WHERE NOT EXISTS (SELECT 1 FROM lineitem_pages p WHERE p.doc_index = r.doc_index AND p.page_index = r.page_index)",
     "delete_pages": f"WITH {_LINE} SELECT doc_index, page_index FROM lineitem_pages WHERE page_index % 2 <> 0",
-    "interleave_pages": f"WITH {_LINE} SELECT row_number() OVER (ORDER BY page_index, CASE WHEN doc_index = 7 THEN 0 ELSE 1 END) - 1 AS out_pos, doc_index, page_index FROM lineitem_pages WHERE doc_index IN (1, 7)",
+    "interleave_pages": f"WITH {_LINE} SELECT doc_index // 2 AS pair, row_number() OVER (PARTITION BY doc_index // 2 ORDER BY page_index, 1 - doc_index % 2) - 1 AS out_pos, doc_index, page_index FROM lineitem_pages",
     "page_ranges": f"""WITH p AS (SELECT spec, page_count, trim(unnest(regexp_split_to_array(spec, '[,;\\n]'))) AS part FROM {literal_sql(*RANGES)}),
 q AS (SELECT spec, page_count, part LIKE '%-%' AS dash, try_cast(nullif(trim(split_part(part, '-', 1)), '') AS INT) AS a, try_cast(nullif(trim(split_part(part, '-', 2)), '') AS INT) AS b FROM p WHERE part <> ''),
 r AS (SELECT spec, page_count, least(greatest(coalesce(a, 1), 1), page_count) AS lo, least(greatest(CASE WHEN dash THEN coalesce(b, page_count) ELSE a END, 1), page_count) AS hi FROM q)

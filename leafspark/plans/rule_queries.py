@@ -44,8 +44,7 @@ def hex_colours(s, d):
 
 
 def ocr_routing(s, d):
-    pages = doc_pages(table(s, d, "documents")).withColumn("text", F.substring("text", 1, 20))
-    return pages.select("doc_id", "page_index", R.ocr_route(F.col("text")).alias("route"))
+    return doc_pages(table(s, d, "documents")).select("doc_id", "page_index", R.ocr_route(F.col("text")).alias("route"))
 
 
 def text_layers(s, d):
@@ -105,7 +104,7 @@ SELECT doc_id, least(greatest(120000 + (n - 1) * 750, 15000), 900000) AS timeout
 CASE WHEN width < CASE kind WHEN 'text' THEN 20 ELSE 8 END OR height < CASE kind WHEN 'text' THEN 10 ELSE 8 END THEN 'size' END, CASE WHEN kind = 'text' AND size NOT BETWEEN 4 AND 48 THEN 'font' END], lambda x: x IS NOT NULL), ',') AS errors FROM {literal_sql(*FIELDS)}""",
     "hex_colours": f"""WITH c AS (SELECT id, CASE WHEN regexp_matches(colour, '^#[0-9a-fA-F]{{3}}$') THEN colour[2] || colour[2] || colour[3] || colour[3] || colour[4] || colour[4] WHEN regexp_matches(colour, '^#[0-9a-fA-F]{{6}}$') THEN colour[2:7] ELSE '000000' END AS h FROM {literal_sql(*COLOURS)})
 SELECT id, ('0x' || h[1:2])::INT AS r, ('0x' || h[3:4])::INT AS g, ('0x' || h[5:6])::INT AS b FROM c""",
-    "ocr_routing": f"WITH {PAGES_SQL} SELECT doc_id, page_index, CASE WHEN length(regexp_replace(left(text, 20), '\\s', '', 'g')) >= 16 THEN 'copy' ELSE 'recognise' END AS route FROM doc_pages",
+    "ocr_routing": f"WITH {PAGES_SQL} SELECT doc_id, page_index, CASE WHEN length(regexp_replace(text, '\\s', '', 'g')) >= 16 THEN 'copy' ELSE 'recognise' END AS route FROM doc_pages",
     "text_layers": f"""WITH t AS (SELECT doc_id, page_index, count(*) FILTER (NOT image) AS n, count(*) FILTER (NOT image AND render_mode = 3) AS h, count(*) FILTER (image) AS i FROM {literal_sql(*OBJECTS)} GROUP BY 1, 2)
 SELECT doc_id, page_index, CASE WHEN n = 0 THEN 'none' WHEN h = n THEN 'ocr' WHEN h > 0 THEN 'mixed' ELSE 'native' END AS layer, i > 0 AND n = 0 AS scan FROM t""",
     "role_certainties": f"SELECT id, CASE WHEN role = 'heading' THEN CASE WHEN size / body >= 1.16 THEN 0.95 WHEN bold THEN 0.85 ELSE 0.7 END WHEN role = 'caption' THEN 0.78 WHEN role = 'footnote' THEN 0.75 WHEN role IN ('header', 'footer') THEN 0.88 WHEN role = 'list-item' THEN 0.9 WHEN role = 'table-cell' THEN 0.72 ELSE 0.8 END::DOUBLE AS certainty FROM {literal_sql(*ROLES)}",

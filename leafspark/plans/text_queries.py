@@ -111,7 +111,7 @@ def checks_passed(s, d):
 
 
 def forbidden_strings(s, d):
-    needles = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("needle")).filter("length(needle) > 0")
+    needles = table(s, d, "benchmark").select("item_id", F.col("text").alias("needle"))
     return C.forbidden_strings(table(s, d, "documents").select("doc_id", "text"), needles)
 
 
@@ -183,7 +183,7 @@ n AS (SELECT id, (length(before) - length(replace(before, old, ''))) // length(o
 SELECT id, 'replacement-present' AS name, come >= 1 AS ok, come::VARCHAR AS detail FROM n UNION ALL SELECT id, 'residual-original', gone >= 1, gone::VARCHAR FROM n""",
     "redaction_checks": f"WITH {_CHECKS} SELECT * FROM checks",
     "checks_passed": f"WITH {_CHECKS} SELECT doc_id, bool_and(ok) AS ok FROM checks GROUP BY doc_id",
-    "forbidden_strings": "SELECT item_id, doc_id FROM documents d JOIN (SELECT item_id, left(text, 40) AS needle FROM benchmark) b ON contains(d.text, b.needle) WHERE length(needle) > 0",
+    "forbidden_strings": "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
     "auroc_score": """WITH r AS (SELECT quality = 1 AS label, n_chars::DOUBLE AS score FROM labels JOIN documents USING (doc_id)),
 k AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM r),
 s AS (SELECT sum(r) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n FROM k)
