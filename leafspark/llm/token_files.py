@@ -17,7 +17,8 @@ with all numbers little-endian.
 
 Defined results: a null text counts as empty and has the end id alone; null document ids come first;
 documents of one id stand side by side, in the order of their texts; an empty table makes empty files;
-other columns are ignored. Text that looks like a special token is ordinary text. A block whose
+other columns are ignored. Text that spells a special token becomes that token, as the library has it
+by default. A block whose
 checksum doesn't match raises an error.
 """
 
@@ -197,7 +198,6 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that end a run of letters, digits or marks.
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -250,8 +250,8 @@ class _Words:
         number = self.number
         new = [w for w in words if w not in number]
         if new:
-            # The tokenizer makes lower case, and parts closing marks from the letters before them.
-            plain = [w.lower() if w.isascii() else w for w in new]
+            # The tokenizer makes lower case, but in special tokens, and parts closing marks from the letters before them.
+            plain = [w.lower() if w.isascii() and b"<|" not in w else w for w in new]
             wanted = set(plain).difference(number)
             heads = {w: head for w in wanted if 0 < len(head := w.rstrip(MARKS)) < len(w) and _all_letters(head)}
             marked = [*heads]

@@ -92,7 +92,6 @@ def test_rank_map_has_every_pair(spark):
 
 def test_token_files_round_trip(spark, docs):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     path = common.new_path(spark, "test-files")
     token_files.write_files(docs, path, WORDS)
     rows = token_files.read_files(spark, path).orderBy("start").collect()
@@ -106,11 +105,10 @@ def test_token_files_round_trip(spark, docs):
 
 def test_words_one_by_one_are_the_librarys():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(4)
     letters = "aBcéßÀñİΣσς中أ\u0939\u093f\u094d\u0958K½²1٣_'’.,!?$#&*()<>|-…\u0338\u0301ﬁ한ᄒ"
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(30)) for _ in range(300)]
-    texts += ["don't, can't! it's. 'tis we're.. a<|endoftext|> <|endoftext|>, x<|endoftext|>.", "", " ", " \x0b\x0c a  b\x1cc ", None]
+    texts += ["don't, can't! it's. 'tis we're.. a<|endoftext|> <|endoftext|>, x<|endoftext|>.", "a <|endoftext|> b <|EndOfText|>, <|STARTOFTEXT|>x<|startoftext|><|endoftext|>", "", " ", " \x0b\x0c a  b\x1cc ", None]
     ids, n = token_files.encode_texts(WORDS, pa.array(texts), 2)
     wanted = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     assert n.tolist() == [*map(len, wanted)]
