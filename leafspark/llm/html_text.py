@@ -5,10 +5,12 @@ groups), visibility rules drop what a browser doesn't show, and the rest is rend
 around paragraphs, headings and lists, markers and indents for list items, and table cells in columns.
 Tokenising, building and rendering are linear in the page, without recursion over elements.
 
-Hidden: head, script, style, template, noscript, iframe and the like; the ``hidden`` attribute; inline
-display:none and visibility:hidden; closed dialogs and the body of closed details; hidden inputs.
-A column is padded to its widest line where that is at most 80 characters; tables nested deeper than 20
-are rendered as blocks. Nothing visible is left out.
+Hidden: head, script, style, template, noscript, iframe, media and the like; the ``hidden`` attribute;
+inline display:none, and visibility:hidden but for descendants that are visible again; closed dialogs and
+the body of closed details; inputs that show no value; of graphics all but their texts, and the
+annotations of formulas. In a table, text wraps at 80 characters and a column is as wide as its widest
+line up to that; single words, preformatted lines and inner tables beyond it overflow. Elements nested
+deeper than 512 are put beside each other at that depth, as browsers do. Nothing visible is left out.
 
 Defined results: null and empty pages give an empty text; unclosed tags, comments and quotes run to the
 end as in a browser; repeated rows are rendered alike; an empty table gives no rows; other columns are
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,11 @@ def _set(names: str) -> frozenset[str]:
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style xmp iframe noembed noframes")
 RCDATA = _set("textarea title")
-HIDDEN = _set("head script style template noscript iframe noembed noframes title datalist audio video canvas object svg math")
+HIDDEN = _set("head script style template noscript iframe noembed noframes title datalist audio video canvas annotation annotation-xml")
+#: Inside graphics, what shows its text; elsewhere everything does.
+DRAWN = _set("text foreignobject")
+#: Inputs that show their value.
+VALUED = _set("text search url tel email number date month week time datetime-local submit button reset")
 #: A blank line stands around these, a line break around the blocks.
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table hr fieldset figure menu article section main header footer nav aside address details")
 BLOCKS = SPACED | _set("html body div li dt dd form center dir figcaption legend summary tr td th thead tbody tfoot caption option optgroup hgroup search dialog")
@@ -56,12 +63,13 @@ IMPLIED = {
     "tfoot": (_set("thead tbody tfoot tr td th caption colgroup"), _set("table")),
 }
 SCOPE = _set("td th table caption button html body")
-WIDEST, DEEPEST = 80, 20
+WIDEST, DEEPEST = 80, 512
 
 _NAME = re.compile(r"[^\s/>]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
 _QUOTE = re.compile(r"=\s*([\"'])")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW | RCDATA}
 
@@ -135,47 +143,43 @@ def tokens(page: str):
 def tree(page: str) -> Node:
     """The page's elements under a root, with the tags that the standard implies."""
     root = Node("html", {})
-    stack, open_count = [root], {"html": 1}
+    stack, places = [root], {"html": [0]}
 
     def push(name: str, attributes: dict[str, str]) -> None:
         node = Node(name, attributes)
-        stack[-1].children.append(node)
+        stack[min(len(stack), DEEPEST) - 1].children.append(node)
+        places.setdefault(name, []).append(len(stack))
         stack.append(node)
-        open_count[name] = open_count.get(name, 0) + 1
 
     def pop_to(size: int) -> None:
         while len(stack) > size:
-            open_count[stack.pop().name] -= 1
+            places[stack.pop().name].pop()
+
+    def innermost(names) -> int:
+        """The place of the innermost open element of ``names``, 0 if there is none."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def close(names, barriers) -> None:
         """Ends the outermost open element of ``names`` inside the nearest barrier."""
-        if not any(open_count.get(x) for x in names):
-            return
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in barriers:
-                break
-            if stack[k].name in names:
-                found = k
-        if found:
-            pop_to(found)
+        inside = innermost(names)
+        if inside:
+            barrier = innermost(barriers)
+            found = [own[at] for x in names if (own := places.get(x)) and (at := bisect_right(own, barrier)) < len(own)]
+            if found:
+                pop_to(min(found))
 
     for kind, value, attributes in tokens(page):
         if kind == "text":
-            if open_count.get("head") and stack[-1].name == "head" and value.strip():
+            if places.get("head") and stack[-1].name == "head" and value.strip():
                 close(("head",), ())
             stack[-1].children.append(value)
         elif kind == "end":
             if value == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif value not in ("html", "body") and open_count.get(value):
-                barriers = SCOPE - {value} if value not in ("table", "tr", "thead", "tbody", "tfoot") else _set("html")
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == value:
-                        pop_to(k)
-                        break
-                    if stack[k].name in barriers:
-                        break
+            elif value not in ("html", "body") and places.get(value):
+                barriers = SCOPE - {value} if value not in ("table", "tr", "thead", "tbody", "tfoot") else ()
+                if (own := places[value][-1]) > innermost(barriers):
+                    pop_to(own)
             elif value == "p":
                 stack[-1].children.append(Node("p", {}))
         else:
@@ -184,33 +188,40 @@ def tree(page: str) -> Node:
                 continue
             if value == "body" or (stack[-1].name == "head" and value not in ("title", "style", "script", "meta", "link", "base", "noscript", "template")):
                 close(("head",), ())
-            if value == "body" and open_count.get("body"):
+            if value == "body" and places.get("body"):
                 continue
             if value in CLOSES_P:
                 close(("p",), SCOPE)
             if value in IMPLIED:
                 close(*IMPLIED[value])
-            if value in ("td", "th") and open_count.get("table") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
+            if value in ("td", "th") and places.get("table") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
                 push("tr", {})
+            push(value, attributes)
             if value in VOID:
-                stack[-1].children.append(Node(value, attributes))
-            else:
-                push(value, attributes)
+                pop_to(len(stack) - 1)
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     a = node.attributes
     if node.name in HIDDEN or "hidden" in a or (node.name == "dialog" and "open" not in a):
         return False
-    return not (a and "style" in a and _UNSEEN.search(a["style"]))
+    return not (a and "style" in a and _GONE.search(a["style"]))
+
+
+def shown(node: Node, inherited: bool) -> bool:
+    """Whether the element's own text is seen; descendants may differ."""
+    found = _VISIBILITY.findall(node.attributes.get("style", ""))
+    return found[-1].lower() not in ("hidden", "collapse") if found else inherited
 
 
 class Page:
     """Text with pending breaks, indents and list markers; a break comes out when text follows it."""
 
-    def __init__(self):
+    def __init__(self, wrap: int = 0):
         self.out: list[str] = []
+        self.wrap = wrap  # the length of lines of running text, 0 for any
+        self.used = 0
         self.breaks = 0
         self.space = False
         self.fresh = True  # at the start of a line
@@ -232,6 +243,7 @@ class Page:
         if self.fresh:
             # A waiting marker stands where its item's own indent would.
             self.out.append("".join(self.indents[: len(self.indents) - len(self.markers)] + self.markers))
+            self.used = len(self.out[-1])
             self.markers.clear()
             self.fresh = self.space = False
 
@@ -243,9 +255,17 @@ class Page:
         self.space = self.space or words[0] == " "
         fresh = self.fresh or (self.breaks and self.out)
         self._open()
-        if self.space and not fresh:
-            self.out.append(" ")
-        self.out.append(words.strip(" "))
+        for k, word in enumerate(words.strip(" ").split(" ") if self.wrap else (words.strip(" "),)):
+            size = _width(word) if self.wrap else 0
+            if (k or self.space) and not (fresh and not k):
+                if self.wrap and self.used + 1 + size > self.wrap:
+                    self.breaks = max(self.breaks, 1)
+                    self._open()
+                else:
+                    self.out.append(" ")
+                    self.used += 1
+            self.out.append(word)
+            self.used += size
         self.space = words[-1] == " "
 
     def lines(self, value: str) -> None:
@@ -265,16 +285,17 @@ def _number(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else default
 
 
-def render(root: Node, depth: int = 0) -> str:
+def render(root: Node, seen: bool = True, wrap: int = 0) -> str:
     """The visible text of the elements in ``root``."""
-    page = Page()
-    # (node, entered): an element stands on the stack once to be entered and once to be left.
-    stack: list = [(child, False, False) for child in reversed(root.children)]
+    page = Page(wrap)
+    # An element stands on the stack once to be entered and once to be left; text in graphics is not drawn.
+    stack: list = [(child, False, False, seen, True) for child in reversed(root.children)]
     lists: list[list[int]] = []
     while stack:
-        node, left, pre = stack.pop()
+        node, left, pre, seen, drawn = stack.pop()
         if isinstance(node, str):
-            page.lines(node) if pre else page.text(node)
+            if seen and drawn:
+                page.lines(node) if pre else page.text(node)
             continue
         name = node.name
         if left:
@@ -285,30 +306,36 @@ def render(root: Node, depth: int = 0) -> str:
                 lists.pop()
             elif name in ("blockquote", "dd"):
                 page.indents.pop()
-            elif name == "q":
+            elif name == "q" and seen:
                 page.text("”")
             page.break_line(2 if name in SPACED and not (name in ("ul", "ol", "menu") and lists) else 1) if name in BLOCKS else None
             continue
-        if not visible(node):
+        if not displayed(node):
             continue
+        seen = shown(node, seen)
         if name == "br":
             page.line_break()
             continue
         if name == "input":
-            if node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") and node.attributes.get("value"):
+            if seen and node.attributes.get("type", "text").lower() in VALUED and node.attributes.get("value"):
                 page.text(node.attributes["value"])
             continue
         if name in BLOCKS:
             page.break_line(2 if name in SPACED and not (name in ("ul", "ol", "menu") and lists) else 1)
         if name in VOID:
             continue
-        if name == "table" and depth < DEEPEST:
+        if name == "table":
             page.break_line(2)
-            page.lines(_table(node, depth))
+            page.lines(_table(node, seen))
             page.break_line(2)
             continue
         if name in ("td", "th"):
             page.space = True
+        elif name == "svg":
+            drawn = False
+        elif name in DRAWN:
+            page.space = page.space or not drawn
+            drawn = True
         children = node.children
         if name == "details" and "open" not in node.attributes:
             children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
@@ -321,17 +348,17 @@ def render(root: Node, depth: int = 0) -> str:
             if lists and lists[-1][0]:
                 number = _number(node.attributes.get("value"), lists[-1][1])
                 marker, lists[-1][1] = f"{number}. ", number + 1
-            page.markers.append(marker)
+            page.markers.append(marker if seen else "  ")
             page.indents.append("  ")
         elif name in ("blockquote", "dd"):
             page.indents.append("  ")
-        elif name == "q":
+        elif name == "q" and seen:
             page.text("“")
         elif name == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
-        stack.append((node, True, pre))
+        stack.append((node, True, pre, seen, drawn))
         inner = pre or name in ("pre", "textarea", "xmp")
-        stack.extend((c, False, inner) for c in reversed(children))
+        stack.extend((c, False, inner, seen, drawn) for c in reversed(children))
     return page.result()
 
 
@@ -339,48 +366,47 @@ def _width(line: str) -> int:
     return len(line) if line.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else not unicodedata.combining(c) for c in line)
 
 
-def _table(node: Node, depth: int) -> str:
+def _table(node: Node, seen: bool) -> str:
     """A table's caption and other loose content, then its rows with their cells in columns."""
-    rows, loose, stack = [], Node("div", {}), [(c, node) for c in reversed(node.children)]
+    rows, loose, stack = [], Node("div", {}), [(c, seen) for c in reversed(node.children)]
     while stack:
-        child, parent = stack.pop()
-        if isinstance(child, str) or not visible(child):
-            if isinstance(child, str) and child.strip():
+        child, inherited = stack.pop()
+        if isinstance(child, str):
+            if child.strip():
                 loose.children.append(child)
+        elif not displayed(child):
+            continue
         elif child.name == "tr":
-            rows.append([c for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
-            loose.children.extend(c for c in child.children if (c.strip() if isinstance(c, str) else c.name not in ("td", "th") and visible(c)))
+            own = shown(child, inherited)
+            rows.append([(c, own) for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and displayed(c)])
+            loose.children.extend(c for c in child.children if (c.strip() if isinstance(c, str) else c.name not in ("td", "th")))
         elif child.name in ("thead", "tbody", "tfoot"):
-            stack.extend((c, child) for c in reversed(child.children))
+            stack.extend((c, shown(child, inherited)) for c in reversed(child.children))
         elif child.name not in ("colgroup", "col"):
             loose.children.append(child)
     grid: list[list[tuple[int, list[str]]]] = []
-    pending: dict[int, int] = {}
+    # Cells of earlier rows that reach down: at their first column, the column after them and the row after them.
+    down: dict[int, tuple[int, int]] = {}
     widths: dict[int, int] = {}
-    for cells in rows:
+    for number, cells in enumerate(rows):
         line, column = [], 0
-        for cell in cells:
-            while pending.get(column, 0) > 0:
-                pending[column] -= 1
-                column += 1
-            text = render(cell, depth + 1).split("\n")
+        for cell, inherited in cells:
+            while column in down and down[column][1] > number:
+                column = down[column][0]
+            text = render(cell, shown(cell, inherited), WIDEST).split("\n")
             across = max(1, min(_number(cell.attributes.get("colspan"), 1), 1000))
-            down = max(1, min(_number(cell.attributes.get("rowspan"), 1), 65534))
+            high = max(1, min(_number(cell.attributes.get("rowspan"), 1), 65534))
             line.append((column, text))
-            widest = max(map(_width, text))
-            if across == 1 and widest <= WIDEST:
-                widths[column] = max(widths.get(column, 0), widest)
-            for c in range(column, column + across):
-                if down > 1:
-                    pending[c] = down - 1
+            if across == 1:
+                widths[column] = max(widths.get(column, 0), min(max(map(_width, text)), WIDEST))
+            if high > 1:
+                down[column] = column + across, number + high
             column += across
-        for c in [c for c in pending if c >= column and pending[c] > 0]:
-            pending[c] -= 1
         grid.append(line)
-    out = [render(loose, depth + 1)] if loose.children else []
+    out = [render(loose, seen)] if loose.children else []
     starts: dict[int, int] = {}
     place = 0
-    for c in range(max((x[0] for line in grid for x in line), default=-1) + 1):
+    for c in sorted({x[0] for line in grid for x in line} | widths.keys()):
         starts[c] = place
         place += widths[c] + 2 if c in widths else 0
     for line in grid:

@@ -43,6 +43,36 @@ def test_deep_and_long_pages():
     assert len(html_text.page_text("<p>x" * 20000).split("\n\n")) == 20000
 
 
+def test_what_a_browser_shows():
+    page = """<p>a<svg><title>T</title><g>no<text x=1>SVG</text></g></svg> <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b
+<input type=email value="e@x.y"><input type=password value=no><input type=hidden value=no>
+<div style="visibility:hidden">no<span style="visibility:visible">YES</span><p>no</div><object>fall</object>"""
+    assert html_text.page_text(page) == "a SVG x=2 b e@x.y\n\nYES\n\nfall"
+    hidden = "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes<tr><td>no</table><ul style='visibility:hidden'><li>no</ul>"
+    assert html_text.page_text(hidden).split() == ["yes"]
+
+
+def test_wide_cells_wrap_and_spans_keep_columns():
+    words = " ".join(f"w{i:03d}" for i in range(100))
+    lines = html_text.page_text(f"<table><tr><td>{words}<td>next<tr><td rowspan=2>a<td>b<tr><td>c</table>").split("\n")
+    assert [x for line in lines for x in line.split() if x.startswith("w")] == words.split()
+    assert lines[0].index("next") == lines[-2].index("b") == lines[-1].index("c") and max(map(len, lines)) <= 90
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<table><tr><td rowspan=3 colspan=1000>x", "<tr><td rowspan=9 colspan=900>x<td>y", "<b>x</i>"])
+def test_time_is_linear(unit):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.page_text("<p><button><table>" + unit * n)
+        return time.perf_counter() - began
+
+    seconds(100)
+    small, large = min(seconds(2000) for _ in range(3)), min(seconds(8000) for _ in range(3))
+    assert large < 8 * small + 0.05
+
+
 def test_visible_words_survive(spark):
     pages = common.table(spark, "/root/testdata/sf0.001", "pages").limit(20).toPandas()
     for page in pages.html:
