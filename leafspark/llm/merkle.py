@@ -1,11 +1,16 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A leaf is a line or, inside a line, a sentence; its hash is SHA-256. A section is a run of leaves that
-ends with one whose hash begins with 0 to 3, so that an edit moves no boundary but its own; a section's
-hash is that of its leaves' hashes, and the root that of the sections' hashes. Roots test equality; of
-two trees with different roots, the sections that only one has lead to the leaves that were edited.
-The fingerprint is text: ``root:section,…:leaf,…`` with 64, 16 and 8 hex digits a hash. Likeness is 1
-for equal roots, else twice the shared leaves over all leaves, each text's distinct ones counted.
+A text is cut into paragraphs, its lines, and a paragraph into leaves: they end after a sentence mark and a
+space, and after a word of eight or more characters, so that text without sentence marks is cut as well.
+A section is a run of paragraphs that ends with one whose hash begins with 0 to 3, so that an edit moves no
+boundary but its own. A leaf's hash is SHA-256 of its text; a paragraph's, a section's and the root's are
+those of their children's hashes; each level has its own tag. Roots test equality; of two trees with
+different roots, ``edited_leaves`` goes down the sections, then the paragraphs, that only one has.
+
+The fingerprint is text of bounded length: the root, a colon, and the least ``SKETCH`` of the distinct
+leaves' hashes, 16 hex digits each. Likeness is 1 for equal roots, else twice the shared leaves over all
+leaves (each text's distinct ones that aren't empty), which is exact up to ``SKETCH`` leaves in each text
+and estimated by the least hashes beyond.
 
 Finding the next document needs no global window: ids are range-partitioned and sorted, and only each
 partition's first id is compared across partitions.
@@ -23,55 +28,82 @@ from pyspark.sql import functions as F
 
 from leafspark.llm.common import broadcast_up_to, staged, table
 
-#: Stands after every leaf's end; a text that holds it already is cut there as well.
-MARK = "\x01"
-#: After each of these a leaf ends.
-ENDS = ("\n", ". ", "! ", "? ")
+#: Stand after every leaf's and every paragraph's end; a text that holds them already is cut there as well.
+MARK, LINE = "\x01", "\x02"
+#: After each of these, and after a long word, a leaf ends.
+ENDS = (". ", "! ", "? ")
+LONG_WORD = r"([^ \n]{8,} )"
+#: Leaves in a fingerprint.
+SKETCH = 128
 
 
-def leaf_hashes(text: Column) -> Column:
+def with_tree(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the tree of ``text``: root, and sections (hash, paragraphs (hash, leaves))."""
+    hashed = lambda tag, parts: F.sha2(F.concat(F.lit(tag), F.array_join(parts, "")), 256)
+    cut = F.regexp_replace(text, LONG_WORD, "$1" + MARK)
     for end in ENDS:
-        text = F.replace(text, F.lit(end), F.lit(end + MARK))
-    return F.transform(F.split(text, MARK), lambda leaf: F.sha2(leaf, 256))
-
-
-def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the fingerprint of ``text``."""
-    leaves = F.col("_leaves")
-    last = F.filter(
-        F.sequence(F.lit(1), F.size(leaves)), lambda i: (i == F.size(leaves)) | (F.substring(F.element_at(leaves, i), 1, 1) < "4")
-    )
+        cut = F.replace(cut, F.lit(end), F.lit(end + MARK))
+    lines = F.split(F.replace(cut, F.lit("\n"), F.lit("\n" + LINE)), LINE)
+    leaves = F.transform(lines, lambda line: F.transform(F.split(line, MARK), lambda leaf: F.sha2(F.concat(F.lit("L"), leaf), 256)))
+    n = F.size("_paragraphs")
+    last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(F.col("_paragraphs"), i)["hash"] < "4"))
     before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("_last"), k - 1))
-    sections = F.transform(
-        "_last", lambda e, k: F.sha2(F.array_join(F.slice(leaves, before(k) + 1, e - before(k)), ""), 256)
-    )
-    short = lambda x, n: F.array_join(F.transform(x, lambda h: F.substring(h, 1, n)), ",")
+    section = lambda own: F.struct(hashed("S", F.transform(own, lambda p: p["hash"])).alias("hash"), own.alias("paragraphs"))
     return (
-        df.withColumn("_leaves", leaf_hashes(text))
+        df.withColumn("_leaves", leaves)
+        .withColumn("_paragraphs", F.transform("_leaves", lambda own: F.struct(hashed("P", own).alias("hash"), own.alias("leaves"))))
         .withColumn("_last", last)
-        .withColumn("_sections", sections)
-        .withColumn(name, F.concat_ws(":", F.sha2(F.array_join("_sections", ""), 256), short(F.col("_sections"), 16), short(leaves, 8)))
-        .drop("_leaves", "_last", "_sections")
+        .withColumn("_sections", F.transform("_last", lambda e, k: section(F.slice("_paragraphs", before(k) + 1, e - before(k)))))
+        .withColumn(name, F.struct(hashed("R", F.transform("_sections", lambda s: s["hash"])).alias("root"), F.col("_sections").alias("sections")))
+        .drop("_leaves", "_paragraphs", "_last", "_sections")
     )
 
 
-def _leaves(fingerprint: Column) -> Column:
-    return F.split(F.split_part(fingerprint, F.lit(":"), F.lit(3)), ",")
+def _paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: s["paragraphs"]))
+
+
+def _all_leaves(paragraphs: Column) -> Column:
+    return F.flatten(F.transform(paragraphs, lambda p: p["leaves"]))
+
+
+def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the fingerprint of ``text``."""
+    some = F.filter(_all_leaves(_paragraphs(F.col("_tree.sections"))), lambda h: h != F.sha2(F.lit("L"), 256))
+    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(some, lambda h: F.substring(h, 1, 16)))), 1, SKETCH)
+    return with_tree(df, text, "_tree").withColumn(name, F.concat(F.col("_tree.root"), F.lit(":"), F.array_join(sketch, ","))).drop("_tree")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints alone."""
-    x, y = F.array_distinct(_leaves(a)), F.array_distinct(_leaves(b))
+    leaves = lambda x: F.filter(F.split(F.substring_index(x, ":", -1), ","), lambda h: h != "")
+    x, y = leaves(a), leaves(b)
+    # Up to here both sketches have all their texts' leaves; "g" is after any digit.
+    upto = lambda s: F.when(F.size(s) >= SKETCH, F.array_max(s)).otherwise(F.lit("g"))
+    known = lambda s: F.size(F.filter(s, lambda h: h <= F.least(upto(x), upto(y))))
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(
-        F.lit(2.0) * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+        F.coalesce(F.try_divide(F.lit(2.0) * known(F.array_intersect(x, y)), known(x) + known(y)), F.lit(0.0))
     )
 
 
 def edited_leaves(a: Column, b: Column) -> Column:
-    """The numbers, from 0, of b's leaves that a has not; none if the roots are equal."""
-    known = _leaves(a)
-    numbered = F.transform(_leaves(b), lambda h, i: F.when(~F.array_contains(known, h), i))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(F.array_compact(numbered))
+    """Where tree b has leaves that tree a has not: their section, paragraph in it and leaf in that, from
+    0. Only sections, and in them only paragraphs, that a lacks are looked into; none if the roots agree."""
+    lacking = lambda own, other: F.filter(own, lambda x: ~F.array_contains(F.transform(other, lambda o: o["hash"]), x["hash"]))
+    differing = lacking(a["sections"], b["sections"])
+    paragraphs = _paragraphs(differing)
+    section_hashes, paragraph_hashes, leaf_hashes = F.transform(a["sections"], lambda s: s["hash"]), F.transform(paragraphs, lambda p: p["hash"]), _all_leaves(paragraphs)
+
+    def in_paragraph(p: Column, i: Column, k: Column) -> Column:
+        at = F.transform(p["leaves"], lambda h, n: F.when(~F.array_contains(leaf_hashes, h), F.struct(i.alias("section"), k.alias("paragraph"), n.alias("leaf"))))
+        return F.when(F.array_contains(paragraph_hashes, p["hash"]), F.array_compact(F.slice(at, 1, 0))).otherwise(F.array_compact(at))
+
+    def in_section(s: Column, i: Column) -> Column:
+        at = F.flatten(F.transform(s["paragraphs"], lambda p, k: in_paragraph(p, i, k)))
+        return F.when(F.array_contains(section_hashes, s["hash"]), F.slice(at, 1, 0)).otherwise(at)
+
+    found = F.flatten(F.transform(b["sections"], in_section))
+    return F.when(a["root"] == b["root"], F.slice(found, 1, 0)).otherwise(found)
 
 
 def _key(id_col: Column, text: Column) -> Column:
@@ -138,14 +170,18 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
 
-_SQL_LEAVES = "list_transform(string_split(replace(replace(replace(replace({0}, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)), lambda x: sha256(x))"
+_SQL_CUT = "string_split(replace(replace(replace(replace(regexp_replace({0}, '([^ \\n]{{8,}} )', '\\1' || chr(1), 'g'), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(10), chr(10) || chr(2)), chr(2))"
+_SQL_LEAVES = f"list_transform({_SQL_CUT}, lambda line: list_transform(string_split(line, chr(1)), lambda x: sha256('L' || x)))"
+_SQL_PARAGRAPHS = "list_transform({0}, lambda own: sha256('P' || array_to_string(own, '')))"
 _SQL_LAST = "list_filter(range(1, len({0}) + 1), lambda i: i = len({0}) OR {0}[i][1] < '4')"
-_SQL_SECTIONS = "list_transform({1}, lambda e, k: sha256(array_to_string({0}[(CASE WHEN k = 1 THEN 1 ELSE {1}[k - 1] + 1 END):e], '')))"
-_SQL_PRINT = "sha256(array_to_string({1}, '')) || ':' || array_to_string(list_transform({1}, lambda x: x[1:16]), ',') || ':' || array_to_string(list_transform({0}, lambda x: x[1:8]), ',')"
+_SQL_ROOT = "sha256('R' || array_to_string(list_transform({1}, lambda e, k: sha256('S' || array_to_string({0}[(CASE WHEN k = 1 THEN 1 ELSE {1}[k - 1] + 1 END):e], ''))), ''))"
+_SQL_SKETCH = f"list_sort(list_distinct(list_transform(list_filter(flatten({{0}}), lambda h: h <> sha256('L')), lambda h: h[1:16])))[1:{SKETCH}]"
 _SQL_NEAR = (
-    "CASE WHEN {0}[1:64] = {1}[1:64] THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(list_distinct(string_split(split_part({0}, ':', 3), ',')), "
-    "list_distinct(string_split(split_part({1}, ':', 3), ',')))) / (len(list_distinct(string_split(split_part({0}, ':', 3), ','))) + len(list_distinct(string_split(split_part({1}, ':', 3), ',')))) END"
+    f"CASE WHEN {{0}}[1:64] = {{1}}[1:64] THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * len(list_filter(list_intersect({{2}}, {{3}}), lambda h: h <= m)) "
+    f"/ nullif(len(list_filter({{2}}, lambda h: h <= m)) + len(list_filter({{3}}, lambda h: h <= m)), 0), 0.0::DOUBLE) END"
 )
+_SQL_MOST = f"least(CASE WHEN len({{0}}) >= {SKETCH} THEN {{0}}[{SKETCH}] ELSE 'g' END, CASE WHEN len({{1}}) >= {SKETCH} THEN {{1}}[{SKETCH}] ELSE 'g' END)"
+_TEXTS = ("text", "edited", "next")
 SQL = {
     "op6_merkle": f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars,
@@ -153,13 +189,16 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
 r AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, key),
                          first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, key)) AS next FROM t),
 e AS (SELECT *, text[1:n_chars - n_chars // 2] || next[1:n_chars // 2] AS edited FROM r),
-l AS (SELECT *, {_SQL_LEAVES.format("text")} AS l0, {_SQL_LEAVES.format("edited")} AS l1, {_SQL_LEAVES.format("next")} AS l2 FROM e),
-s AS (SELECT *, {_SQL_LAST.format("l0")} AS e0, {_SQL_LAST.format("l1")} AS e1, {_SQL_LAST.format("l2")} AS e2 FROM l),
-h AS (SELECT *, {_SQL_SECTIONS.format("l0", "e0")} AS s0, {_SQL_SECTIONS.format("l1", "e1")} AS s1, {_SQL_SECTIONS.format("l2", "e2")} AS s2 FROM s),
-f AS (SELECT doc_id, n_chars, edited, {_SQL_PRINT.format("l0", "s0")} AS fingerprint, {_SQL_PRINT.format("l1", "s1")} AS edited_fingerprint, {_SQL_PRINT.format("l2", "s2")} AS f2 FROM h)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-       {_SQL_NEAR.format("fingerprint", "edited_fingerprint")} AS near_edited, {_SQL_NEAR.format("fingerprint", "f2")} AS near_next
-FROM f
+l AS (SELECT doc_id, n_chars, edited, {", ".join(f"{_SQL_LEAVES.format(c)} AS l{k}" for k, c in enumerate(_TEXTS))} FROM e),
+p AS (SELECT *, {", ".join(f"{_SQL_PARAGRAPHS.format(f'l{k}')} AS p{k}, {_SQL_SKETCH.format(f'l{k}')} AS s{k}" for k in range(3))} FROM l),
+s AS (SELECT *, {", ".join(f"{_SQL_LAST.format(f'p{k}')} AS e{k}" for k in range(3))} FROM p),
+f AS (SELECT *, {", ".join(f"{_SQL_ROOT.format(f'p{k}', f'e{k}')} || ':' || array_to_string(s{k}, ',') AS f{k}" for k in range(3))} FROM s),
+n AS (SELECT *, {_SQL_MOST.format("s0", "s1")} AS m FROM f),
+o AS (SELECT *, {_SQL_NEAR.format("f0", "f1", "s0", "s1")} AS near_edited FROM n),
+q AS (SELECT * EXCLUDE (m), {_SQL_MOST.format("s0", "s2")} AS m FROM o)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, f0 AS fingerprint, f1 AS edited_fingerprint, near_edited,
+       {_SQL_NEAR.format("f0", "f2", "s0", "s2")} AS near_next
+FROM q
 """
 }
 QUERIES = {"op6_merkle": op6_merkle}

@@ -1,13 +1,13 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is web text of any or no label.
-With the class prior, estimated as the share of quality 1 among the labelled training rows, a small
-network minimises the non-negative unbiased risk: prior times the risk of positives as positive, plus
+Trusted positives are labelled rows of quality 1; the unlabelled set is the texts of labelled rows, whose
+own labels are left aside. The class prior is that set's: the share of quality 1 among the labelled
+training rows. With it, a small network minimises the non-negative unbiased risk: prior times the risk of positives as positive, plus
 the unlabelled risk as negative less prior times that of positives, which is held at zero or above by
 stepping back whenever a fit takes it below. Negative labels enter by the prior alone.
 
-Training uses a bounded sample (``sample`` rows of each set, the least by a seeded hash of the id);
-scoring covers every row. Inputs are measures of the text and nothing else.
+Training uses a bounded sample of the labelled rows (``sample`` of each set, the least by a seeded hash of
+the id) and no other row; scoring covers every row. Inputs are measures of the text and nothing else.
 
 Defined results: a null text counts as empty and is scored; a null id is not held out; repeated rows
 are scored alike; without positives or unlabelled rows every score is the prior (0.5 without labels);
@@ -132,7 +132,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """The model from at most ``sample`` positives and ``sample`` unlabelled rows that are not held out."""
+    """The model from at most ``sample`` positives and ``sample`` unlabelled rows, of the labelled ones that are not held out."""
     short_batches(docs.sparkSession)
     seen = labels.select(F.col("doc_id").alias("_id"), "quality").filter(
         F.col("quality").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = seen.agg(F.avg("quality")).first()[0]
     prior = min(max(prior, 0.02), 0.98) if prior is not None else 0.5
     trusted = seen.filter("quality = 1").select("_id").distinct().orderBy(order, "_id").limit(sample)
-    others = docs.select(F.col(id_col).alias("_id")).filter(~held_out(F.col("_id"))).orderBy(order, "_id").limit(sample)
+    others = seen.select("_id").distinct().orderBy(order, "_id").limit(sample)
     picked = trusted.withColumn("kind", F.lit(1)).union(others.withColumn("kind", F.lit(0))).filter("_id is not null")
     measure = F.pandas_udf(lambda s: pd.Series([measures(t) for t in s]), ArrayType(DoubleType()))
     rows = (

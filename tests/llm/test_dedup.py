@@ -146,12 +146,48 @@ def test_repeats_in_parts(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats(rows)
 
 
+def brute_tree(text):
+    cut = re.sub(r"([^ \n]{8,} )", "\\1\x01", text)
+    for end in (". ", "! ", "? "):
+        cut = cut.replace(end, end + "\x01")
+    sha = lambda tag, x: hashlib.sha256((tag + x).encode()).hexdigest()
+    lines = [[sha("L", leaf) for leaf in line.split("\x01")] for line in cut.replace("\n", "\n\x02").split("\x02")]
+    paragraphs, sections, own = [(sha("P", "".join(x)), x) for x in lines], [], []
+    for k, p in enumerate(paragraphs):
+        own.append(p)
+        if p[0] < "4" or k == len(paragraphs) - 1:
+            sections.append((sha("S", "".join(h for h, _ in own)), own))
+            own = []
+    return sha("R", "".join(h for h, _ in sections)), sections
+
+
+def brute_edits(a, b):
+    if a[0] == b[0]:
+        return []
+    known = {h for h, _ in a[1]}
+    sections = [ps for h, ps in a[1] if h not in {h for h, _ in b[1]}]
+    paragraphs, leaves = {h for ps in sections for h, _ in ps}, {x for ps in sections for _, own in ps for x in own}
+    return [(i, k, n) for i, (h, ps) in enumerate(b[1]) if h not in known for k, (g, own) in enumerate(ps) if g not in paragraphs for n, x in enumerate(own) if x not in leaves]
+
+
 def test_merkle_locates_edits(spark):
-    a, b = "One. Two. Three.\nFour. Five.", "One. Two. Trois.\nFour. Five."
-    frame = spark.createDataFrame([(a, b)], "a string, b string")
-    frame = merkle.with_fingerprint(merkle.with_fingerprint(frame, F.col("a"), "fa"), F.col("b"), "fb")
-    row = frame.select(merkle.edited_leaves(F.col("fa"), F.col("fb")).alias("e"), merkle.likeness(F.col("fa"), F.col("fb")).alias("n"), merkle.likeness(F.col("fa"), F.col("fa")).alias("same")).first()
-    assert (row.e, row.n, row.same) == ([2], 0.8, 1.0)
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice(["word", "something", "end.", "Yes!", "considerable"]) + str(rng.randint(0, 99)) for _ in range(30)) for _ in range(60)]
+    other = [*lines[:20], "a new line of words. And more", *lines[20:40], lines[40].replace("word", "WORD", 1), *lines[41:]]
+    rows = [("\n".join(lines), "\n".join(other)), ("same", "same"), ("", "x. y"), ("\n\n", "\n"), (" ".join(lines), " ".join(other))]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    for c in "ab":
+        frame = merkle.with_fingerprint(merkle.with_tree(frame, F.col(c), f"t{c}"), F.col(c), f"f{c}")
+    got = frame.select("*", merkle.edited_leaves(F.col("ta"), F.col("tb")).alias("e"), merkle.likeness(F.col("fa"), F.col("fb")).alias("n")).collect()
+    for r in got:
+        a, b = brute_tree(r.a), brute_tree(r.b)
+        assert (r.ta.root, r.tb.root) == (a[0], b[0])
+        assert [(s.hash, [(p.hash, p.leaves) for p in s.paragraphs]) for s in r.tb.sections] == b[1]
+        assert [tuple(x) for x in r.e] == brute_edits(a, b)
+        assert len(r.fa) <= 65 + 17 * merkle.SKETCH and 0 <= r.n <= 1
+    assert [r.n for r in got if r.a == "same"] == [1.0] and [r.e for r in got if r.a == "same"] == [[]]
+    whole = next(r for r in got if r.a == rows[0][0])
+    assert 0 < len(whole.e) < 12 and whole.n > 0.9
 
 
 def test_merkle_of_odd_rows(docs):
