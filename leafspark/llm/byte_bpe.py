@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-Spark splits the texts by the vocabulary's pattern. Blocks of whole documents are written as the numbers
+Spark splits the texts by the vocabulary's pattern. Blocks of whole documents are shuffled as the numbers
 of their words and a list of their distinct words. All blocks' distinct words are shuffled by word, so that
 each is folded once in the corpus: higher-order functions fold the ranked merges over its byte ids. The
 tokens go back to the blocks that asked, where the documents are put together.
@@ -32,16 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from leafspark.llm.common import short_batches, staged, table
+from leafspark.llm.common import short_batches, table
 
 #: Ranks and token ids have so many bits; what doesn't merge looks up a greater number.
 RANK_BITS = 17
 NEVER = 1 << RANK_BITS
 #: To the end of an array.
 REST = 1 << 30
-BLOCK_WORDS = 6_000_000
-#: Words in one row of the fold, and words of all blocks that go to one bucket.
-CHUNK, BUCKET_WORDS = 500, 250_000
+BLOCK_WORDS = 3_000_000
+#: Words in one row of the fold, and bytes of stored input for a task of the fold.
+CHUNK, TASK_BYTES = 500, 16 << 20
 #: Tokens in a batch of documents.
 OUT_TOKENS = 500_000
 
@@ -170,6 +170,12 @@ def merged(word: Column, ranks: RankMap) -> Column:
     return F.aggregate(F.sequence(F.lit(3), F.size(word["r"])), word, lambda s, _: join(s), lambda s: s["t"])
 
 
+def _text_of(words: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of words."""
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    return np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1], memoryview(words.buffers()[2] or b"")
+
+
 def _starts(ranks: RankMap, kind: pa.DataType):
     """A function from words to the state the fold begins with."""
     byte_ids, first, pad = ranks.bytes_, ranks.first, ranks.pad
@@ -220,10 +226,12 @@ def _blocks(block_words: int, schema: pa.Schema):
             often = np.argsort(-np.bincount(indices, minlength=len(coded.dictionary)), kind="stable")
             place = np.empty(len(often), dtype=np.int64)
             place[often] = np.arange(len(often))
+            offsets, text = _text_of(coded.dictionary.take(pa.array(often)))
             one = lambda x, f: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=f.type)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), one(pa.concat_arrays(ids), schema.field(1)), one(pa.array(np.concatenate(counts), pa.int32()), schema.field(2)),
-                 pa.array([_planes(place[indices])], pa.binary()), one(coded.dictionary.take(pa.array(often)), schema.field(4))], schema=schema
+                 pa.array([_planes(place[indices])], pa.binary()), pa.array([_planes(np.diff(offsets))], pa.binary()),
+                 pa.array([zstandard.compress(text[: offsets[-1]], 3)], pa.binary())], schema=schema
             )
 
         for batch in batches:
@@ -257,18 +265,19 @@ def _asked(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words = batch.column(1)[k].values
+                number, _, _, _, sizes, data = (c[k].as_py() for c in batch.columns)
+                offsets = np.concatenate([[0], np.cumsum(_numbers(sizes).astype(np.int64))])
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(data))])
                 bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                words = words.take(pa.array(order)).cast(pa.large_binary())
-                offsets, raw = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1], words.buffers()[2]
+                offsets, text = _text_of(words.take(pa.array(order)))
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(cut))
                 parts = [(cut[b], cut[b + 1]) for b in used]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(used), pa.int64()), pa.array([_places(order[a:b]) for a, b in parts], pa.binary()),
+                    [pa.array(used, pa.int64()), pa.array([number] * len(used), pa.int64()), pa.array([_places(order[a:b]) for a, b in parts], pa.binary()),
                      pa.array([_planes(np.diff(offsets[a : b + 1])) for a, b in parts], pa.binary()),
-                     pa.array([zstandard.compress(memoryview(raw)[offsets[a] : offsets[b]], 3) for a, b in parts], pa.binary())], ["bucket", "block", "places", "sizes", "data"]
+                     pa.array([zstandard.compress(text[offsets[a] : offsets[b]], 3) for a, b in parts], pa.binary())], ["bucket", "block", "places", "sizes", "data"]
                 )
 
     return run
@@ -342,7 +351,7 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(schema: pa.Schema):
-    """In order of block, its words' tokens and then the block itself, to one row a document."""
+    """A block and its words' tokens to one row a document."""
 
     def batch(docs: pa.Array, parts: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([*map(len, parts)], dtype=np.int64)
@@ -366,16 +375,13 @@ def _documents(schema: pa.Schema):
                 yield batch(docs.slice(done, len(parts)), parts)
                 parts, done, total = [], i + 1, 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replies = []
-        for rows in batches:
-            docs, counts, numbers = rows.column(1), rows.column(2), rows.column(3)
-            for k in range(rows.num_rows):
-                if numbers[k].is_valid:
-                    yield from documents(docs[k].values, counts[k].values.to_numpy(zero_copy_only=False), _numbers(numbers[k].as_py()), replies)
-                    replies = []
-                else:
-                    replies.append([rows.column(c)[k].as_py() for c in (4, 5, 6)])
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        known = [*zip(*(replies[c].to_pylist() for c in ("places", "sizes", "tokens")), strict=True)]
+        out = []
+        for k in range(blocks.num_rows):
+            counts = blocks["counts"][k].values.to_numpy(zero_copy_only=False)
+            out += documents(blocks["docs"][k].values, counts, _numbers(blocks["numbers"][k].as_py()), known)
+        return pa.Table.from_batches(out, schema=schema)
 
     return run
 
@@ -390,6 +396,13 @@ def decoded(tokens: Column, path: str) -> Column:
     return F.unhex(F.array_join(F.transform(tokens, lambda i: F.get(pieces, i)), ""))
 
 
+def _tasks(docs: DataFrame) -> int:
+    """Tasks of the shuffles: by the size of the input as the plan knows it, and by its splits."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    splits, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(max(2 * cores, size // TASK_BYTES), 16 * splits))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the
     same as an array, ``tokens``."""
@@ -406,25 +419,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     )
     shape = StructType([
         StructField("block", LongType()), StructField("docs", ArrayType(kind)), StructField("counts", ArrayType(IntegerType())),
-        StructField("numbers", BinaryType()), StructField("words", ArrayType(StringType())),
+        *(StructField(c, BinaryType()) for c in ("numbers", "word_sizes", "word_data")),
     ])
-    blocks = staged(words.mapInArrow(_blocks(block_words, to_arrow_schema(shape)), shape), "word-blocks")
-    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
-    cores = spark.sparkContext.defaultParallelism
-    buckets = max(1, min(2 * cores, size.words // (BUCKET_WORDS // 10)), size.words // BUCKET_WORDS)
-    block_tasks = max(1, min(size.blocks, 4 * cores), size.blocks // 8)
+    # Both the words and the documents are read from this one shuffle.
+    tasks = _tasks(docs)
+    blocks = words.mapInArrow(_blocks(block_words, to_arrow_schema(shape)), shape).repartition(tasks, "block")
 
     word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
     packed = StructType([StructField("words", ArrayType(word)), *(StructField(c, BinaryType()) for c in ("which", "blocks", "places"))])
-    asked = blocks.select("block", "words").mapInArrow(_asked(buckets), "bucket long, block long, places binary, sizes binary, data binary")
-    folded = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
+    asked = blocks.mapInArrow(_asked(tasks), "bucket long, block long, places binary, sizes binary, data binary")
+    folded = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
         F.transform("words", lambda w: merged(w, ranks)).alias("tokens"), "which", "blocks", "places"
     )
     replies = folded.mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")
     out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("tokens", ArrayType(IntegerType()))])
-    # Replies to a block come before it.
-    both = blocks.drop("words").unionByName(replies, allowMissingColumns=True).repartition(block_tasks, "block")
-    return both.sortWithinPartitions("block", F.col("numbers").isNotNull()).mapInArrow(_documents(to_arrow_schema(out)), out)
+    return blocks.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(_documents(to_arrow_schema(out)), out)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
