@@ -41,7 +41,7 @@ NEVER = 1 << RANK_BITS
 REST = 1 << 30
 BLOCK_WORDS = 3_000_000
 #: Words in one row of the fold, and bytes of stored input for a task of the fold.
-CHUNK, TASK_BYTES = 500, 16 << 20
+CHUNK, TASK_BYTES = 250, 16 << 20
 #: Tokens in a batch of documents.
 OUT_TOKENS = 500_000
 
@@ -429,9 +429,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     packed = StructType([StructField("words", ArrayType(word)), *(StructField(c, BinaryType()) for c in ("which", "blocks", "places"))])
     asked = blocks.mapInArrow(_asked(tasks), "bucket long, block long, places binary, sizes binary, data binary")
     folded = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
-        F.transform("words", lambda w: merged(w, ranks)).alias("tokens"), "which", "blocks", "places"
+        F.transform("words", lambda w: merged(w, ranks)).cast("array<array<int>>").alias("tokens"), "which", "blocks", "places"
     )
-    replies = folded.mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")
+    # A shuffle of its own, so that a task never has two Python workers at once.
+    replies = folded.repartition(tasks, "places").mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")
     out = StructType([StructField("doc_id", kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("tokens", ArrayType(IntegerType()))])
     return blocks.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(_documents(to_arrow_schema(out)), out)
 
