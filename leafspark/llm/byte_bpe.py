@@ -428,7 +428,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     word = StructType([StructField("t", ArrayType(LongType())), StructField("r", ArrayType(LongType()))])
     packed = StructType([StructField("words", ArrayType(word)), *(StructField(c, BinaryType()) for c in ("which", "blocks", "places"))])
     asked = blocks.mapInArrow(_asked(tasks), "bucket long, block long, places binary, sizes binary, data binary")
-    folded = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
+    folded = asked.repartitionById(tasks, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
         F.transform("words", lambda w: merged(w, ranks)).cast("array<array<int>>").alias("tokens"), "which", "blocks", "places"
     )
     # A shuffle of its own, so that a task never has two Python workers at once.
