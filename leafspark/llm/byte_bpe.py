@@ -42,6 +42,8 @@ REST = 1 << 30
 BLOCK_WORDS = 3_000_000
 #: Words in one row of the fold, and bytes of stored input for a task of the fold.
 CHUNK, TASK_BYTES = 250, 16 << 20
+#: Characters of a plan's description.
+PLAN_CHARS = 1 << 16
 #: Tokens in a batch of documents.
 OUT_TOKENS = 500_000
 
@@ -410,6 +412,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     spark = docs.sparkSession
     short_batches(spark)
+    # The literals would be in every description of the plan that the driver keeps.
+    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > PLAN_CHARS:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     ranks = RankMap(load_ranks(path))
     kind = docs.schema[id_col].dataType
     # (?U): white space, letters and numbers by Unicode.
