@@ -413,7 +413,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     short_batches(spark)
     # The literals would be in every description of the plan that the driver keeps.
-    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > PLAN_CHARS:
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("bkmgBKMG")) > PLAN_CHARS:
         spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     ranks = RankMap(load_ranks(path))
     kind = docs.schema[id_col].dataType
