@@ -75,7 +75,7 @@ class RankMap:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.pad = max(ranks.values()) + 1
-        if self.pad >= NEVER:
+        if self.pad >= NEVER - 1:
             raise ValueError("more tokens than the rank map has bits for")
         pairs = {
             left << RANK_BITS | right: rank
@@ -99,7 +99,8 @@ class RankMap:
         hashed = _xxh64(keys, 42)
         bucket = (hashed & np.uint64(self.bucket_mask)).astype(np.int64)
         moves = np.zeros(self.bucket_mask + 1, dtype=np.int64)
-        entries = np.full(1 << self.slot_bits, 1 << 60, dtype=np.int64)
+        # An empty slot has a pair that no token is the right of.
+        entries = np.full(1 << self.slot_bits, (NEVER - 1) << RANK_BITS, dtype=np.int64)
         taken = np.zeros(1 << self.slot_bits, dtype=bool)
         # Every bucket, the fullest first, looks for a displacement that sends its keys to free slots.
         fullness = np.bincount(bucket)[bucket]
@@ -128,14 +129,17 @@ class RankMap:
         # One string that the optimizer turns into an array once.
         return F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
 
-    def look_up(self, pairs: Column) -> Column:
+    def literal(self) -> Column:
+        """The map as one value."""
+        return F.struct(self._literal(self.moves).alias("moves"), self._literal(self.entries).alias("entries"))
+
+    def look_up(self, pairs: Column, literal: Column) -> Column:
         """An array of pairs, each left then right, to their ranks; NEVER or more where there is none."""
-        moves, entries = self._literal(self.moves), self._literal(self.entries)
 
         def rank(pair: Column) -> Column:
-            move = F.get(moves, F.xxhash64(pair).bitwiseAND(F.lit(self.bucket_mask)).cast("int"))
+            move = F.get(literal["moves"], F.xxhash64(pair).bitwiseAND(F.lit(self.bucket_mask)).cast("int"))
             slot = F.shiftrightunsigned(F.xxhash64(pair, move), 64 - self.slot_bits).cast("int")
-            return F.get(entries, slot).bitwiseXOR(F.shiftleft(pair, RANK_BITS))
+            return F.get(literal["entries"], slot).bitwiseXOR(F.shiftleft(pair, RANK_BITS))
 
         return F.transform(pairs, rank)
 
@@ -145,7 +149,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merged(word: Column, ranks: RankMap) -> Column:
+def merged(word: Column, ranks: RankMap, literal: Column) -> Column:
     """A word, as its byte ids ``t`` between two pads and the ranks ``r`` of their neighbouring pairs, to
     its tokens between pads: a fold that joins the least-ranked pair, leftmost first, until none joins."""
 
@@ -162,7 +166,7 @@ def merged(word: Column, ranks: RankMap) -> Column:
                 F.concat(F.slice(t, F.lit(1), i - 1), F.array(new), F.slice(t, i + 2, F.lit(REST))).alias("t"),
                 F.concat(
                     F.slice(r, F.lit(1), i - 2),
-                    ranks.look_up(F.array(pair(F.get(t, i - 2), new), pair(new, F.get(t, i + 1)))),
+                    ranks.look_up(F.array(pair(F.get(t, i - 2), new), pair(new, F.get(t, i + 1))), literal),
                     F.slice(r, i + 2, F.lit(REST)),
                 ).alias("r"),
             )
@@ -434,7 +438,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     packed = StructType([StructField("words", ArrayType(word)), *(StructField(c, BinaryType()) for c in ("which", "blocks", "places"))])
     asked = blocks.mapInArrow(_asked(tasks), "bucket long, block long, places binary, sizes binary, data binary")
     folded = asked.repartitionById(tasks, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_pack(ranks, to_arrow_schema(packed)), packed).select(
-        F.transform("words", lambda w: merged(w, ranks)).cast("array<array<int>>").alias("tokens"), "which", "blocks", "places"
+        # The literal stands outside of the fold: a description of the plan repeats it at each level it is nested in.
+        _let(ranks.literal(), lambda m: F.transform("words", lambda w: merged(w, ranks, m))).cast("array<array<int>>").alias("tokens"), "which", "blocks", "places"
     )
     # A shuffle of its own, so that a task never has two Python workers at once.
     replies = folded.repartition(tasks, "places").mapInArrow(_replies, "block long, places binary, sizes binary, tokens binary")

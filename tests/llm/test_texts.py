@@ -115,7 +115,7 @@ def test_rank_map_has_every_pair(spark):
     table = byte_bpe.RankMap(ranks)
     pairs = [(ranks[t[:k]] << byte_bpe.RANK_BITS | ranks[t[k:]], r) for t, r in list(ranks.items())[5000:5400] for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     frame = spark.createDataFrame([([p for p, _ in pairs] + [table.pad << byte_bpe.RANK_BITS | 5, 5 << byte_bpe.RANK_BITS | table.pad],)], "p array<bigint>")
-    got = frame.select(table.look_up(F.col("p")).alias("r")).first().r
+    got = frame.select(table.look_up(F.col("p"), table.literal()).alias("r")).first().r
     assert got[: len(pairs)] == [r for _, r in pairs]
     assert all(x >= byte_bpe.NEVER for x in got[len(pairs) :])
 
