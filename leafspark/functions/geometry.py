@@ -74,3 +74,22 @@ def render_scale(width: Column, height: Column, wanted: Column, edge: float = 81
 def luma(r: Column, g: Column, b: Column) -> Column:
     """BT.601, to the nearest whole number."""
     return F.least(rounded(0.299 * r + 0.587 * g + 0.114 * b), F.lit(255)).cast("int")
+
+
+def visible_box(crop: tuple, media: tuple) -> tuple:
+    """What of the crop box the media box holds, or the media box if nothing; corners may be in any order."""
+    sides = lambda b: (F.least(b[0], b[2]), F.least(b[1], b[3]), F.greatest(b[0], b[2]), F.greatest(b[1], b[3]))
+    c, m = sides(crop), sides(media)
+    both = (F.greatest(c[0], m[0]), F.greatest(c[1], m[1]), F.least(c[2], m[2]), F.least(c[3], m[3]))
+    some = (both[2] > both[0]) & (both[3] > both[1])
+    return tuple(F.when(some, x).otherwise(y) for x, y in zip(both, m, strict=True))
+
+
+def rotation_bucket(degrees: Column) -> Column:
+    """To the nearest five degrees, 0 to 355."""
+    return F.pmod(rounded(degrees / 5).cast("int") * 5, F.lit(360))
+
+
+def is_override(degrees: Column) -> Column:
+    """Whether an angle may stand for a measured skew: 45 degrees at most, either way."""
+    return F.coalesce(F.abs(degrees) <= 45, F.lit(False))

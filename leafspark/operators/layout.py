@@ -30,6 +30,12 @@ def weighted_body_size(lines: DataFrame) -> DataFrame:
     return sums.withColumn("_r", best).filter("_r = 1").select(*PAGE, F.when(F.col("weight") > 0, F.col("body_size")).otherwise(10.0).alias("body_size"))
 
 
+def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """0 where nothing has weight."""
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    return rows.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(v * w), F.sum(w)), F.lit(0.0)).alias("mean"))
+
+
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """The least value at which half of the weight is reached; weights are 0.01 at least."""
     rows = rows.withColumn("_w", F.greatest(F.col(weight), F.lit(0.01)))
@@ -313,3 +319,10 @@ def joined_words(parts: Column) -> Column:
         return F.when(text == "", part).when(tight, F.concat(text, part)).otherwise(F.concat(text, F.lit(" "), part))
 
     return F.aggregate(F.filter(parts, lambda p: p != ""), F.lit(""), add)
+
+
+def separator(a: Column, b: Column) -> Column:
+    """What stands between two lines of a paragraph: nothing after a hyphen, beside CJK or at an empty line."""
+    a, b = F.rtrim(a), F.ltrim(b)
+    tight = (a == "") | (b == "") | F.endswith(a, F.lit("-")) | F.regexp_like(a, F.lit(CJK + r"\z")) | F.regexp_like(b, F.lit("^" + CJK))
+    return F.when(tight, "").otherwise(" ")

@@ -174,3 +174,8 @@ def dedupe_names(names: DataFrame) -> DataFrame:
         return rows.assign(entry=out)
 
     return names.groupBy("bundle").applyInPandas(one, "bundle int, pos int, name string, entry string")
+
+
+def extract_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages whose ``(doc_id, page_index)`` stands in ``wanted``, each once."""
+    return pages.join(wanted, ["doc_id", "page_index"], "left_semi")

@@ -165,11 +165,11 @@ def box_overlap(s, d):
 
 
 def hit_test(s, d):
-    return B.hit_test(literal(s, *POINTS), literal(s, *RECTS).filter("page = 1"))
+    return B.hit_test(literal(s, *POINTS).withColumn("page", F.lit(1)), literal(s, *RECTS), ["page"]).drop("page")
 
 
 def nearest_line(s, d):
-    return B.nearest(literal(s, *POINTS), literal(s, *RECTS).filter("page = 1"))
+    return B.nearest(literal(s, *POINTS).withColumn("page", F.lit(1)), literal(s, *RECTS), ["page"]).drop("page")
 
 
 def frame_transform(s, d):
