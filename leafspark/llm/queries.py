@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of the operators' numbers.
-MODULES = ("html_text", "mixing", "simhash", "repeats", "exact_dedup", "merkle", "quality", "pii", "byte_bpe", "token_files", "prefix_trie", "divergence")
+MODULES = ("html_text", "mixing", "simhash", "repeats", "exact_dedup", "merkle", "quality", "pii", "byte_bpe", "token_files", "cover_tree", "prefix_trie", "divergence")
 
 
 def _merged(name: str) -> dict:
