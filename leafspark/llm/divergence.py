@@ -1,15 +1,16 @@
 """Source divergence audit by sort-based streaming.
 
 Tasks read documents once and combine what they read: (lang, term, source), the first document of the
-block, its documents and occurrences. These partial runs are dealt by (lang, term) and a salt, sorted
-by (lang, term, source, document) and scanned as run lengths; a second scan joins the salts' parts of
-a term, which are at most sources times salts, and leaves one row for each kept term. No further
-shuffle of terms follows: each such run adds to the partial sums of all pairs of sources of its
-language and to the task's first terms of each source, and only those are emitted.
+block, its documents and occurrences. These partial runs are dealt by (lang, term), sorted by (lang,
+term, source, document), a hash of the first two leading so that rows compare by numbers, and scanned as
+run lengths to one row for each kept term. No further shuffle of terms follows: each such run adds to
+the partial sums of all pairs of sources of its language and gives its terms that stand out; the sums
+of the tasks are merged by one more scan over sorted rows.
 
-Occurrences and documents are combined before anything is shuffled, so a term that is in every
-document costs a row for each block and source. A block ends where its distinct entries reach
-``ENTRIES``; a long text is read in pieces. The pairs of sources are the result's own size.
+Occurrences and documents are combined before anything is shuffled: a term that is in every document
+costs one row for each block and source, so of a block's rows no term has more than there are sources,
+and no key is hot. A block ends where its distinct entries reach ``ENTRIES``; a long text is read in
+pieces. The pairs of sources are the result's own size.
 
 All arithmetic is on integers: floor(10^9 a / b) is taken in three steps of 10^3, so that nothing
 overflows while a language has less than 9 * 10^15 terms.
@@ -26,7 +27,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,10 +36,8 @@ from leafspark.llm.common import short_batches, staged, table
 
 #: The query's parameters.
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Parts of a term that many documents share, before its parts are joined.
-SALTS = 16
 #: Distinct entries of a block, bytes of a text read at once, cells of a matrix, and groups in a broadcast.
-ENTRIES, PIECE, CELLS, GROUPS = 200_000, 1 << 20, 1 << 21, 100_000
+ENTRIES, PIECE, CELLS, GROUPS = 500_000, 1 << 20, 1 << 21, 100_000
 
 #: A-Z lower-cased, other letters and bytes from 0x80 as they are, the rest blank.
 _LETTERS = bytes(
@@ -58,16 +56,16 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def _block(counts: dict, docs: dict, first) -> pa.RecordBatch:
-    keys = [(lang, source, term) for (lang, source), c in counts.items() for term in c]
-    langs, sources, terms = zip(*keys, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()), pa.array([first] * len(keys), pa.int64()),
-            pa.array([d for k, c in counts.items() for d in map(docs[k].__getitem__, c)], pa.int64()), pa.array([n for c in counts.values() for n in c.values()], pa.int64()),
-        ],
-        names=["lang", "source", "term", "document", "docs", "n"],
-    )
+def _block(counts: dict, docs: dict, first) -> Iterator[pa.RecordBatch]:
+    for (lang, source), c in counts.items():
+        n, seen = len(c), docs[lang, source]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), pa.array(c.keys(), pa.binary(), size=n),
+                pa.repeat(pa.scalar(first, pa.int64()), n), pa.array(map(seen.__getitem__, c), pa.int64(), size=n), pa.array(c.values(), pa.int64(), size=n),
+            ],
+            names=["lang", "source", "term", "document", "docs", "n"],
+        )
 
 
 def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +84,10 @@ def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             docs[lang, source].update(seen)
             held += 1 + len(c) - before
             if held >= ENTRIES:
-                yield _block(counts, docs, first)
+                yield from _block(counts, docs, first)
                 counts, docs, held = {}, {}, 0
     if counts:
-        yield _block(counts, docs, first)
+        yield from _block(counts, docs, first)
 
 
 def _starts(batch: pa.Table, keys: list[str]) -> np.ndarray:
@@ -119,11 +117,6 @@ def _run_lengths(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield held
 
 
-def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for runs in _run_lengths(batches, ["lang", "term", "source"]):
-        yield from runs.to_batches()
-
-
 def _kept_terms(min_docs: int):
     """Sorted runs to one row for each term of enough documents, and one of the empty term for the groups."""
 
@@ -162,17 +155,17 @@ def share(count: np.ndarray, total) -> np.ndarray:
 
 
 class _Language:
-    """One language's sums over the runs that a task has seen."""
+    """One language's sums over the runs that a task has seen: of each source's with the sources after it."""
 
     def __init__(self, lang: str, sources: pa.Array, totals: np.ndarray, kept: int):
         self.lang, self.sources, self.names = lang, sources, sources.to_pylist()
         self.totals, self.total = totals + SMOOTH * kept, int(totals.sum()) + SMOOTH * kept
         size = len(self.names)
         self.pairs = np.zeros((size, size), dtype=np.int64) if size * size <= CELLS else None
-        self.first = pd.DataFrame({"source": [], "item": [], "value": []})
+        self.cells = size * size if self.pairs is not None else size
 
-    def add(self, rows: pa.Table, top: int) -> Iterator[pa.RecordBatch]:
-        """Adds whole runs; what is too wide to be held is emitted at once."""
+    def add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Adds whole runs and gives their terms; sums that are too wide to be held are given at once."""
         size = len(self.names)
         lists, flat = rows.column("counts").combine_chunks(), rows.column("sources").combine_chunks()
         row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(flat).to_numpy())
@@ -183,56 +176,65 @@ class _Language:
         for i in range(size - 1):
             sums = np.abs(p[:, i + 1 :] - p[:, i : i + 1]).sum(axis=0)
             if self.pairs is None:
-                yield _audit(self.lang, [self.names[i]] * len(sums), "pair", self.names[i + 1 :], sums)
+                yield self.partial(i, sums)
             else:
                 self.pairs[i, i + 1 :] += sums
         t, s = np.nonzero((counts > 0) & (p > q[:, None]))
-        items = np.array([x.decode("utf-8", "surrogateescape") for x in rows.column("term").to_pylist()], dtype=object)
-        found = pd.DataFrame({"source": s, "item": items[t], "value": (p - q[:, None])[t, s]})
-        both = found if self.first.empty else pd.concat([self.first, found])
-        self.first = both.sort_values(["source", "value", "item"], ascending=[True, False, True]).groupby("source").head(top)
+        yield _audit(pa.repeat(self.lang, len(t)), self.sources.take(pa.array(s)), rows.column("term").combine_chunks().take(pa.array(t)), (p - q[:, None])[t, s], pa.nulls(len(t), pa.list_(pa.int64())))
+
+    def partial(self, i: int, sums: np.ndarray) -> pa.RecordBatch:
+        return _audit(pa.array([self.lang]), self.sources.slice(i, 1), pa.nulls(1, pa.binary()), np.array([i]), pa.array([sums]))
 
     def sums(self) -> Iterator[pa.RecordBatch]:
         for i in range(len(self.names) - 1 if self.pairs is not None else 0):
-            yield _audit(self.lang, [self.names[i]] * (len(self.names) - 1 - i), "pair", self.names[i + 1 :], self.pairs[i, i + 1 :])
-        if len(self.first):
-            f = self.first
-            yield _audit(self.lang, [self.names[int(s)] for s in f["source"]], "term", f["item"].tolist(), f["value"].to_numpy())
-
-
-def _audit(lang, sources, part, items, values) -> pa.RecordBatch:
-    n = len(sources)
-    items = [x.encode("utf-8", "surrogateescape") for x in items]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array(sources, pa.string()), pa.array([part] * n, pa.string()), pa.array(items, pa.binary()), pa.array(np.asarray(values, dtype=np.int64))],
-        names=["lang", "source", "part", "item", "value"],
-    )
+            yield self.partial(i, self.pairs[i, i + 1 :])
 
 
-def _audited(top: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if not rows.num_rows:
-                continue
-            at = [*_starts(rows, ["lang"]), rows.num_rows]
-            for a, b in zip(at, at[1:], strict=False):
-                part = rows.slice(a, b - a)
-                lang = part.column("lang")[0].as_py()
-                if held is None or held.lang != lang:
-                    if held is not None:
-                        yield from held.sums()
-                    head = part.slice(0, 1)
-                    totals = head.column("group_totals").combine_chunks().flatten().to_numpy()
-                    held = _Language(lang, head.column("group_sources").combine_chunks().flatten(), totals, head.column("kept")[0].as_py())
-                step = max(1, CELLS // max(1, len(held.names)))
-                for i in range(0, part.num_rows, step):
-                    yield from held.add(part.slice(i, step), top)
-        if held is not None:
-            yield from held.sums()
+#: Terms have an item and a value, partial sums a source's place in ``value`` and its sums with those after it.
+_AUDIT = "lang string, source string, item binary, value long, sums array<long>"
 
-    return scan
+
+def _audit(langs: pa.Array, sources: pa.Array, items: pa.Array, values: np.ndarray, sums: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([langs, sources, items, pa.array(values.astype(np.int64)), sums], names=["lang", "source", "item", "value", "sums"])
+
+
+def _audited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole runs, of languages in any order, to terms and the task's partial sums."""
+    held: dict[str, _Language] = {}
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).sort_by("lang").combine_chunks()
+        at = [*_starts(rows, ["lang"]), rows.num_rows]
+        for a, b in zip(at, at[1:], strict=False):
+            part = rows.slice(a, b - a)
+            lang = part.column("lang")[0].as_py()
+            if lang not in held:
+                if sum(x.cells for x in held.values()) > CELLS:
+                    for language in held.values():
+                        yield from language.sums()
+                    held = {}
+                head = part.slice(0, 1)
+                totals = head.column("group_totals").combine_chunks().flatten().to_numpy()
+                held[lang] = _Language(lang, head.column("group_sources").combine_chunks().flatten(), totals, head.column("kept")[0].as_py())
+            step = max(1, CELLS // max(1, len(held[lang].names)))
+            for i in range(0, part.num_rows, step):
+                yield from held[lang].add(part.slice(i, step))
+    for language in held.values():
+        yield from language.sums()
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted partial sums to one row for each source."""
+    names, held = ["lang", "source", "value", "sums"], None
+    for batch in batches:
+        for lang, source, place, sums in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            values = np.array(sums, dtype=np.int64)
+            if held is not None and held[:2] == (lang, source):
+                values += held[3]
+            elif held is not None:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, held, strict=True))])
+            held = (lang, source, place, values)
+    if held is not None:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, held, strict=True))])
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -243,14 +245,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col
     read = docs.select(
         F.col(id_col).cast("long").alias("document"), named(text_col).cast("binary").alias("text"), named(lang_col).alias("lang"), named(source_col).alias("source")
     )
-    runs = read.mapInArrow(_partial_runs, _RUNS)
-    salt = F.pmod(F.xxhash64("document", "source"), F.lit(SALTS))
-    order = ["lang", "term", "source", "document"]
-    merged = runs.withColumn("salt", salt).repartition("lang", "term", "salt").sortWithinPartitions(*order).drop("salt")
-    merged = merged.mapInArrow(_merged_runs, "lang string, term binary, source string, docs long, n long")
-    merged = merged.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    runs = read.mapInArrow(_partial_runs, _RUNS).withColumn("key", F.xxhash64("lang", "term"))
+    runs = runs.repartition("lang", "term").sortWithinPartitions("key", "lang", "term", "source", "document").drop("key")
     kept = staged(
-        merged.mapInArrow(_kept_terms(min_docs), "lang string, term binary, n long, sources array<string>, counts array<long>"), "terms"
+        runs.mapInArrow(_kept_terms(min_docs), "lang string, term binary, n long, sources array<string>, counts array<long>"), "terms"
     )
     is_term = F.octet_length("term") > 0
     each = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
@@ -264,16 +262,20 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col
     )
     held = langs.agg(F.sum(F.size("group_sources"))).first()[0] or 0
     beside = F.broadcast(langs) if held <= GROUPS else langs
-    sums = staged(kept.filter(is_term).join(beside, "lang").mapInArrow(_audited(top), "lang string, source string, part string, item binary, value long"), "sums")
-    sums = sums.withColumn("item", F.col("item").cast("string"))
-    once = sums.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    found = staged(kept.filter(is_term).join(beside, "lang").mapInArrow(_audited, _AUDIT), "found")
+    parts = found.filter("sums IS NOT NULL").select("lang", "source", "value", "sums")
+    parts = parts.repartition("lang", "source").sortWithinPartitions("lang", "source").mapInArrow(_summed, "lang string, source string, value long, sums array<long>")
+    after = F.slice("group_sources", (F.col("value") + 2).cast("int"), F.size("sums"))
+    once = parts.join(beside, "lang").select("lang", "source", F.explode(F.arrays_zip(after.alias("item"), "sums")).alias("x"))
+    once = once.select("lang", "source", F.col("x.item").alias("item"), F.col("x.sums").alias("value"))
     names = langs.filter("kept = 0").select("lang", F.explode("group_sources").alias("source"))
     bare = names.join(names.withColumnRenamed("source", "item"), "lang").filter("source < item").withColumn("value", F.lit(0).cast("long"))
     both = F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))
     pairs = once.unionByName(bare).select("lang", F.explode(both).alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
     by = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(by))
-    return ranked(pairs).unionByName(ranked(sums.filter("part = 'term'")).filter(F.col("rank") <= top))
+    terms = found.filter("item IS NOT NULL").select("lang", "source", F.lit("term").alias("part"), F.col("item").cast("string").alias("item"), "value")
+    return ranked(pairs).unionByName(ranked(terms).filter(F.col("rank") <= top))
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
