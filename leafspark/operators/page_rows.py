@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from leafspark.operators.folds import folded
 from leafspark.operators.layout import joined_words
+from leafspark.sources.staging import staged
 
 PAGE = ["doc_id", "page_index"]
 #: The marks of one page and direction.
@@ -257,8 +258,13 @@ def lines(parts: DataFrame, tables_: DataFrame) -> DataFrame:
     return out
 
 
+def page_fragments(marks: DataFrame, page_span: float = 792.0) -> tuple[DataFrame, DataFrame]:
+    """Marks to fragments in columns, and the families that are forms."""
+    parts = staged(fragments(rows(marks)), "fragments")
+    return staged(in_columns(parts, gutters(parts, page_span)), "columns"), form_pages(parts)
+
+
 def page_lines(marks: DataFrame, page_span: float = 792.0) -> DataFrame:
     """Marks to lines, by all of the steps above."""
-    parts = fragments(rows(marks))
-    placed = in_columns(parts, gutters(parts, page_span))
-    return lines(placed, tables(cells(placed), form_pages(parts)))
+    placed, forms = page_fragments(marks, page_span)
+    return lines(placed, tables(cells(placed), forms))
