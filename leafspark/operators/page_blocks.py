@@ -47,7 +47,7 @@ def hinted(lines: DataFrame, page_width: float = 612.0, page_height: float = 792
     """Lines with ``line_no`` on the page, ``body_size`` and ``pitch`` of the page, ``role``, ``level`` of headings,
     their column's ``left``, ``right`` and ``typical`` end, ``indent``, and ``list_level``."""
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("bucket", "row", "a0", "column", "line"))
-    n = lines.filter(F.length(F.trim("text")) > 0).withColumn("line_no", number)
+    n = lines.filter(F.length(F.trim("text")) > 0).repartition(*PAGE).withColumn("line_no", number)
     n = _body_size(n).withColumn("largest", F.max("font_size").over(Window.partitionBy(*PAGE)))
     view = n.withColumn("y", F.col("y0")).withColumn("height", F.col("y1") - F.col("y0")).withColumn("page_height", F.lit(page_height))
     n = L.line_roles(view).drop("y", "height", "page_height")
@@ -210,7 +210,7 @@ def paragraph_lines(n: DataFrame) -> DataFrame:
     """Lines outside of tables with their ``para`` within the lane, whether they ``joined`` the line before,
     how sure that decision is (``score``), and whether it was ``unsure``."""
     reads = ["role", "level", "indent", "font_size", "body_size", "gap", "gap_ratio", "like", "grown", "going", "shift", "side", "last_side", "own", "ended"]
-    free = pairs(n.filter("table IS NULL"))
+    free = pairs(n.filter("table IS NULL").repartition(*PAGE))
     return folded(free, LANE, ["baseline", "a0", "line_no"], reads, "para int, joined boolean, score double, unsure boolean", _paragraph_step)
 
 
@@ -232,7 +232,7 @@ def paragraphs(n: DataFrame) -> DataFrame:
     size = F.greatest("font_size", F.lit(1.0)) * 1.6
     fills = (F.col("a0") - F.col("left") <= size) & (F.col("right") - F.col("a1") <= size)
     row = F.struct("baseline", "a0", "line_no", "text", "role", "level", "list_level", "font_size", "family", "bold", "indent", "score", fills.alias("fills"), "body_size")
-    p = both.groupBy(*LANE, "para").agg(
+    p = both.repartition(*PAGE).groupBy(*LANE, "para").agg(
         F.array_sort(F.collect_list(row)).alias("l"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.avg(F.when(F.col("joined"), F.col("score"))).alias("inner"), F.bool_or(F.col("joined") & F.col("unsure")).alias("ambiguous"),
         F.count_if(F.col("side") == "center").alias("c"), F.count_if(F.col("side") == "right").alias("r"), F.max("pitch").alias("pitch"),
@@ -263,7 +263,7 @@ def blocks(p: DataFrame) -> DataFrame:
     """Paragraphs to blocks: a table is one; others are neighbours of one lane, role, level and alignment with
     no more than a line between them. ``block`` numbers those of a page."""
     kind = F.when(F.col("role") == "list-item", "list").when(F.col("role") == "table-cell", "table").otherwise(F.col("role"))
-    p = p.withColumn("kind", kind)
+    p = p.repartition(*PAGE).withColumn("kind", kind)
     lane = [*LANE, "kind", "level", "list_level", "alignment"]
     order = Window.partitionBy(*lane).orderBy("y0", "x0", "para")
     gap = F.col("y0") - F.lag("y1").over(order)

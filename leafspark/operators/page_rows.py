@@ -7,7 +7,8 @@ make a family of rows; ``a0, a1`` are its extents along the direction, ``c0, c1`
 base line's place across.
 
 Rows and corridors are ordered folds with a state of a few numbers; everything else is windows and sums
-within a page, so a page is dealt once for the marks and once for the corridors.
+within a page. Rows are dealt by page once a step, ahead of its windows, which all keep that dealing;
+a page's marks are the most that one key holds.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _row_step(state, cross: float, c0: float, c1: float, tolerance: float):
 def rows(marks: DataFrame) -> DataFrame:
     """Projected marks with the ``median_size`` of their family and their ``row``, from 0 in reading direction."""
     sizes = F.percentile("font_size", F.lit(0.5)).over(Window.partitionBy(*FAMILY))
-    m = projected(marks).withColumn("median_size", F.greatest(sizes, F.lit(1.0)))
+    m = projected(marks).repartition(*PAGE).withColumn("median_size", F.greatest(sizes, F.lit(1.0)))
     m = m.withColumn("tolerance", F.greatest(F.lit(1.2), F.col("median_size") * 0.2))
     return folded(m, FAMILY, ["cross", "a0", "mark"], ["cross", "c0", "c1", "tolerance"], "row int", _row_step).drop("tolerance")
 
@@ -77,7 +78,7 @@ def fragments(rows_: DataFrame, cell_gap: float = 4.0) -> DataFrame:
     limit = F.greatest(F.lit(cell_gap), F.col("median_size") * 0.9, F.greatest("font_size", F.lag("font_size").over(order), F.lit(1.0)) * 1.15)
     gap = F.col("a0") - F.coalesce(F.last(F.when(ink, F.col("a1")), ignorenulls=True).over(before), F.lag("a1").over(order))
     new = F.coalesce((F.col("item") != F.lag("item").over(order)) | (gap > limit), F.lit(False))
-    m = rows_.withColumn("fragment", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(ink)
+    m = rows_.repartition(*PAGE).withColumn("fragment", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(ink)
     return m.groupBy(*FAMILY, "row", "fragment").agg(
         F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.avg("cross").alias("cross"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
         F.max("median_size").alias("median_size"), F.array_sort(F.collect_list(F.struct(*MARK))).alias("marks"),
@@ -108,12 +109,12 @@ def gutters(parts: DataFrame, page_span: float = 792.0) -> DataFrame:
     left, right, c0, c1 and rows. Forms have none."""
     order = Window.partitionBy(*FAMILY, "row").orderBy("a0", "fragment")
     least = F.greatest(F.lit(6.0), F.col("median_size") * 0.9).alias("least")
-    p = parts.select(*FAMILY, "row", "fragment", "a0", "cross", F.lag("a1").over(order).alias("left"), F.lag("cross").over(order).alias("before"), least)
+    p = parts.repartition(*PAGE).select(*FAMILY, "row", "fragment", "a0", "cross", F.lag("a1").over(order).alias("left"), F.lag("cross").over(order).alias("before"), least)
     gaps = p.filter("a0 - left >= least").select(*FAMILY, "row", "left", F.col("a0").alias("right"), ((F.col("before") + F.col("cross")) / 2).alias("cross"), "least")
     gives = "corridor int, l double, r double, low double, high double, n int"
     # The last gap of a corridor has seen all of it.
     steps = folded(gaps, FAMILY, ["left", "right", "row"], ["left", "right", "cross", "least"], gives, _corridor_step)
-    ends = steps.groupBy(*FAMILY, "corridor").agg(F.max_by(F.struct("l", "r", "low", "high", "n", "least"), "n").alias("g")).select(*FAMILY, "g.*")
+    ends = steps.repartition(*PAGE).groupBy(*FAMILY, "corridor").agg(F.max_by(F.struct("l", "r", "low", "high", "n", "least"), "n").alias("g")).select(*FAMILY, "g.*")
     wide = ends.filter((F.col("n") >= GUTTER_ROWS) & (F.col("high") - F.col("low") >= max(24.0, page_span * GUTTER_SPAN)) & (F.col("r") - F.col("l") >= F.col("least")))
     family = Window.partitionBy(*FAMILY)
     by_left = family.orderBy("l", "r")
@@ -141,7 +142,7 @@ def cells(parts: DataFrame) -> DataFrame:
     what a cell is made of."""
     leader = F.regexp_like(F.array_join(F.flatten(F.transform("texts", lambda t: t["t"])), ""), F.lit(r"\.{4,}"))
     texts = F.array_sort(F.collect_list(F.struct("a0", "fragment", F.transform("marks", lambda m: m["text"]).alias("t"))).over(Window.partitionBy(*FAMILY, "row")))
-    p = parts.withColumn("texts", texts).filter(~leader & (F.col("column") >= 0)).drop("texts")
+    p = parts.repartition(*PAGE).withColumn("texts", texts).filter(~leader & (F.col("column") >= 0)).drop("texts")
     row = [*FAMILY, "column", "row"]
     order = Window.partitionBy(*row).orderBy("a0", "fragment")
     far = F.col("a0") - F.max("a1").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.greatest(F.lit(4.0), F.col("median_size") * 0.55)
@@ -188,7 +189,7 @@ def tables(cells_: DataFrame, forms: DataFrame) -> DataFrame:
     column of the table: the gutters' means that the cell's middle has passed, each column once a row.
     Two rows make a table when their cells share one kind of edge; forms need three rows."""
     row = [*FAMILY, "column", "row"]
-    whole = cells_.groupBy(*row).agg(
+    whole = cells_.repartition(*PAGE).groupBy(*row).agg(
         F.array_sort(F.collect_list(F.struct("cell", "a0", "a1", "cross", "fragments"))).alias("c"), F.max("median_size").alias("median_size")
     )
     of = lambda name: F.transform("c", lambda x: x[name])
@@ -197,7 +198,7 @@ def tables(cells_: DataFrame, forms: DataFrame) -> DataFrame:
     runs = folded(whole, [*FAMILY, "column"], ["cross", "row"], ["row", "cross", "starts", "ends", "median_size"], "table int, modes int", _table_step)
     table = [*FAMILY, "column", "table"]
     group = Window.partitionBy(*table)
-    runs = runs.join(forms.withColumn("form", F.lit(True)), FAMILY, "left").withColumn("rows", F.count(F.lit(1)).over(group)).withColumn("kinds", F.max("modes").over(group))
+    runs = runs.join(forms.withColumn("form", F.lit(True)), FAMILY, "left").repartition(*PAGE).withColumn("rows", F.count(F.lit(1)).over(group)).withColumn("kinds", F.max("modes").over(group))
     least = F.when(F.col("form"), 3).otherwise(2)
     kept = runs.filter((F.col("rows") >= least) & ~((F.col("rows") == 2) & (F.col("kinds") > 1)) & (F.col("rows") * F.size("c") >= 4))
     kept = kept.withColumn("table_row", F.row_number().over(group.orderBy("cross", "row")) - 1)
@@ -225,7 +226,7 @@ def lines(parts: DataFrame, tables_: DataFrame) -> DataFrame:
     look that stand near are runs; runs of a row and column are one line unless they stand apart, or overlap
     in sizes that differ by more than half."""
     in_table = tables_.select(*FAMILY, "column", "row", "table", "table_row", "place", F.explode("fragments").alias("fragment"))
-    p = parts.join(in_table, [*FAMILY, "column", "row", "fragment"], "left")
+    p = parts.join(in_table, [*FAMILY, "column", "row", "fragment"], "left").repartition(*PAGE)
     row = [*FAMILY, "column", "row"]
     head = F.col("marks")[0]
     look = F.struct(head["family"], head["font_size"], head["bold"], head["italic"])
