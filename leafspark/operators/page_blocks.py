@@ -334,3 +334,25 @@ def page_measures(n: DataFrame, p: DataFrame, b: DataFrame, page_width: float =
         unit(0.4 * same + 0.35 * edge + 0.25).alias("relations"), F.coalesce("table_mean", F.lit(0.9)).alias("table_sure"), unit(0.6 * F.col("known") + 0.4 * sure).alias("classified"),
         unit(0.7 * (1 - unit(F.col("covered") / (page_width * page_height))) + 0.3 * clear).alias("reflow_safe"),
     )
+
+
+def document_measures(n: DataFrame, p: DataFrame) -> DataFrame:
+    """One row a document: pages, those with several columns, tables, headings, list items, and the mean of its
+    pages' body sizes by words."""
+    upright = (F.col("bucket") == 0) & (F.col("column") >= 0)
+    pages = n.groupBy(*PAGE).agg(
+        F.count_distinct(F.when(upright, F.col("column"))).alias("columns"), F.count_distinct(F.when(F.col("table").isNotNull(), F.struct("bucket", "column", "table"))).alias("tables"),
+        F.max("body_size").alias("body_size"), F.sum("n_words").alias("words"),
+    )
+    sums = pages.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("columns") > 1).alias("column_pages"), F.sum("tables").alias("n_tables"), (F.sum(F.col("body_size") * F.col("words")) / F.sum("words")).alias("size")
+    )
+    roles = p.groupBy("doc_id").agg(F.count_if(F.col("role") == "heading").alias("n_headings"), F.count_if(F.col("role") == "list-item").alias("n_items"))
+    return sums.join(roles, "doc_id")
+
+
+def line_places(n: DataFrame, p: DataFrame, b: DataFrame) -> DataFrame:
+    """Each line's paragraph, with its role, and block, with its kind and top."""
+    of_line = p.select(*LANE, "para", "role", F.explode("lines").alias("line_no"))
+    of_para = b.select(*LANE, "kind", F.col("y0").alias("block_y"), F.explode("paras").alias("para"))
+    return n.select(*LANE, "line_no").join(of_line, [*LANE, "line_no"]).join(of_para, [*LANE, "para"])

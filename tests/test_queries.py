@@ -1,5 +1,6 @@
 """Every query of the library that has SQL gives the rows that DuckDB gives for it."""
 
+import functools
 import os
 
 import duckdb
@@ -7,6 +8,7 @@ import pandas as pd
 import pytest
 
 from leafspark import registry
+from leafspark.plans import structure_queries
 from tests.conftest import SF_DIR
 
 
@@ -29,6 +31,15 @@ def run_sql(sql, sf_dir=SF_DIR):
     return con.execute(sql).df()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def structure_once():
+    """All queries of page structure read the same lines and paragraphs, made once."""
+    made = functools.cache(structure_queries._structure)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(structure_queries, "_structure", made)
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_as_sql(spark, name):
     got, wanted = normal(registry.QUERIES[name](spark, SF_DIR).toPandas()), normal(run_sql(registry.SQL[name]))
