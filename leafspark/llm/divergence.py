@@ -46,11 +46,11 @@ _LETTERS = bytes(
 _RUNS = "lang string, source string, term binary, document long, docs long, n long"
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
+def _pieces(text: bytes, piece: int) -> Iterator[list[bytes]]:
     """The terms of a text, in lists of bounded length."""
     start, plain = 0, text.translate(_LETTERS)
     while start < len(plain):
-        end = plain.find(b" ", start + PIECE)
+        end = plain.find(b" ", start + piece)
         end = len(plain) if end < 0 else end
         yield plain[start:end].split()
         start = end
@@ -68,26 +68,30 @@ def _block(counts: dict, docs: dict, first) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _partial_runs(entries: int, piece: int):
     """Documents to partial runs; the empty term stands for the group itself."""
-    counts, docs, first, held = {}, {}, None, 0
-    for batch in batches:
-        for doc, text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (lang, source) not in counts:
-                counts[lang, source], docs[lang, source] = Counter({b"": 0}), Counter()
-            first = doc if not held else first
-            c, seen = counts[lang, source], set()
-            before = len(c)
-            for terms in _pieces(text):
-                c.update(terms)
-                seen.update(terms)
-            docs[lang, source].update(seen)
-            held += 1 + len(c) - before
-            if held >= ENTRIES:
-                yield from _block(counts, docs, first)
-                counts, docs, held = {}, {}, 0
-    if counts:
-        yield from _block(counts, docs, first)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, docs, first, held = {}, {}, None, 0
+        for batch in batches:
+            for doc, text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (lang, source) not in counts:
+                    counts[lang, source], docs[lang, source] = Counter({b"": 0}), Counter()
+                first = doc if not held else first
+                c, seen = counts[lang, source], set()
+                before = len(c)
+                for terms in _pieces(text, piece):
+                    c.update(terms)
+                    seen.update(terms)
+                docs[lang, source].update(seen)
+                held += 1 + len(c) - before
+                if held >= entries:
+                    yield from _block(counts, docs, first)
+                    counts, docs, held = {}, {}, 0
+        if counts:
+            yield from _block(counts, docs, first)
+
+    return read
 
 
 def _starts(batch: pa.Table, keys: list[str]) -> np.ndarray:
@@ -157,11 +161,11 @@ def share(count: np.ndarray, total) -> np.ndarray:
 class _Language:
     """One language's sums over the runs that a task has seen: of each source's with the sources after it."""
 
-    def __init__(self, lang: str, sources: pa.Array, totals: np.ndarray, kept: int):
+    def __init__(self, lang: str, sources: pa.Array, totals: np.ndarray, kept: int, cells: int):
         self.lang, self.sources, self.names = lang, sources, sources.to_pylist()
         self.totals, self.total = totals + SMOOTH * kept, int(totals.sum()) + SMOOTH * kept
         size = len(self.names)
-        self.pairs = np.zeros((size, size), dtype=np.int64) if size * size <= CELLS else None
+        self.pairs = np.zeros((size, size), dtype=np.int64) if size * size <= cells else None
         self.cells = size * size if self.pairs is not None else size
 
     def add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -198,28 +202,32 @@ def _audit(langs: pa.Array, sources: pa.Array, items: pa.Array, values: np.ndarr
     return pa.RecordBatch.from_arrays([langs, sources, items, pa.array(values.astype(np.int64)), sums], names=["lang", "source", "item", "value", "sums"])
 
 
-def _audited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _audited(cells: int):
     """Whole runs, of languages in any order, to terms and the task's partial sums."""
-    held: dict[str, _Language] = {}
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]).sort_by("lang").combine_chunks()
-        at = [*_starts(rows, ["lang"]), rows.num_rows]
-        for a, b in zip(at, at[1:], strict=False):
-            part = rows.slice(a, b - a)
-            lang = part.column("lang")[0].as_py()
-            if lang not in held:
-                if sum(x.cells for x in held.values()) > CELLS:
-                    for language in held.values():
-                        yield from language.sums()
-                    held = {}
-                head = part.slice(0, 1)
-                totals = head.column("group_totals").combine_chunks().flatten().to_numpy()
-                held[lang] = _Language(lang, head.column("group_sources").combine_chunks().flatten(), totals, head.column("kept")[0].as_py())
-            step = max(1, CELLS // max(1, len(held[lang].names)))
-            for i in range(0, part.num_rows, step):
-                yield from held[lang].add(part.slice(i, step))
-    for language in held.values():
-        yield from language.sums()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Language] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).sort_by("lang").combine_chunks()
+            at = [*_starts(rows, ["lang"]), rows.num_rows]
+            for a, b in zip(at, at[1:], strict=False):
+                part = rows.slice(a, b - a)
+                lang = part.column("lang")[0].as_py()
+                if lang not in held:
+                    if sum(x.cells for x in held.values()) > cells:
+                        for language in held.values():
+                            yield from language.sums()
+                        held = {}
+                    head = part.slice(0, 1)
+                    totals = head.column("group_totals").combine_chunks().flatten().to_numpy()
+                    held[lang] = _Language(lang, head.column("group_sources").combine_chunks().flatten(), totals, head.column("kept")[0].as_py(), cells)
+                step = max(1, cells // max(1, len(held[lang].names)))
+                for i in range(0, part.num_rows, step):
+                    yield from held[lang].add(part.slice(i, step))
+        for language in held.values():
+            yield from language.sums()
+
+    return scan
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(names, held, strict=True))])
 
 
-def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", entries: int = ENTRIES, piece: int = PIECE, cells: int = CELLS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank: how far each source's terms are from
     those of the other sources of its language, and which of its terms stand out from the language's."""
     short_batches(docs.sparkSession)
@@ -245,7 +253,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col
     read = docs.select(
         F.col(id_col).cast("long").alias("document"), named(text_col).cast("binary").alias("text"), named(lang_col).alias("lang"), named(source_col).alias("source")
     )
-    runs = read.mapInArrow(_partial_runs, _RUNS).withColumn("key", F.xxhash64("lang", "term"))
+    runs = read.mapInArrow(_partial_runs(entries, piece), _RUNS).withColumn("key", F.xxhash64("lang", "term"))
     runs = runs.repartition("lang", "term").sortWithinPartitions("key", "lang", "term", "source", "document").drop("key")
     kept = staged(
         runs.mapInArrow(_kept_terms(min_docs), "lang string, term binary, n long, sources array<string>, counts array<long>"), "terms"
@@ -262,7 +270,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col
     )
     held = langs.agg(F.sum(F.size("group_sources"))).first()[0] or 0
     beside = F.broadcast(langs) if held <= GROUPS else langs
-    found = staged(kept.filter(is_term).join(beside, "lang").mapInArrow(_audited, _AUDIT), "found")
+    found = staged(kept.filter(is_term).join(beside, "lang").mapInArrow(_audited(cells), _AUDIT), "found")
     parts = found.filter("sums IS NOT NULL").select("lang", "source", "value", "sums")
     parts = parts.repartition("lang", "source").sortWithinPartitions("lang", "source").mapInArrow(_summed, "lang string, source string, value long, sums array<long>")
     after = F.slice("group_sources", (F.col("value") + 2).cast("int"), F.size("sums"))

@@ -125,8 +125,9 @@ def mix_documents(docs: DataFrame, weights: dict, share: float, seed: int = SEED
     """The documents of one epoch that the mixture takes, with all their columns; one that the budget
     cuts stays whole."""
     taken = selections(docs.withColumn("domain", domain_of(F.col("source"))), weights, share=share, seed=seed, id_col=id_col, text_col=text_col)
-    taken = taken.select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken")), "left_semi")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
+    taken = taken.select(F.col("doc_id").alias("taken")).distinct()
+    return whole.join(taken, F.col("doc_id").eqNullSafe(F.col("taken")), "left_semi").select("row.*")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

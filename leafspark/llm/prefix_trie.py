@@ -109,10 +109,10 @@ def _closed(stack: list[_Node], depth: int) -> Iterator[tuple[_Node, int, int |
         yield node, len(stack), parent.ids[0] if parent else None
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sweep(piece: int):
     """Sorted turn arrays of one partition to its nodes and the parts of those that may cross it."""
 
-    def rows() -> Iterator[dict]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         stack, path, part, made, before = [], [], 0, 0, None
         for batch in batches:
             for conv, digests, words, part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):  # noqa: B007
@@ -138,11 +138,11 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = digests
         seq = 0
         for depth, node in [*enumerate(path), *((i, n) for i, n in enumerate(stack) if not n.first)]:
-            for at in range(0, max(1, len(node.ends)), PIECE):
-                yield node.row("open", depth, None, part, seq, bytes(node.ends[at : at + PIECE]))
+            for at in range(0, max(1, len(node.ends)), piece):
+                yield node.row("open", depth, None, part, seq, bytes(node.ends[at : at + piece]))
                 node.least, node.convs, node.children, node.leaves, node.saved, seq = None, 0, 0, 0, 0, seq + 1
 
-    return _batched(rows())
+    return lambda batches: _batched(rows(batches))
 
 
 def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +193,14 @@ def family_heads(arrays: DataFrame, family: int = FAMILY, head: int = HEAD) -> D
     return arrays.join(firsts, F.col("first") == F.col("conv_id") - F.col("conv_id") % family, "left").select("conv_id", F.concat(head_turns, own).alias("turns"))
 
 
-def prefix_trie(arrays: DataFrame) -> DataFrame:
+def prefix_trie(arrays: DataFrame, piece: int = PIECE) -> DataFrame:
     """``arrays(conv_id, turns)`` to one row for each node of their trie; see the contract's columns."""
     spark = arrays.sparkSession
     short_batches(spark)
     flat = staged(arrays.select("conv_id", F.col("turns.digest").alias("digests"), F.col("turns.words").alias("words")), "turns")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = flat.repartitionByRange(parts, "digests", "conv_id").sortWithinPartitions("digests", "conv_id")
-    swept = staged(ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(_sweep, _NODES), "intervals")
+    swept = staged(ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(_sweep(piece), _NODES), "intervals")
     seams = swept.filter("kind = 'open'").repartition(1).sortWithinPartitions("part", "seq")
     stitched = staged(seams.mapInArrow(_stitch, _NODES), "stitched")
     nodes = swept.union(stitched).filter("kind = 'node'")

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from leafspark.llm import common, near_copies
+from leafspark.llm import common, mixing, near_copies
 from tests.llm.conftest import ROWS
 
 
@@ -60,3 +61,19 @@ def test_given_documents(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert sorted(str(r.doc_id) for r in near_copies.near_dedup(docs).collect()) == brute_kept(rows)
+
+
+def test_a_repeated_id_loses_only_the_copy(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, "x"), (2, text, "x"), (2, other, "x"), (None, text, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _gone string").withColumn("mark", F.lit("clash")).withColumn("row", F.lit(0))
+    kept = near_copies.near_dedup(frame)
+    assert kept.columns == frame.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", text), ("2", other), ("None", text)])
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "a b", "en", "src0", "x"), (2, "c", None, None, "y")], "doc_id long, text string, lang string, source string, _taken string").withColumn("taken", F.lit(1))
+    taken = mixing.mix_documents(frame, mixing.WEIGHTS, share=1.0)
+    assert taken.columns == frame.columns and taken.count() == 2
+    assert mixing.mix_documents(frame.filter("doc_id < 0"), mixing.WEIGHTS, share=1.0).collect() == []
