@@ -22,20 +22,27 @@ PARAGRAPHS = (
     "(1,0,0,'body','Report 2024',9.0,'A',10.0,12.0,792.0,10.0),(1,0,1,'body','A sentence that runs on',10.0,'A',300.0,12.0,792.0,10.0),(1,0,2,'body','- 1 -',9.0,'A',770.0,12.0,792.0,10.0),(1,1,0,'body','Report 2025',9.0,'A',10.0,12.0,792.0,10.0),(1,1,1,'body','into the next page.',10.5,'A',300.0,12.0,792.0,10.0),(1,1,2,'body','- 2 -',9.0,'A',770.0,12.0,792.0,10.0),"
     "(1,2,0,'header','Report 2026',9.0,'A',10.0,12.0,792.0,10.0),(1,2,1,'body','New text; and',10.0,'B',300.0,12.0,792.0,10.0),(1,2,2,'body','Big',20.0,'A',5.0,12.0,792.0,10.0),(2,0,0,'body','Alone',9.0,'A',10.0,12.0,792.0,10.0)",
     "doc_id long, page_index int, para_id int, role string, text string, font_size double, font_family string, y double, height double, page_height double, median_size double",
+    "SELECT 1000 + conv_id, turn, 0, 'body', 'Turn ' || CAST(turn AS STRING), 9, 'A', 10, 12, 792, 10 FROM {conversations} UNION ALL SELECT 1000 + conv_id, turn, 1, 'body', text, 10, 'A', 300, 12, 792, 10 FROM {conversations}",
 )
 BLOCKS = (
     "(1,0,1,'header',-1,10.0,10.0),(1,0,2,'body',0,50.0,100.0),(1,0,3,'body',1,300.0,90.0),(1,0,4,'body',-1,50.0,200.0),(1,0,5,'body',0,50.0,300.0),(1,0,6,'body',1,300.0,250.0),(1,0,7,'footer',0,50.0,700.0),(1,0,8,'body',-1,50.0,400.0),(1,0,9,'body',0,50.0,500.0),(1,1,1,'body',0,5.0,5.0),(1,1,2,'body',0,5.0,4.0)",
     "doc_id long, page_index int, block_id int, kind string, column_index int, x double, y double",
 )
-RECTS = ("(1,0,0.0,0.0,100.0,100.0),(1,1,50.0,50.0,150.0,150.0),(1,2,100.0,0.0,200.0,50.0),(1,3,60.0,60.0,70.0,70.0),(1,4,300.0,300.0,301.0,301.0),(2,0,0.0,0.0,10.0,10.0),(2,1,5.0,5.0,300.0,300.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double")
-POINTS = ("(0,65.0,65.0),(1,10.0,10.0),(2,500.0,500.0),(3,302.0,305.0),(4,155.0,120.0),(5,205.0,20.0)", "point int, px double, py double")
+RECTS = ("(1,0,0.0,0.0,100.0,100.0),(1,1,50.0,50.0,150.0,150.0),(1,2,100.0,0.0,200.0,50.0),(1,3,60.0,60.0,70.0,70.0),(1,4,300.0,300.0,301.0,301.0),(2,0,0.0,0.0,10.0,10.0),(2,1,5.0,5.0,300.0,300.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double",
+    "SELECT 1000 + o_custkey, o_orderkey, o_orderkey % 300, o_orderkey % 70, o_orderkey % 300 + 40, o_orderkey % 70 + 30 FROM {orders}",
+)
+POINTS = ("(0,65.0,65.0),(1,10.0,10.0),(2,500.0,500.0),(3,302.0,305.0),(4,155.0,120.0),(5,205.0,20.0)", "point int, px double, py double",
+    "SELECT 1000 + p_partkey, p_partkey % 220, p_size * 3 FROM {part}",
+)
 LINES = (
     "(1,0,0,72.0,500.0,100.0,10.0,'A',12.0,500.0),(1,0,1,72.0,498.0,112.0,10.0,'A',12.0,500.0),(1,0,2,72.0,300.0,124.0,10.0,'A',12.0,500.0),(1,0,3,90.0,500.0,148.0,10.0,'A',12.0,500.0),(1,0,4,150.0,420.0,160.0,14.0,'B',12.0,500.0),(1,1,0,72.0,500.0,100.0,10.0,'A',12.0,500.0)",
     "doc_id long, page_index int, line_no int, x0 double, x1 double, baseline double, font_size double, family string, pitch double, column_end double",
+    "SELECT 1000 + o_custkey, 0, o_orderkey, 72 + o_orderkey % 3 * 10, 300 + o_orderkey % 5 * 50, 100 + o_orderkey * 12, 10 + o_orderkey % 2 * 2, 'A', 12, 500 FROM {orders}",
 )
 ALIGNED = (
     "(1,0,10.0,90.0,10.0,0.0,100.0),(1,1,20.0,80.0,10.0,0.0,100.0),(2,0,0.0,100.0,10.0,0.0,100.0),(2,1,0.0,99.0,10.0,0.0,100.0),(2,2,0.0,40.0,10.0,0.0,100.0),(3,0,60.0,100.0,10.0,0.0,100.0),(4,0,0.0,50.0,10.0,0.0,100.0),(4,1,0.0,60.0,10.0,0.0,100.0)",
     "para_id int, line_no int, x0 double, x1 double, font_size double, left_ double, right_ double",
+    "SELECT 1000 + o_custkey, o_orderkey, o_orderkey % 4 * 10, 100 - o_orderkey % 3 * 10, 10, 0, 100 FROM {orders}",
 )
 GLYPHS = (
     "(1,0,0,'H',0.0,6.0,10.0),(1,0,1,'i',6.0,3.0,10.0),(1,0,2,' ',9.0,3.0,10.0),(1,0,3,'y',12.0,5.0,10.0),(1,0,4,'o',17.5,5.0,10.0),(1,0,5,'u',30.0,5.0,10.0),(1,1,0,' ',0.0,3.0,10.0),(1,1,1,'z',3.0,5.0,10.0)",
@@ -45,10 +52,18 @@ ITEMS = (
     "(1,0,0,0,'Hel',0.0,100.0,15.0,10.0,10.0),(1,0,1,0,'lo',15.5,100.0,10.0,10.0,10.0),(1,0,2,0,'world',30.0,101.0,25.0,10.0,10.0),(1,0,3,0,'far',200.0,100.0,15.0,10.0,10.0),(1,0,4,1,'next',0.0,115.0,20.0,10.0,10.0),(1,0,5,1,'',20.0,115.0,0.0,10.0,10.0)",
     "doc_id long, page_index int, item_no int, line int, text string, x double, y double, width double, height double, font_size double",
 )
-PIXELS = ("(0,0,0,0),(1,255,255,255),(2,255,0,0),(3,12,200,99),(4,128,128,128),(5,0,0,255)", "id int, r int, g int, b int")
-BOXES = ("(0,0.0,0.0,612.0,792.0,0),(1,0.0,0.0,612.0,792.0,90),(2,50.0,40.0,550.0,740.0,180),(3,50.0,40.0,550.0,740.0,270)", "id int, x0 double, y0 double, x1 double, y1 double, rot int")
-SIZES = ("(0,612.0,792.0,2.0),(1,10000.0,100.0,1.0),(2,5000.0,5000.0,3.0),(3,100.0,100.0,0.5)", "id int, width double, height double, wanted double")
-CLIPS = ("(0,0.0,0.0,612.0,792.0,10.0,10.0,700.0,900.0),(1,0.0,0.0,612.0,792.0,-5.0,-5.0,100.0,100.0),(2,0.0,0.0,100.0,100.0,200.0,200.0,300.0,300.0)", "id int, mx0 double, my0 double, mx1 double, my1 double, cx0 double, cy0 double, cx1 double, cy1 double")
+PIXELS = ("(0,0,0,0),(1,255,255,255),(2,255,0,0),(3,12,200,99),(4,128,128,128),(5,0,0,255)", "id int, r int, g int, b int",
+    "SELECT 1000 + p_partkey, p_partkey * 7 % 256, p_partkey * 13 % 256, p_size * 5 % 256 FROM {part}",
+)
+BOXES = ("(0,0.0,0.0,612.0,792.0,0),(1,0.0,0.0,612.0,792.0,90),(2,50.0,40.0,550.0,740.0,180),(3,50.0,40.0,550.0,740.0,270)", "id int, x0 double, y0 double, x1 double, y1 double, rot int",
+    "SELECT 1000 + p_partkey, p_size, p_partkey % 90, p_size + 100 + p_partkey % 400, p_partkey % 90 + 50 + p_partkey % 600, 90 * (p_partkey % 4) FROM {part}",
+)
+SIZES = ("(0,612.0,792.0,2.0),(1,10000.0,100.0,1.0),(2,5000.0,5000.0,3.0),(3,100.0,100.0,0.5)", "id int, width double, height double, wanted double",
+    "SELECT 1000 + p_partkey, 100 + p_size * 200, 50 + p_partkey % 5000, 0.5 + p_size % 4 FROM {part}",
+)
+CLIPS = ("(0,0.0,0.0,612.0,792.0,10.0,10.0,700.0,900.0),(1,0.0,0.0,612.0,792.0,-5.0,-5.0,100.0,100.0),(2,0.0,0.0,100.0,100.0,200.0,200.0,300.0,300.0)", "id int, mx0 double, my0 double, mx1 double, my1 double, cx0 double, cy0 double, cx1 double, cy1 double",
+    "SELECT 1000 + p_partkey, 0, 0, 612, 792, p_size - 20, p_partkey % 900 - 40, p_size + 300, p_partkey % 900 + 60 FROM {part}",
+)
 RECIPES = (
     "(1,0,'a','merge','source',''),(1,1,'b','stamp','step','a'),(2,0,'a','merge','step','b'),(2,1,'b','stamp','source',''),(3,0,'a','inspect','source',''),(3,1,'b','stamp','step','a'),(4,0,'a','merge','source',''),(4,1,'a','stamp','source',''),(5,0,'a','nope','source',''),(5,1,'b','stamp','step','zz'),(6,0,'a','merge','step','a'),(7,0,'a','merge','else','')",
     "recipe_id int, pos int, step_id string, tool string, input_kind string, input_ref string",
@@ -76,11 +91,11 @@ def _box(prefix=""):
 
 
 def body_size_mode(s, d):
-    return L.modal_size(L.cleaned_runs(literal(s, *RUNS))).select("doc_id", "body_size")
+    return L.modal_size(L.cleaned_runs(literal(s, d, *RUNS))).select("doc_id", "body_size")
 
 
 def suggested_bookmarks(s, d):
-    return L.suggest_bookmarks(literal(s, *RUNS), literal(s, *RUN_PAGES))
+    return L.suggest_bookmarks(literal(s, d, *RUNS), literal(s, d, *RUN_PAGES))
 
 
 def first_line_bookmarks(s, d):
@@ -90,15 +105,15 @@ def first_line_bookmarks(s, d):
 
 
 def repeated_furniture(s, d):
-    return L.repeated_furniture(literal(s, *PARAGRAPHS))
+    return L.repeated_furniture(literal(s, d, *PARAGRAPHS))
 
 
 def cross_page_links(s, d):
-    return L.cross_page_links(literal(s, *PARAGRAPHS).filter("y > 100 AND y < 700"))
+    return L.cross_page_links(literal(s, d, *PARAGRAPHS).filter("y > 100 AND y < 700"))
 
 
 def reading_order(s, d):
-    return L.reading_order(literal(s, *BLOCKS))
+    return L.reading_order(literal(s, d, *BLOCKS))
 
 
 def weighted_median(s, d):
@@ -110,7 +125,7 @@ def line_pitch_median(s, d):
 
 
 def line_relations(s, d):
-    return L.line_relations(literal(s, *LINES).withColumnRenamed("column_end", "end"))
+    return L.line_relations(literal(s, d, *LINES).withColumnRenamed("column_end", "end"))
 
 
 def coverage_ratio(s, d):
@@ -119,15 +134,15 @@ def coverage_ratio(s, d):
 
 
 def paragraph_alignment(s, d):
-    return L.paragraph_alignment(literal(s, *ALIGNED).withColumnsRenamed({"left_": "left", "right_": "right"}))
+    return L.paragraph_alignment(literal(s, d, *ALIGNED).withColumnsRenamed({"left_": "left", "right_": "right"}))
 
 
 def glyph_words(s, d):
-    return L.words(literal(s, *GLYPHS))
+    return L.words(literal(s, d, *GLYPHS))
 
 
 def cluster_runs(s, d):
-    return L.cluster_runs(literal(s, *ITEMS))
+    return L.cluster_runs(literal(s, d, *ITEMS))
 
 
 def wrapped_text(s, d):
@@ -137,7 +152,7 @@ def wrapped_text(s, d):
 
 
 def line_roles(s, d):
-    lines = literal(s, *ROLE_LINES).withColumn("height", F.lit(12.0)).withColumn("body_size", F.lit(10.0)).withColumn("page_height", F.lit(792.0))
+    lines = literal(s, d, *ROLE_LINES).withColumn("height", F.lit(12.0)).withColumn("body_size", F.lit(10.0)).withColumn("page_height", F.lit(792.0))
     return L.line_roles(lines).select("id", "role")
 
 
@@ -148,11 +163,11 @@ def column_bounds(s, d):
 
 
 def joined_words(s, d):
-    return literal(s, *WORD_LISTS).select("id", L.joined_words(F.split("words", "[|]")).alias("text"))
+    return literal(s, d, *WORD_LISTS).select("id", L.joined_words(F.split("words", "[|]")).alias("text"))
 
 
 def role_counts(s, d):
-    return L.role_counts(literal(s, *PARAGRAPHS))
+    return L.role_counts(literal(s, d, *PARAGRAPHS))
 
 
 def confidence_bands(s, d):
@@ -161,37 +176,37 @@ def confidence_bands(s, d):
 
 
 def box_overlap(s, d):
-    return B.overlapping(literal(s, *RECTS), ["page"])
+    return B.overlapping(literal(s, d, *RECTS), ["page"])
 
 
 def hit_test(s, d):
-    return B.hit_test(literal(s, *POINTS).withColumn("page", F.lit(1)), literal(s, *RECTS), ["page"]).drop("page")
+    return B.hit_test(literal(s, d, *POINTS).withColumn("page", F.lit(1)), literal(s, d, *RECTS), ["page"]).drop("page")
 
 
 def nearest_line(s, d):
-    return B.nearest(literal(s, *POINTS).withColumn("page", F.lit(1)), literal(s, *RECTS), ["page"]).drop("page")
+    return B.nearest(literal(s, d, *POINTS).withColumn("page", F.lit(1)), literal(s, d, *RECTS), ["page"]).drop("page")
 
 
 def frame_transform(s, d):
     px, py = G.to_page(F.lit(10.0), F.lit(20.0), _box(), F.col("rot"))
-    out = literal(s, *BOXES).withColumn("px", px).withColumn("py", py)
+    out = literal(s, d, *BOXES).withColumn("px", px).withColumn("py", py)
     x, y = G.to_display(F.col("px"), F.col("py"), _box(), F.col("rot"))
     w, h = G.display_size(_box(), F.col("rot"))
     return out.select("id", "px", "py", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
 def crop_clamp(s, d):
-    c = literal(s, *CLIPS)
+    c = literal(s, d, *CLIPS)
     out = c.select("id", F.greatest("mx0", "cx0").alias("x0"), F.greatest("my0", "cy0").alias("y0"), F.least("mx1", "cx1").alias("x1"), F.least("my1", "cy1").alias("y1"))
     return out.withColumn("empty", (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")))
 
 
 def render_budget(s, d):
-    return literal(s, *SIZES).select("id", G.render_scale(F.col("width"), F.col("height"), F.col("wanted")).alias("scale"))
+    return literal(s, d, *SIZES).select("id", G.render_scale(F.col("width"), F.col("height"), F.col("wanted")).alias("scale"))
 
 
 def luma_pixels(s, d):
-    return literal(s, *PIXELS).select("id", G.luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"), *((255 - F.col(c)).alias(f"inverse_{c}") for c in "rgb"))
+    return literal(s, d, *PIXELS).select("id", G.luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"), *((255 - F.col(c)).alias(f"inverse_{c}") for c in "rgb"))
 
 
 def message_size(s, d):
@@ -231,7 +246,7 @@ def _events(s, d):
 
 
 def quota_literal(s, d):
-    return Q.verdicts(literal(s, *QUOTA_EVENTS), 3, 6, 100.0)
+    return Q.verdicts(literal(s, d, *QUOTA_EVENTS), 3, 6, 100.0)
 
 
 def quota_events(s, d):
@@ -245,7 +260,7 @@ def quota_settle(s, d):
 
 
 def recipe_validate(s, d):
-    return recipes.recipe_errors(literal(s, *RECIPES))
+    return recipes.recipe_errors(literal(s, d, *RECIPES))
 
 
 def event_windows(s, d):

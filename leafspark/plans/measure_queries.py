@@ -13,11 +13,18 @@ from leafspark.sources.tables import PAGES_SQL, RUNS_SQL, doc_pages, doc_runs, l
 VIEWS = (
     "(0,0.0,0.0,612.0,792.0,0.0,0.0,612.0,792.0),(1,50.0,40.0,900.0,700.0,0.0,0.0,612.0,792.0),(2,612.0,792.0,100.0,80.0,612.0,0.0,0.0,792.0),(3,700.0,0.0,800.0,10.0,0.0,0.0,612.0,792.0)",
     "id int, cx0 double, cy0 double, cx1 double, cy1 double, mx0 double, my0 double, mx1 double, my1 double",
+    "SELECT 1000 + p_partkey, p_size, 10, p_partkey % 700, p_partkey % 900, 0, 0, 612, 792 FROM {part}",
+)
+ANGLES = ("(0,0.0),(1,2.4),(2,-3.0),(3,357.6),(4,92.5),(5,-90.0),(6,45.0),(7,45.5)", "id int, angle double",
+    "SELECT 1000 + p_partkey, p_partkey * 37 % 1441 - 720 + 0.25 FROM {part}",
+)
+LINE_PAIRS = ("(0,'a hyphen- ',' ated'),(1,'plain','text'),(2,'中','text'),(3,'text','文'),(4,'  ','x'),(5,'x','')", "id int, a string, b string",
+    "SELECT 1000 + p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '- ' ELSE ' ' END, ' ' || p_brand FROM {part}",
 )
-ANGLES = ("(0,0.0),(1,2.4),(2,-3.0),(3,357.6),(4,92.5),(5,-90.0),(6,45.0),(7,45.5)", "id int, angle double")
-LINE_PAIRS = ("(0,'a hyphen- ',' ated'),(1,'plain','text'),(2,'中','text'),(3,'text','文'),(4,'  ','x'),(5,'x','')", "id int, a string, b string")
 FAILURES = ("(0,'[too-large] The file is too large'),(1,'no code'),(2,'[x_1] y'),(3,'[UP] y')", "id int, message string")
-HEADS = ("(0,'255044462D312E37'),(1,'FFD8FFE0'),(2,'89504E470D0A1A0A00'),(3,'00112233'),(4,'')", "id int, head string")
+HEADS = ("(0,'255044462D312E37'),(1,'FFD8FFE0'),(2,'89504E470D0A1A0A00'),(3,'00112233'),(4,'')", "id int, head string",
+    "SELECT 1000 + doc_id, hex(substr(text, 1, 8)) FROM {documents}",
+)
 
 
 def extract_pages(s, d):
@@ -29,15 +36,15 @@ def extract_pages(s, d):
 
 def visible_boxes(s, d):
     crop, media = (tuple(F.col(k + c) for c in ("x0", "y0", "x1", "y1")) for k in "cm")
-    return literal(s, *VIEWS).select("id", *(x.alias(n) for x, n in zip(G.visible_box(crop, media), ("x0", "y0", "x1", "y1"), strict=True)))
+    return literal(s, d, *VIEWS).select("id", *(x.alias(n) for x, n in zip(G.visible_box(crop, media), ("x0", "y0", "x1", "y1"), strict=True)))
 
 
 def rotation_buckets(s, d):
-    return literal(s, *ANGLES).select("id", G.rotation_bucket(F.col("angle")).alias("bucket"), G.is_override(F.col("angle")).alias("valid"))
+    return literal(s, d, *ANGLES).select("id", G.rotation_bucket(F.col("angle")).alias("bucket"), G.is_override(F.col("angle")).alias("valid"))
 
 
 def line_separators(s, d):
-    return literal(s, *LINE_PAIRS).select("id", L.separator(F.col("a"), F.col("b")).alias("separator"))
+    return literal(s, d, *LINE_PAIRS).select("id", L.separator(F.col("a"), F.col("b")).alias("separator"))
 
 
 def weighted_means(s, d):
@@ -58,11 +65,11 @@ def page_file_names(s, d):
 
 
 def failure_codes(s, d):
-    return literal(s, *FAILURES).select("id", T.failure_code(F.col("message")).alias("code"))
+    return literal(s, d, *FAILURES).select("id", T.failure_code(F.col("message")).alias("code"))
 
 
 def file_kinds(s, d):
-    return literal(s, *HEADS).select("id", T.magic_kind(F.unhex("head")).alias("kind"))
+    return literal(s, d, *HEADS).select("id", T.magic_kind(F.unhex("head")).alias("kind"))
 
 
 _V = ", ".join(f"least({k}{c}0, {k}{c}1) AS {k}{c}0, greatest({k}{c}0, {k}{c}1) AS {k}{c}1" for k in "cm" for c in "xy")

@@ -10,19 +10,36 @@ from leafspark.operators import pages as P
 from leafspark.sources.tables import PAGES_SQL, doc_pages, literal, literal_sql, table
 
 #: Literal relations, the same for the query and its SQL.
-REFS = ("(0,1,1,0),(1,1,3,90),(2,1,1,180),(3,7,2,0),(4,7,1,270),(5,1,99,0),(6,2,1,0)", "out_pos int, doc_index long, page_index int, rotate int")
-RANGES = ("('5',10),('8-',10),('-3',10),('9-2',10),('99-200',10),('-',4),('1,1;2',10),(' 2 - 4 ,7',10)", "spec string, page_count int")
+REFS = ("(0,1,1,0),(1,1,3,90),(2,1,1,180),(3,7,2,0),(4,7,1,270),(5,1,99,0),(6,2,1,0)", "out_pos int, doc_index long, page_index int, rotate int",
+    "SELECT 1000 + o_orderkey, o_orderkey, 1 + o_orderkey % 4, 90 * (o_orderkey % 4) FROM {orders}",
+)
+RANGES = ("('5',10),('8-',10),('-3',10),('9-2',10),('99-200',10),('-',4),('1,1;2',10),(' 2 - 4 ,7',10)", "spec string, page_count int",
+    "SELECT CAST(o_orderkey % 7 AS STRING) || '-' || CAST(o_orderkey % 23 AS STRING) || ', ' || CAST(o_custkey % 40 AS STRING), CAST(1 + o_custkey % 50 AS INT) FROM {orders}",
+)
 OUTLINE = (
     "(1,0,'Book',0,0),(1,1,'One',2,1),(1,2,'Also one',2,1),(1,3,'Two',5,1),(1,4,'Deep',6,2),(2,0,'A',0,0),(2,1,'B',3,0),(3,0,'Only',4,0),(4,0,'X',1,0),(4,1,'Y',1,0),(4,2,'Z',9,0)",
     "doc_id long, seq int, title string, page_index int, level int",
+    "SELECT 1000 + o_custkey, o_orderkey, o_orderpriority || CAST(o_orderkey AS STRING), o_orderkey % 9, o_orderkey % 3 FROM {orders}",
+)
+BAD_OUTLINE = ("(1,0,0),(1,1,1),(1,2,2),(1,3,0),(2,0,1),(2,1,0),(3,0,0),(3,1,2),(3,2,3),(4,0,0),(4,1,0)", "doc_id long, seq int, level int",
+    "SELECT 1000 + o_custkey, o_orderkey, (o_orderkey % 7) % 4 FROM {orders}",
+)
+COUNTS = ("(1,8),(2,5),(3,6),(4,9)", "doc_id long, page_count int",
+    "SELECT 1000 + c_custkey, 3 + c_custkey % 9 FROM {customer}",
+)
+SIZES = ("(0,612.0,792.0),(1,595.28,841.89),(2,300.0,900.0),(3,1000.0,200.0),(4,842.0,595.0)", "id int, width double, height double",
+    "SELECT 1000 + p_partkey, 100 + p_size * 13, 50 + p_partkey % 700 FROM {part}",
+)
+BOXES = ("(0,0.0,0.0,612.0,792.0,0),(1,0.0,0.0,612.0,792.0,90),(2,50.0,40.0,550.0,740.0,180),(3,50.0,40.0,550.0,740.0,270)", "id int, x0 double, y0 double, x1 double, y1 double, rot int",
+    "SELECT 1000 + p_partkey, p_size, p_partkey % 90, p_size + 100 + p_partkey % 400, p_partkey % 90 + 50 + p_partkey % 600, 90 * (p_partkey % 4) FROM {part}",
+)
+MARKS = ("(0,612.0,792.0,120.0,40.0),(1,200.0,100.0,300.0,200.0),(2,842.0,595.0,30.0,20.0)", "id int, view_w double, view_h double, mark_w double, mark_h double",
+    "SELECT 1000 + p_partkey, 200 + p_size * 10, 300 + p_partkey % 500, 10 + p_partkey % 150, 10 + p_size FROM {part}",
 )
-BAD_OUTLINE = ("(1,0,0),(1,1,1),(1,2,2),(1,3,0),(2,0,1),(2,1,0),(3,0,0),(3,1,2),(3,2,3),(4,0,0),(4,1,0)", "doc_id long, seq int, level int")
-COUNTS = ("(1,8),(2,5),(3,6),(4,9)", "doc_id long, page_count int")
-SIZES = ("(0,612.0,792.0),(1,595.28,841.89),(2,300.0,900.0),(3,1000.0,200.0),(4,842.0,595.0)", "id int, width double, height double")
-BOXES = ("(0,0.0,0.0,612.0,792.0,0),(1,0.0,0.0,612.0,792.0,90),(2,50.0,40.0,550.0,740.0,180),(3,50.0,40.0,550.0,740.0,270)", "id int, x0 double, y0 double, x1 double, y1 double, rot int")
-MARKS = ("(0,612.0,792.0,120.0,40.0),(1,200.0,100.0,300.0,200.0),(2,842.0,595.0,30.0,20.0)", "id int, view_w double, view_h double, mark_w double, mark_h double")
 NAMES = ("(0,0,'a.pdf'),(0,1,'a-2.pdf'),(0,2,'a.pdf'),(1,0,'a'),(1,1,'a'),(1,2,'a-2'),(2,0,'A.txt'),(2,1,'a.txt'),(2,2,'.x'),(2,3,'.x')", "bundle int, pos int, name string")
-TURNS = ("(0,-45.0),(1,-46.0),(2,44.0),(3,45.0),(4,359.0),(5,720.0),(6,-90.0),(7,134.9)", "id int, degrees double")
+TURNS = ("(0,-45.0),(1,-46.0),(2,44.0),(3,45.0),(4,359.0),(5,720.0),(6,-90.0),(7,134.9)", "id int, degrees double",
+    "SELECT 1000 + p_partkey, p_partkey * 37 % 1441 - 720 + 0.5 FROM {part}",
+)
 
 NEEDLE = "the"
 
@@ -40,11 +57,11 @@ def merge_pages(s, d):
 
 
 def select_pages(s, d):
-    return P.select_pages(literal(s, *REFS), _pages(s, d)).select("out_pos", "doc_index", "page_index", "rotate", "l_partkey")
+    return P.select_pages(literal(s, d, *REFS), _pages(s, d)).select("out_pos", "doc_index", "page_index", "rotate", "l_partkey")
 
 
 def missing_pages(s, d):
-    return P.missing_pages(literal(s, *REFS), _pages(s, d)).select("out_pos", "doc_index", "page_index")
+    return P.missing_pages(literal(s, d, *REFS), _pages(s, d)).select("out_pos", "doc_index", "page_index")
 
 
 def delete_pages(s, d):
@@ -59,7 +76,7 @@ def interleave_pages(s, d):
 
 
 def page_ranges(s, d):
-    return P.page_ranges(literal(s, *RANGES))
+    return P.page_ranges(literal(s, d, *RANGES))
 
 
 def split_by_text(s, d):
@@ -90,15 +107,15 @@ def pdf_to_text(s, d):
 
 
 def split_level(s, d):
-    return P.split_level(literal(s, *OUTLINE))
+    return P.split_level(literal(s, d, *OUTLINE))
 
 
 def bookmark_segments(s, d):
-    return P.bookmark_segments(literal(s, *OUTLINE), literal(s, *COUNTS))
+    return P.bookmark_segments(literal(s, d, *OUTLINE), literal(s, d, *COUNTS))
 
 
 def outline_errors(s, d):
-    return P.outline_errors(literal(s, *BAD_OUTLINE)).select("doc_id", "seq", "level")
+    return P.outline_errors(literal(s, d, *BAD_OUTLINE)).select("doc_id", "seq", "level")
 
 
 def bates_numbers(s, d):
@@ -107,13 +124,13 @@ def bates_numbers(s, d):
 
 
 def nup_slots(s, d):
-    pages = literal(s, *SIZES).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("page_index"), "width", "height")
+    pages = literal(s, d, *SIZES).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("page_index"), "width", "height")
     return P.n_up(pages, 4, G.A4)
 
 
 def half_boxes(s, d):
     """Both halves of each page, cut across the longer side of its display, in the page's frame."""
-    boxes = literal(s, *BOXES)
+    boxes = literal(s, d, *BOXES)
     box = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
     w, h = G.display_size(box, F.col("rot"))
     out = boxes.withColumn("w", w).withColumn("h", h).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -128,14 +145,14 @@ def half_boxes(s, d):
 
 
 def resize_plan(s, d):
-    sizes = literal(s, *SIZES)
+    sizes = literal(s, d, *SIZES)
     scale = G.fit(F.col("width"), F.col("height"), F.lit(G.LETTER[0]), F.lit(G.LETTER[1]))
     return sizes.select("id", scale.alias("scale"), ((F.lit(G.LETTER[0]) - F.col("width") * scale) / 2).alias("dx"), ((F.lit(G.LETTER[1]) - F.col("height") * scale) / 2).alias("dy"))
 
 
 def image_placement(s, d):
     """A picture on an A4 page that lies down when the picture does, within a margin of 24."""
-    sizes = literal(s, *SIZES)
+    sizes = literal(s, d, *SIZES)
     flat = F.col("width") > F.col("height")
     pw, ph = F.when(flat, F.lit(G.A4[1])).otherwise(F.lit(G.A4[0])), F.when(flat, F.lit(G.A4[0])).otherwise(F.lit(G.A4[1]))
     scale = G.fit(F.col("width"), F.col("height"), pw - 48, ph - 48)
@@ -143,7 +160,7 @@ def image_placement(s, d):
 
 
 def quarter_turns(s, d):
-    return literal(s, *TURNS).select("id", G.quarter_turns(F.col("degrees")).alias("rotate"))
+    return literal(s, d, *TURNS).select("id", G.quarter_turns(F.col("degrees")).alias("rotate"))
 
 
 def merge_dates(s, d):
@@ -152,11 +169,11 @@ def merge_dates(s, d):
 
 
 def tile_grid(s, d):
-    return P.tile_grid(literal(s, *MARKS))
+    return P.tile_grid(literal(s, d, *MARKS))
 
 
 def dedupe_names(s, d):
-    return P.dedupe_names(literal(s, *NAMES))
+    return P.dedupe_names(literal(s, d, *NAMES))
 
 
 _HALF = "CASE WHEN h > w THEN {tall} ELSE {flat} END"

@@ -9,18 +9,32 @@ from leafspark.operators import rules as R
 from leafspark.plans.layout_queries import PIXELS
 from leafspark.sources.tables import PAGES_SQL, doc_pages, literal, literal_sql, table
 
-FIELDS = ("(0,'name','text',100.0,20.0,10.0),(1,'_bad','text',100.0,20.0,10.0),(2,'ok','text',10.0,20.0,3.0),(3,'box','checkbox',8.0,8.0,99.0),(4,'box','radio',7.0,8.0,10.0)", "id int, name string, kind string, width double, height double, size double")
-COLOURS = ("(0,'#fff'),(1,'#0A80ff'),(2,'red'),(3,'#12345'),(4,'#a1c')", "id int, colour string")
-OBJECTS = ("(1,0,0,false),(1,0,3,false),(1,1,3,false),(1,2,0,true),(1,3,0,false),(1,3,0,true)", "doc_id long, page_index int, render_mode int, image boolean")
-ROLES = ("(0,'heading',14.0,10.0,false),(1,'heading',10.0,10.0,true),(2,'heading',10.0,10.0,false),(3,'caption',9.0,10.0,false),(4,'footer',9.0,10.0,false),(5,'body',10.0,10.0,false),(6,'list-item',10.0,10.0,false)", "id int, role string, size double, body double, bold boolean")
-TRUTH = ("(1,0,0.0,0.0,100.0,10.0),(1,1,0.0,20.0,100.0,30.0),(1,2,0.0,40.0,10.0,50.0),(2,0,0.0,0.0,10.0,10.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double")
-FOUND = ("(1,0,0.0,0.0,60.0,10.0),(1,1,60.0,0.0,100.0,10.0),(1,2,0.0,28.0,100.0,34.0),(2,0,9.0,9.0,20.0,20.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double")
+FIELDS = ("(0,'name','text',100.0,20.0,10.0),(1,'_bad','text',100.0,20.0,10.0),(2,'ok','text',10.0,20.0,3.0),(3,'box','checkbox',8.0,8.0,99.0),(4,'box','radio',7.0,8.0,10.0)", "id int, name string, kind string, width double, height double, size double",
+    "SELECT 1000 + p_partkey, CASE WHEN p_size % 5 = 0 THEN '_' ELSE '' END || p_name, CASE p_partkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'checkbox' ELSE 'radio' END, p_size, p_partkey % 30, p_partkey % 60 FROM {part}",
+)
+COLOURS = ("(0,'#fff'),(1,'#0A80ff'),(2,'red'),(3,'#12345'),(4,'#a1c')", "id int, colour string",
+    "SELECT 1000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN '#' || substr('0123456789abcdef', CAST(1 + p_size % 14 AS INT), 3) WHEN 1 THEN '#' || substr('0123456789ABCDEF', CAST(1 + p_partkey % 10 AS INT), 6) WHEN 2 THEN p_name ELSE '#12345' END FROM {part}",
+)
+OBJECTS = ("(1,0,0,false),(1,0,3,false),(1,1,3,false),(1,2,0,true),(1,3,0,false),(1,3,0,true)", "doc_id long, page_index int, render_mode int, image boolean",
+    "SELECT 1000 + l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 3 ELSE 0 END, l_suppkey % 4 = 0 FROM {lineitem}",
+)
+ROLES = ("(0,'heading',14.0,10.0,false),(1,'heading',10.0,10.0,true),(2,'heading',10.0,10.0,false),(3,'caption',9.0,10.0,false),(4,'footer',9.0,10.0,false),(5,'body',10.0,10.0,false),(6,'list-item',10.0,10.0,false)", "id int, role string, size double, body double, bold boolean",
+    "SELECT 1000 + p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'caption' WHEN 2 THEN 'footnote' WHEN 3 THEN 'header' WHEN 4 THEN 'list-item' WHEN 5 THEN 'table-cell' ELSE 'body' END, 8 + p_size % 10, 10, p_size % 2 = 0 FROM {part}",
+)
+TRUTH = ("(1,0,0.0,0.0,100.0,10.0),(1,1,0.0,20.0,100.0,30.0),(1,2,0.0,40.0,10.0,50.0),(2,0,0.0,0.0,10.0,10.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double",
+    "SELECT 1000 + l_orderkey, l_partkey * 10 + l_linenumber, l_quantity, l_linenumber * 10, l_quantity + 60, l_linenumber * 10 + 10 FROM {lineitem}",
+)
+FOUND = ("(1,0,0.0,0.0,60.0,10.0),(1,1,60.0,0.0,100.0,10.0),(1,2,0.0,28.0,100.0,34.0),(2,0,9.0,9.0,20.0,20.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double",
+    "SELECT 1000 + l_orderkey, l_partkey * 10 + l_linenumber, l_quantity + 5, l_linenumber * 10 + l_partkey % 7, l_quantity + 65, l_linenumber * 10 + 10 + l_partkey % 7 FROM {lineitem}",
+)
 SEGMENTS = ("(0,11,0,5,0.0,30.0),(0,11,6,11,36.0,66.0),(1,3,0,3,10.0,10.0)", "line int, n_chars int, first int, last int, a0 double, a1 double")
 CARETS = ("(0,0,-5.0),(1,0,12.0),(2,0,32.0),(3,0,35.0),(4,0,50.0),(5,0,99.0),(6,1,10.0)", "point int, line int, advance double")
 STEPS = ("(0,0,0.0),(0,1,0.01),(0,2,0.019),(0,3,0.025),(0,4,0.04),(0,5,0.5),(0,6,0.999),(0,7,1.0),(1,0,1.0),(1,1,1.0)", "job int, pos int, ratio double")
 INDENTS = ("(0,0,10.0),(0,1,20.2),(0,2,12.0),(0,3,30.0),(0,4,20.0),(1,0,50.0),(1,1,53.0)", "column_index int, line_no int, indent double")
 NAMES = ("(0,0,'a.b'),(0,1,'a.b'),(0,2,'a.b_2'),(0,3,'a.b'),(1,0,'x')", "doc int, pos int, name string")
-META = ("(0,'  Title  '),(1,''),(2,'a'||chr(7)||'b'),(3,'   ')", "id int, value string")
+META = ("(0,'  Title  '),(1,''),(2,'a'||chr(7)||'b'),(3,'   ')", "id int, value string",
+    "SELECT 1000 + doc_id, '  ' || text FROM {documents}",
+)
 THEME = (18, 18, 24)
 
 
@@ -31,16 +45,16 @@ def job_estimates(s, d):
 
 
 def metadata_fields(s, d):
-    return literal(s, *META).select("id", R.metadata_field(F.col("value")).alias("value"))
+    return literal(s, d, *META).select("id", R.metadata_field(F.col("value")).alias("value"))
 
 
 def field_rules(s, d):
     errors = R.field_errors(*(F.col(c) for c in ("name", "kind", "width", "height", "size")))
-    return literal(s, *FIELDS).select("id", F.array_join(errors, ",").alias("errors"))
+    return literal(s, d, *FIELDS).select("id", F.array_join(errors, ",").alias("errors"))
 
 
 def hex_colours(s, d):
-    return literal(s, *COLOURS).withColumn("c", R.hex_channels(F.col("colour"))).select("id", *(F.col("c")[k].alias(n) for k, n in enumerate("rgb")))
+    return literal(s, d, *COLOURS).withColumn("c", R.hex_channels(F.col("colour"))).select("id", *(F.col("c")[k].alias(n) for k, n in enumerate("rgb")))
 
 
 def ocr_routing(s, d):
@@ -48,17 +62,17 @@ def ocr_routing(s, d):
 
 
 def text_layers(s, d):
-    return R.layer_kind(literal(s, *OBJECTS))
+    return R.layer_kind(literal(s, d, *OBJECTS))
 
 
 def role_certainties(s, d):
-    return literal(s, *ROLES).select("id", R.role_certainty(*(F.col(c) for c in ("role", "size", "body", "bold"))).alias("certainty"))
+    return literal(s, d, *ROLES).select("id", R.role_certainty(*(F.col(c) for c in ("role", "size", "body", "bold"))).alias("certainty"))
 
 
 def theme_pixels(s, d):
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     themed, flipped = R.themed(r, g, b, THEME), R.lightness_flipped(r, g, b)
-    return literal(s, *PIXELS).select("id", *(c.alias(f"theme_{n}") for c, n in zip(themed, "rgb", strict=True)), *(c.alias(f"flip_{n}") for c, n in zip(flipped, "rgb", strict=True)))
+    return literal(s, d, *PIXELS).select("id", *(c.alias(f"theme_{n}") for c, n in zip(themed, "rgb", strict=True)), *(c.alias(f"flip_{n}") for c, n in zip(flipped, "rgb", strict=True)))
 
 
 def skew_angle(s, d):
@@ -70,23 +84,23 @@ def skew_angle(s, d):
 
 
 def match_lines(s, d):
-    return R.match_lines(literal(s, *TRUTH), literal(s, *FOUND))
+    return R.match_lines(literal(s, d, *TRUTH), literal(s, d, *FOUND))
 
 
 def caret_offsets(s, d):
-    return R.caret_offsets(literal(s, *CARETS), literal(s, *SEGMENTS))
+    return R.caret_offsets(literal(s, d, *CARETS), literal(s, d, *SEGMENTS))
 
 
 def progress_shown(s, d):
-    return R.reported(literal(s, *STEPS))
+    return R.reported(literal(s, d, *STEPS))
 
 
 def list_levels(s, d):
-    return R.list_levels(literal(s, *INDENTS), 10.0)
+    return R.list_levels(literal(s, d, *INDENTS), 10.0)
 
 
 def field_renames(s, d):
-    return R.field_renames(literal(s, *NAMES))
+    return R.field_renames(literal(s, d, *NAMES))
 
 
 def usage_totals(s, d):

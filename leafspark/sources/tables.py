@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from string import Formatter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def literal(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    """``rows`` as in VALUES, typed by ``columns`` ("a int, b string")."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    casts = ", ".join(f"CAST({c.split()[0]} AS {c.split(maxsplit=1)[1]}) AS {c.split()[0]}" for c in columns.split(", "))
-    return spark.sql(f"SELECT {casts} FROM (VALUES {rows}) AS t({', '.join(names)})")
+def _selected(rows: str, columns: str, more: str | None, kinds: dict[str, str]) -> str:
+    names, types = zip(*(c.split(maxsplit=1) for c in columns.split(", ")), strict=True)
+    casts = ", ".join(f"CAST({n} AS {kinds.get(t, t)}) AS {n}" for n, t in zip(names, types, strict=True))
+    parts = [f"(VALUES {rows}) AS t({', '.join(names)})", *([f"({more}) AS t({', '.join(names)})"] if more else [])]
+    return " UNION ALL ".join(f"SELECT {casts} FROM {part}" for part in parts)
+
+
+def literal(spark: SparkSession, sf_dir: str, rows: str, columns: str, more: str | None = None) -> DataFrame:
+    """``rows`` as in VALUES, the odd cases, typed by ``columns`` ("a int, b string"), and the rows that ``more``
+    selects of the tables it names in braces."""
+    used = {f[1] for f in Formatter().parse(more or "") if f[1]}
+    rows = rows.replace("{", "{{").replace("}", "}}") if used else rows
+    return spark.sql(_selected(rows, columns, more, {}), **{t: table(spark, sf_dir, t) for t in used})
 
 
-def literal_sql(rows: str, columns: str) -> str:
+def literal_sql(rows: str, columns: str, more: str | None = None) -> str:
     """The same relation for the oracle."""
     kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
-    names = [c.split()[0] for c in columns.split(", ")]
-    casts = ", ".join(f"CAST({c.split()[0]} AS {kinds[c.split(maxsplit=1)[1]]}) AS {c.split()[0]}" for c in columns.split(", "))
-    return f"(SELECT {casts} FROM (VALUES {rows}) AS t({', '.join(names)}))"
+    return "(" + _selected(rows, columns, more and re.sub(r"\{(\w+)\}", r"\1", more), kinds) + ")"
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
