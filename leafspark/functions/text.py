@@ -180,8 +180,19 @@ def list_marker(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, LIST_MARKER, 1), F.lit(""))
 
 
-def failure_code(message: Column) -> Column:
-    return F.nullif(F.regexp_extract(message, r"^\[([a-z0-9_\-]+)\] ", 1), F.lit(""))
+#: The codes that a failed job's message may name.
+FAILURE_CODES = (
+    "validation_failed", "unknown_slug", "missing_field", "quota_exceeded", "upload_too_large", "timeout", "aborted",
+    "unsupported_output", "internal_error", "unknown_job", "result_not_found", "forbidden", "not_cancellable",
+)
+
+
+def failure(message: Column) -> tuple[Column, Column]:
+    """The code and the message of "[code] message"; with no code that is known, internal_error and all of it."""
+    code = F.regexp_extract(message, r"(?s)^\[([a-z_]+)\] (.*)\z", 1)
+    known = code.isin(*FAILURE_CODES)
+    told = F.when(known, F.regexp_extract(message, r"(?s)^\[([a-z_]+)\] (.*)\z", 2)).otherwise(F.coalesce(message, F.lit("Job failed")))
+    return F.when(known, code).otherwise("internal_error"), told
 
 
 def snippet(text: Column, at: Column) -> Column:

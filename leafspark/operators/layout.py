@@ -310,15 +310,17 @@ def column_bounds(lines: DataFrame) -> DataFrame:
 
 def joined_words(parts: Column) -> Column:
     """An array of words to one text: no space at brackets, closing marks, slashes, hyphens or CJK."""
+    words = F.filter(parts, lambda p: p != "")
+    before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
-    def add(text: Column, part: Column) -> Column:
+    def spaced(last: Column, word: Column) -> Column:
         tight = (
-            F.regexp_like(part, F.lit(NO_SPACE_BEFORE)) | F.regexp_like(text, F.lit(NO_SPACE_AFTER))
-            | F.regexp_like(text, F.lit(CJK + r"\z")) | F.regexp_like(part, F.lit("^" + CJK))
+            F.regexp_like(word, F.lit(NO_SPACE_BEFORE)) | F.regexp_like(last, F.lit(NO_SPACE_AFTER))
+            | F.regexp_like(last, F.lit(CJK + r"\z")) | F.regexp_like(word, F.lit("^" + CJK))
         )
-        return F.when(text == "", part).when(tight, F.concat(text, part)).otherwise(F.concat(text, F.lit(" "), part))
+        return F.when((last == "") | tight, word).otherwise(F.concat(F.lit(" "), word))
 
-    return F.aggregate(F.filter(parts, lambda p: p != ""), F.lit(""), add)
+    return F.array_join(F.zip_with(before, words, spaced), "")
 
 
 def separator(a: Column, b: Column) -> Column:

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspark.operators.folds import folded
+
+#: Fixed value: characters of a text to split at.
+NEEDLE = 120
+
 
 def numbered(pages: DataFrame, doc: str, page: str, out: str) -> DataFrame:
     """Pages of all documents in order of document and page, from 0. Within a document a window; across
@@ -85,8 +90,10 @@ def split_by_size(docs: DataFrame, limit: int) -> DataFrame:
 
 def split_by_text(pages: DataFrame, needle: str, case_sensitive: bool = False) -> DataFrame:
     """A new part at every page with the needle; page 0 always begins one. Documents that stay whole
-    don't appear."""
-    needle = needle.strip()[:120]
+    don't appear. A needle that is blank or has more than 120 characters raises ValueError."""
+    needle = needle.strip()
+    if not 0 < len(needle) <= NEEDLE:
+        raise ValueError(f"the text to split at needs 1 to {NEEDLE} characters")
     text = F.col("text") if case_sensitive else F.lower("text")
     hit = F.contains(text, F.lit(needle if case_sensitive else needle.lower())) & (F.col("page_index") > 0)
     part = F.sum(hit.cast("int")).over(Window.partitionBy("doc_id").orderBy("page_index"))
@@ -156,24 +163,21 @@ def tile_grid(marks: DataFrame, gap: float = 1.35, least: tuple[float, float] =
     )
 
 
+def _named(given: set | None, name: str):
+    given, entry, k = given or set(), name, 2
+    dot = name.rfind(".")
+    stem, extension = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+    while entry in given:
+        entry, k = f"{stem}-{k}{extension}", k + 1
+    given.add(entry)
+    return given, (entry,)
+
+
 def dedupe_names(names: DataFrame) -> DataFrame:
     """``names(bundle, pos, name)`` with ``entry``: a name met before gets -2, -3 … before its extension,
-    skipping those already given. A bundle is one archive, of at most a hundred files."""
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, given, out = rows.sort_values("pos"), set(), []
-        for name in rows["name"]:
-            stem, dot, extension = name.rpartition(".")
-            stem, extension = (stem, dot + extension) if stem else (name, "")
-            entry, k = name, 2
-            while entry.lower() in given:
-                entry, k = f"{stem}-{k}{extension}", k + 1
-            given.add(entry.lower())
-            out.append(entry)
-        return rows.assign(entry=out)
-
-    return names.groupBy("bundle").applyInPandas(one, "bundle int, pos int, name string, entry string")
+    skipping those already given. Names are compared as they are. A bundle is one archive, of at most a
+    hundred files, whose names are the fold's state."""
+    return folded(names.select("bundle", "pos", "name"), ["bundle"], ["pos"], ["name"], "entry string", _named)
 
 
 def extract_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:

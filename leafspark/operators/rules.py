@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions.geometry import overlap, rounded
+from leafspark.operators.folds import folded
 
 #: Limits of jobs (bytes, pages, milliseconds) and of form fields (points).
 FILE_BYTES, TOTAL_BYTES, PAGES = 100 * 1024 * 1024, 250 * 1024 * 1024, 500
@@ -129,17 +130,16 @@ def caret_offsets(points: DataFrame, segments: DataFrame) -> DataFrame:
     return near.select("point", F.when(F.col("advance") <= F.col("lo"), 0).when(F.col("advance") >= F.col("hi"), F.col("chars")).otherwise(inside).cast("int").alias("offset"))
 
 
-def reported(steps: DataFrame) -> DataFrame:
-    """``steps(job, pos, ratio)`` to the progress that is shown: not within 0.02 of the last one shown, unless
-    done. A fold, since each is compared with what was shown and not with the step before."""
-    gathered = steps.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("pos", "ratio"))).alias("steps"))
-    start = F.expr("named_struct('last', -1.0D, 'out', CAST(array() AS array<struct<pos:int,ratio:double>>))")
+def _shown(last: float | None, ratio: float):
+    if last is not None and last >= 0 and abs(ratio - last) < 0.02 and ratio < 1:
+        return last, (False,)
+    return ratio, (True,)
 
-    def step(s: Column, x: Column) -> Column:
-        skip = (s["last"] >= 0) & (F.abs(x["ratio"] - s["last"]) < 0.02) & (x["ratio"] < 1)
-        return F.when(skip, s).otherwise(F.struct(x["ratio"].alias("last"), F.concat(s["out"], F.array(x)).alias("out")))
 
-    return gathered.select("job", F.inline(F.aggregate("steps", start, step, lambda s: s["out"])))
+def reported(steps: DataFrame) -> DataFrame:
+    """``steps(job, pos, ratio)`` to the progress that is shown: not within 0.02 of the last one shown, unless
+    done. Each is compared with what was shown and not with the step before."""
+    return folded(steps.select("job", "pos", "ratio"), ["job"], ["pos"], ["ratio"], "shown boolean", _shown).filter("shown").drop("shown")
 
 
 def list_levels(lines: DataFrame, body: float) -> DataFrame:
@@ -153,19 +153,15 @@ def list_levels(lines: DataFrame, body: float) -> DataFrame:
     return lines.join(indents.withColumn("centres", centres), "column_index").select("column_index", "line_no", F.least(F.greatest(level, F.lit(1)), F.lit(6)).alias("level"))
 
 
+def _renamed(used: set | None, name: str):
+    used, new, k = used or set(), name, 2
+    while new in used:
+        new, k = f"{name}_{k}", k + 1
+    used.add(new)
+    return used, (new,)
+
+
 def field_renames(fields: DataFrame) -> DataFrame:
-    """``fields(doc, pos, name)``: a dotted name met before gets _2, _3 … A document's fields are one group,
-    500 at most."""
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, out = rows.sort_values("pos"), set(), []
-        for name in rows["name"]:
-            new, k = name, 2
-            while new in used:
-                new, k = f"{name}_{k}", k + 1
-            used.add(new)
-            out.append(new)
-        return rows.assign(renamed=out)
-
-    return fields.groupBy("doc").applyInPandas(one, "doc int, pos int, name string, renamed string")
+    """``fields(doc, pos, name)``: a dotted name met before gets _2, _3 … A document's fields, 500 at most, are
+    the fold's state."""
+    return folded(fields.select("doc", "pos", "name"), ["doc"], ["pos"], ["name"], "renamed string", _renamed)

@@ -17,6 +17,11 @@ RUNS = (
     "(1,2,'Running head',9.0,72.0,20.0,false),(1,2,'Bold line',10.0,72.0,60.0,true),(1,2,'body c',10.0,72.0,90.0,false),(1,3,'Running head',9.0,72.0,20.0,false),(1,3,'body d',10.0,72.0,90.0,false),(2,0,'only body',10.0,72.0,70.0,false),(2,0,'more body',10.0,72.0,90.0,false),(2,2,'third',10.2,72.0,70.0,false)",
     "doc_id long, page_index int, text string, font_size double, x double, y double, bold boolean",
 )
+SIZED_RUNS = (
+    RUNS[0],
+    RUNS[1],
+    "SELECT 1000 + l_orderkey, l_linenumber, 'run ' || CAST(l_partkey AS STRING), 8 + l_suppkey % 5 * 0.5, 72, l_linenumber, false FROM {lineitem}",
+)
 RUN_PAGES = ("(1,0),(1,1),(1,2),(1,3),(2,0),(2,1),(2,2)", "doc_id long, page_index int")
 PARAGRAPHS = (
     "(1,0,0,'body','Report 2024',9.0,'A',10.0,12.0,792.0,10.0),(1,0,1,'body','A sentence that runs on',10.0,'A',300.0,12.0,792.0,10.0),(1,0,2,'body','- 1 -',9.0,'A',770.0,12.0,792.0,10.0),(1,1,0,'body','Report 2025',9.0,'A',10.0,12.0,792.0,10.0),(1,1,1,'body','into the next page.',10.5,'A',300.0,12.0,792.0,10.0),(1,1,2,'body','- 2 -',9.0,'A',770.0,12.0,792.0,10.0),"
@@ -27,6 +32,7 @@ PARAGRAPHS = (
 BLOCKS = (
     "(1,0,1,'header',-1,10.0,10.0),(1,0,2,'body',0,50.0,100.0),(1,0,3,'body',1,300.0,90.0),(1,0,4,'body',-1,50.0,200.0),(1,0,5,'body',0,50.0,300.0),(1,0,6,'body',1,300.0,250.0),(1,0,7,'footer',0,50.0,700.0),(1,0,8,'body',-1,50.0,400.0),(1,0,9,'body',0,50.0,500.0),(1,1,1,'body',0,5.0,5.0),(1,1,2,'body',0,5.0,4.0)",
     "doc_id long, page_index int, block_id int, kind string, column_index int, x double, y double",
+    "SELECT 1000 + o_custkey, 0, o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'header' WHEN 1 THEN 'footer' ELSE 'body' END, o_orderkey % 4 - 1, o_orderkey % 300, o_orderkey * 7 % 700 FROM {orders}",
 )
 RECTS = ("(1,0,0.0,0.0,100.0,100.0),(1,1,50.0,50.0,150.0,150.0),(1,2,100.0,0.0,200.0,50.0),(1,3,60.0,60.0,70.0,70.0),(1,4,300.0,300.0,301.0,301.0),(2,0,0.0,0.0,10.0,10.0),(2,1,5.0,5.0,300.0,300.0)", "page int, id int, x0 double, y0 double, x1 double, y1 double",
     "SELECT 1000 + o_custkey, o_orderkey, o_orderkey % 300, o_orderkey % 70, o_orderkey % 300 + 40, o_orderkey % 70 + 30 FROM {orders}",
@@ -82,7 +88,11 @@ ROLE_LINES = (
     "id int, text string, font_size double, bold boolean, y double",
 )
 ROLE_RESULT = ("(0,'footer'),(1,'footnote'),(2,'header'),(3,'footer'),(4,'heading'),(5,'heading'),(6,'heading'),(7,'list-item'),(8,'caption'),(9,'caption'),(10,'body'),(11,'unknown'),(12,'body')", "id int, role string")
-WORD_LISTS = ("(0,'Hello|,|world'),(1,'(|a|)|b'),(2,'中|文|x'),(3,'and|/|or'),(4,'one||two'),(5,'“|quoted|”|.')", "id int, words string")
+WORD_LISTS = ("(0,'Hello|,|world'),(1,'(|a|)|b'),(2,'中|文|x'),(3,'and|/|or'),(4,'one||two'),(5,'“|quoted|”|.')", "id int, words string",
+    "SELECT 1000 + doc_id, replace(text, ' ', '|') FROM {documents}",
+)
+#: Whether two words of a line stand without a blank between them.
+TIGHT_SQL = """regexp_matches({b}, '^[.,;:!?)\\]}}%''"”’]') OR regexp_matches({a}, '[(\\[{{''"“‘/\\-]$') OR regexp_matches({a}, '[\\x{{2e80}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ac00}}-\\x{{d7af}}]$') OR regexp_matches({b}, '^[\\x{{2e80}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ac00}}-\\x{{d7af}}]')"""
 PER_MINUTE, PER_DAY, BYTES_PER_DAY = 6, 150, 2000.0
 
 
@@ -91,7 +101,7 @@ def _box(prefix=""):
 
 
 def body_size_mode(s, d):
-    return L.modal_size(L.cleaned_runs(literal(s, d, *RUNS))).select("doc_id", "body_size")
+    return L.modal_size(L.cleaned_runs(literal(s, d, *SIZED_RUNS))).select("doc_id", "body_size")
 
 
 def suggested_bookmarks(s, d):
@@ -273,7 +283,7 @@ _SIZE = "strlen(text) + 2 * len(list_filter(string_split(text, ''), lambda c: st
 _SIZED = f"z AS (SELECT conv_id, turn, role, ({_SIZE})::BIGINT AS size FROM conversations)"
 _P = f"p AS (SELECT * FROM {literal_sql(*PARAGRAPHS)})"
 SQL = {
-    "body_size_mode": f"WITH c AS (SELECT doc_id, floor(font_size * 2 + 0.5) / 2 AS body_size, count(*) AS n FROM {literal_sql(*RUNS)} WHERE length(text) BETWEEN 2 AND 120 GROUP BY 1, 2) SELECT doc_id, body_size FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, body_size) = 1",
+    "body_size_mode": f"WITH c AS (SELECT doc_id, floor(font_size * 2 + 0.5) / 2 AS body_size, count(*) AS n FROM {literal_sql(*SIZED_RUNS)} WHERE length(text) BETWEEN 2 AND 120 GROUP BY 1, 2) SELECT doc_id, body_size FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, body_size) = 1",
     # By hand: the large title, the bold line once, and first lines where a document has no heading.
     "suggested_bookmarks": "SELECT doc_id::BIGINT AS doc_id, page_index::INT AS page_index, title FROM (VALUES (1,0,'Intro'),(1,1,'Bold line'),(2,0,'only body'),(2,1,'Page 2'),(2,2,'third')) AS t(doc_id, page_index, title)",
     "first_line_bookmarks": f"""WITH {RUNS_SQL}, r AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM doc_runs), c AS (SELECT *, lower(t) AS k FROM r WHERE length(t) BETWEEN 2 AND 120),
@@ -289,7 +299,9 @@ SELECT doc_id, page_index, para_id, band, key FROM f JOIN k USING (doc_id, band,
 SELECT l.doc_id, l.page_index, l.para_id AS from_para, f.para_id AS to_para, CASE WHEN regexp_matches(f.text, '^[a-z]') THEN 0.92::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM l JOIN f ON l.doc_id = f.doc_id AND f.page_index = l.page_index + 1
 WHERE NOT regexp_matches(l.text, '[.!?:;]["''”’)\\]]?$') AND regexp_matches(f.text, '^([,;:)\\]}}”’]|[a-z])') AND l.font_family = f.font_family AND f.font_size / l.font_size BETWEEN 0.9 AND 1.1""",
     # By hand: blocks above a spanning one come before it, by column.
-    "reading_order": "SELECT doc_id::BIGINT AS doc_id, page_index::INT AS page_index, block_id::INT AS block_id, place::INT AS place FROM (VALUES (1,0,1,1),(1,0,2,2),(1,0,3,3),(1,0,4,4),(1,0,5,5),(1,0,6,6),(1,0,8,7),(1,0,9,8),(1,0,7,9),(1,1,2,1),(1,1,1,2)) AS t(doc_id, page_index, block_id, place)",
+    "reading_order": f"""WITH b AS (SELECT *, CASE kind WHEN 'header' THEN 0 WHEN 'footer' THEN 2 ELSE 1 END AS band FROM {literal_sql(*BLOCKS)}),
+t AS (SELECT b.*, (SELECT count(*) FROM b s WHERE s.doc_id = b.doc_id AND s.page_index = b.page_index AND s.band = 1 AND s.column_index < 0 AND CASE WHEN b.column_index >= 0 THEN s.y - 1 <= b.y ELSE s.y < b.y END) AS step FROM b)
+SELECT doc_id, page_index, block_id, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY band, CASE WHEN band = 1 THEN step ELSE 0 END, CASE WHEN band = 1 AND column_index >= 0 THEN 0 ELSE 1 END, column_index, y, x, block_id)::INT AS place FROM t""",
     "weighted_median": """WITH w AS (SELECT l_orderkey, l_quantity, sum(greatest(l_linenumber, 0.01::DOUBLE)) AS w FROM lineitem GROUP BY 1, 2),
 u AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey ORDER BY l_quantity ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY l_orderkey) / 2 AS half FROM w)
 SELECT l_orderkey, min(l_quantity) AS median FROM u WHERE upto >= half GROUP BY l_orderkey""",
@@ -309,7 +321,7 @@ SELECT para_id, CASE WHEN c >= greatest(1, n * 0.6) THEN 'center' WHEN r >= grea
     "wrapped_text": "SELECT item_id AS id, true AS fits, length(regexp_replace(text, '\\s', '', 'g')) AS chars FROM benchmark",
     "line_roles": f"SELECT * FROM {literal_sql(*ROLE_RESULT)}",
     "column_bounds": f"WITH {RUNS_SQL} SELECT doc_id, page_index, run_no % 2 AS column_index, min(x) AS left_, max(x + width) AS right_, quantile_cont(x + width, 0.5) AS typical_end FROM doc_runs GROUP BY 1, 2, 3",
-    "joined_words": "SELECT id::INT AS id, text FROM (VALUES (0,'Hello, world'),(1,'(a) b'),(2,'中文x'),(3,'and /or'),(4,'one two'),(5,'“quoted”.')) AS t(id, text)",
+    "joined_words": f"""SELECT id, list_reduce(list_prepend('', list_filter(string_split(words, '|'), lambda w: w <> '')), lambda a, b: CASE WHEN a = '' THEN b ELSE a || CASE WHEN {TIGHT_SQL.format(a="a", b="b")} THEN '' ELSE ' ' END || b END) AS text FROM {literal_sql(*WORD_LISTS)}""",
     "role_counts": f"SELECT role, count(*) AS n FROM {literal_sql(*PARAGRAPHS)} GROUP BY role",
     "confidence_bands": "SELECT event_id, CASE WHEN event_id % 100 / 100 >= 0.85 THEN 'high' WHEN event_id % 100 / 100 >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM events",
     "box_overlap": f"WITH r AS (SELECT * FROM {literal_sql(*RECTS)}) SELECT a.page, a.id, b.id AS other, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared FROM r a JOIN r b ON a.page = b.page AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1",

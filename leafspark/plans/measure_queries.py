@@ -21,7 +21,9 @@ ANGLES = ("(0,0.0),(1,2.4),(2,-3.0),(3,357.6),(4,92.5),(5,-90.0),(6,45.0),(7,45.
 LINE_PAIRS = ("(0,'a hyphen- ',' ated'),(1,'plain','text'),(2,'中','text'),(3,'text','文'),(4,'  ','x'),(5,'x','')", "id int, a string, b string",
     "SELECT 1000 + p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '- ' ELSE ' ' END, ' ' || p_brand FROM {part}",
 )
-FAILURES = ("(0,'[too-large] The file is too large'),(1,'no code'),(2,'[x_1] y'),(3,'[UP] y')", "id int, message string")
+FAILURES = ("(0,'[too-large] The file is too large'),(1,'no code'),(2,'[x_1] y'),(3,'[UP] y')", "id int, message string",
+    "SELECT 1000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN '[timeout] ' WHEN 1 THEN '[quota_exceeded] ' WHEN 2 THEN '[other] ' ELSE '' END || p_name FROM {part}",
+)
 HEADS = ("(0,'255044462D312E37'),(1,'FFD8FFE0'),(2,'89504E470D0A1A0A00'),(3,'00112233'),(4,'')", "id int, head string",
     "SELECT 1000 + doc_id, hex(substr(text, 1, 8)) FROM {documents}",
 )
@@ -65,7 +67,8 @@ def page_file_names(s, d):
 
 
 def failure_codes(s, d):
-    return literal(s, d, *FAILURES).select("id", T.failure_code(F.col("message")).alias("code"))
+    code, message = T.failure(F.col("message"))
+    return literal(s, d, *FAILURES).select("id", code.alias("code"), message.alias("message"))
 
 
 def file_kinds(s, d):
@@ -83,7 +86,8 @@ SELECT id, CASE WHEN ok THEN greatest(cx0, mx0) ELSE mx0 END AS x0, CASE WHEN ok
     "weighted_body_sizes": f"""WITH {RUNS_SQL}, w AS (SELECT doc_id, page_index, 10.0::DOUBLE + run_no % 2 AS body_size, sum(length(text) * (10.0::DOUBLE + run_no % 2)) AS w, min(run_no) AS f FROM doc_runs GROUP BY 1, 2, 3)
 SELECT doc_id, page_index, CASE WHEN w > 0 THEN body_size ELSE 10 END AS body_size FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY w DESC, f) = 1""",
     "page_file_names": "SELECT l_orderkey, l_linenumber, 'order-' || l_orderkey || '-' || lpad(l_linenumber::VARCHAR, greatest(length(l_quantity::BIGINT::VARCHAR), length(l_linenumber::VARCHAR))::INT, '0') || '.png' AS name FROM lineitem",
-    "failure_codes": f"SELECT id, nullif(regexp_extract(message, '^\\[([a-z0-9_-]+)\\] ', 1), '') AS code FROM {literal_sql(*FAILURES)}",
+    "failure_codes": f"""WITH f AS (SELECT id, message, regexp_extract(message, '^\\[([a-z_]+)\\] ', 1) AS code FROM {literal_sql(*FAILURES)}), k AS (SELECT *, list_contains({list(T.FAILURE_CODES)}, code) AS known FROM f)
+SELECT id, CASE WHEN known THEN code ELSE 'internal_error' END AS code, CASE WHEN known THEN substr(message, length(code) + 4) ELSE message END AS message FROM k""",
     "file_kinds": f"SELECT id, CASE WHEN head LIKE '255044462D%' THEN 'pdf' WHEN head LIKE 'FFD8FF%' THEN 'jpg' WHEN head LIKE '89504E470D0A1A0A%' THEN 'png' END AS kind FROM {literal_sql(*HEADS)}",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -36,7 +36,9 @@ BOXES = ("(0,0.0,0.0,612.0,792.0,0),(1,0.0,0.0,612.0,792.0,90),(2,50.0,40.0,550.
 MARKS = ("(0,612.0,792.0,120.0,40.0),(1,200.0,100.0,300.0,200.0),(2,842.0,595.0,30.0,20.0)", "id int, view_w double, view_h double, mark_w double, mark_h double",
     "SELECT 1000 + p_partkey, 200 + p_size * 10, 300 + p_partkey % 500, 10 + p_partkey % 150, 10 + p_size FROM {part}",
 )
-NAMES = ("(0,0,'a.pdf'),(0,1,'a-2.pdf'),(0,2,'a.pdf'),(1,0,'a'),(1,1,'a'),(1,2,'a-2'),(2,0,'A.txt'),(2,1,'a.txt'),(2,2,'.x'),(2,3,'.x')", "bundle int, pos int, name string")
+NAMES = ("(0,0,'a.pdf'),(0,1,'a-2.pdf'),(0,2,'a.pdf'),(1,0,'a'),(1,1,'a'),(1,2,'a-2'),(2,0,'A.txt'),(2,1,'a.txt'),(2,2,'.x'),(2,3,'.x')", "bundle int, pos int, name string",
+    "SELECT 1000 + floor(p_partkey / 40.0), p_partkey, p_brand || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '.txt' ELSE '-2.txt' END FROM {part}",
+)
 TURNS = ("(0,-45.0),(1,-46.0),(2,44.0),(3,45.0),(4,359.0),(5,720.0),(6,-90.0),(7,134.9)", "id int, degrees double",
     "SELECT 1000 + p_partkey, p_partkey * 37 % 1441 - 720 + 0.5 FROM {part}",
 )
@@ -225,7 +227,14 @@ SELECT id, page_w, page_h, width * s AS w, height * s AS h, (page_w - width * s)
     "tile_grid": f"""WITH g AS (SELECT *, greatest(ceil(view_w / greatest(mark_w * 1.35::DOUBLE, 96)), 1)::INT AS nx, greatest(ceil(view_h / greatest(mark_h * 1.35::DOUBLE, 72)), 1)::INT AS ny FROM {literal_sql(*MARKS)}),
 h AS (SELECT *, unnest(range(nx))::INT AS "column" FROM g), i AS (SELECT *, unnest(range(ny))::INT AS "row" FROM h)
 SELECT id, "column", "row", view_w * ("column" + 0.5::DOUBLE) / nx AS cx, view_h * ("row" + 0.5::DOUBLE) / ny AS cy FROM i""",
-    # A fold can't be put in plain SQL; these are its results by hand.
-    "dedupe_names": "SELECT bundle::INT AS bundle, pos::INT AS pos, name, entry FROM (VALUES (0,0,'a.pdf','a.pdf'),(0,1,'a-2.pdf','a-2.pdf'),(0,2,'a.pdf','a-3.pdf'),(1,0,'a','a'),(1,1,'a','a-2'),(1,2,'a-2','a-2-2'),(2,0,'A.txt','A.txt'),(2,1,'a.txt','a-2.txt'),(2,2,'.x','.x'),(2,3,'.x','.x-2')) AS t(bundle, pos, name, entry)",
+    "dedupe_names": f"""WITH RECURSIVE n AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY pos) AS i, CASE WHEN strpos(reverse(name), '.') BETWEEN 1 AND length(name) - 1 THEN length(name) - strpos(reverse(name), '.') ELSE length(name) END AS stem FROM {literal_sql(*NAMES)}),
+s AS (
+  SELECT bundle, pos, name, i, name AS entry, [name] AS given FROM n WHERE i = 1
+  UNION ALL SELECT bundle, pos, name, i, entry, list_append(given, entry) FROM (
+    SELECT n.bundle, n.pos, n.name, n.i, s.given, CASE WHEN NOT list_contains(s.given, n.name) THEN n.name ELSE
+      list_filter(list_transform(range(2, len(s.given) + 3), lambda k: left(n.name, n.stem) || '-' || k || substr(n.name, n.stem + 1)), lambda c: NOT list_contains(s.given, c))[1] END AS entry
+    FROM s JOIN n ON n.bundle = s.bundle AND n.i = s.i + 1))
+SELECT bundle, pos, name, entry FROM s""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

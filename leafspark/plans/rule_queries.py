@@ -28,10 +28,18 @@ FOUND = ("(1,0,0.0,0.0,60.0,10.0),(1,1,60.0,0.0,100.0,10.0),(1,2,0.0,28.0,100.0,
     "SELECT 1000 + l_orderkey, l_partkey * 10 + l_linenumber, l_quantity + 5, l_linenumber * 10 + l_partkey % 7, l_quantity + 65, l_linenumber * 10 + 10 + l_partkey % 7 FROM {lineitem}",
 )
 SEGMENTS = ("(0,11,0,5,0.0,30.0),(0,11,6,11,36.0,66.0),(1,3,0,3,10.0,10.0)", "line int, n_chars int, first int, last int, a0 double, a1 double")
-CARETS = ("(0,0,-5.0),(1,0,12.0),(2,0,32.0),(3,0,35.0),(4,0,50.0),(5,0,99.0),(6,1,10.0)", "point int, line int, advance double")
-STEPS = ("(0,0,0.0),(0,1,0.01),(0,2,0.019),(0,3,0.025),(0,4,0.04),(0,5,0.5),(0,6,0.999),(0,7,1.0),(1,0,1.0),(1,1,1.0)", "job int, pos int, ratio double")
-INDENTS = ("(0,0,10.0),(0,1,20.2),(0,2,12.0),(0,3,30.0),(0,4,20.0),(1,0,50.0),(1,1,53.0)", "column_index int, line_no int, indent double")
-NAMES = ("(0,0,'a.b'),(0,1,'a.b'),(0,2,'a.b_2'),(0,3,'a.b'),(1,0,'x')", "doc int, pos int, name string")
+CARETS = ("(0,0,-5.0),(1,0,12.0),(2,0,32.0),(3,0,35.0),(4,0,50.0),(5,0,99.0),(6,1,10.0)", "point int, line int, advance double",
+    "SELECT 1000 + p_partkey, p_partkey % 2, p_partkey % 110 FROM {part}",
+)
+STEPS = ("(0,0,0.0),(0,1,0.01),(0,2,0.019),(0,3,0.025),(0,4,0.04),(0,5,0.5),(0,6,0.999),(0,7,1.0),(1,0,1.0),(1,1,1.0)", "job int, pos int, ratio double",
+    "SELECT 1000 + o_custkey, o_orderkey, (o_orderkey % 101) / 100.0 FROM {orders}",
+)
+INDENTS = ("(0,0,10.0),(0,1,20.2),(0,2,12.0),(0,3,30.0),(0,4,20.0),(1,0,50.0),(1,1,53.0)", "column_index int, line_no int, indent double",
+    "SELECT 1000 + o_custkey, o_orderkey, o_orderkey % 60 * 0.75 FROM {orders}",
+)
+NAMES = ("(0,0,'a.b'),(0,1,'a.b'),(0,2,'a.b_2'),(0,3,'a.b'),(1,0,'x')", "doc int, pos int, name string",
+    "SELECT 1000 + floor(p_partkey / 40.0), p_partkey, p_brand || '.' || CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a_2' ELSE 'b' END FROM {part}",
+)
 META = ("(0,'  Title  '),(1,''),(2,'a'||chr(7)||'b'),(3,'   ')", "id int, value string",
     "SELECT 1000 + doc_id, '  ' || text FROM {documents}",
 )
@@ -132,11 +140,25 @@ SELECT id, floor(18 + 237 * f + 0.5)::INT AS theme_r, floor(18 + 237 * f + 0.5):
     "match_lines": f"""WITH j AS (SELECT t.page, t.id, f.id AS fid, greatest(1, (t.x1 - t.x0) * (t.y1 - t.y0)) AS area, greatest(least(t.x1, f.x1) - greatest(t.x0, f.x0), 0) * greatest(least(t.y1, f.y1) - greatest(t.y0, f.y0), 0) AS shared FROM {literal_sql(*TRUTH)} t JOIN {literal_sql(*FOUND)} f USING (page)),
 s AS (SELECT page, id, first(fid ORDER BY shared DESC, fid) AS best, max(shared) / max(area) AS part, least(1.0::DOUBLE, sum(shared) / max(area)) AS covered FROM j WHERE shared > 0 GROUP BY 1, 2)
 SELECT page, id, CASE WHEN part >= 0.25 THEN best END AS best, covered FROM s""",
-    # By hand.
-    "caret_offsets": "SELECT point::INT AS point, o::INT AS \"offset\" FROM (VALUES (0,0),(1,2),(2,5),(3,6),(4,8),(5,11),(6,0)) AS t(point, o)",
-    "progress_shown": "SELECT job::INT AS job, pos::INT AS pos, ratio::DOUBLE AS ratio FROM (VALUES (0,0,0.0),(0,3,0.025),(0,5,0.5),(0,6,0.999),(0,7,1.0),(1,0,1.0),(1,1,1.0)) AS t(job, pos, ratio)",
-    "list_levels": "SELECT c::INT AS column_index, n::INT AS line_no, l::INT AS level FROM (VALUES (0,0,1),(0,1,2),(0,2,1),(0,3,3),(0,4,2),(1,0,1),(1,1,1)) AS t(c, n, l)",
-    "field_renames": "SELECT doc::INT AS doc, pos::INT AS pos, name, renamed FROM (VALUES (0,0,'a.b','a.b'),(0,1,'a.b','a.b_2'),(0,2,'a.b_2','a.b_2_2'),(0,3,'a.b','a.b_3'),(1,0,'x','x')) AS t(doc, pos, name, renamed)",
+    "caret_offsets": f"""WITH p AS (SELECT * FROM {literal_sql(*CARETS)}), s AS (SELECT *, min(a0) OVER (PARTITION BY line) AS lo, max(a1) OVER (PARTITION BY line) AS hi FROM {literal_sql(*SEGMENTS)}),
+n AS (SELECT p.*, s.* EXCLUDE (line), row_number() OVER (PARTITION BY point ORDER BY greatest(a0 - advance, advance - a1, 0), a0) AS k FROM p JOIN s USING (line))
+SELECT point, (CASE WHEN advance <= lo THEN 0 WHEN advance >= hi THEN n_chars ELSE "first" + floor(CASE WHEN a1 > a0 THEN least(greatest((advance - a0) / (a1 - a0), 0), 1) ELSE 0 END * ("last" - "first") + 0.5) END)::INT AS "offset" FROM n WHERE k = 1""",
+    "progress_shown": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job ORDER BY pos) AS i FROM {literal_sql(*STEPS)}),
+r AS (
+  SELECT job, pos, ratio, i, ratio AS last_, true AS shown FROM o WHERE i = 1
+  UNION ALL SELECT job, pos, ratio, i, CASE WHEN skip THEN last_ ELSE ratio END, NOT skip FROM (
+    SELECT o.*, r.last_, abs(o.ratio - r.last_) < 0.02 AND o.ratio < 1 AS skip FROM r JOIN o ON o.job = r.job AND o.i = r.i + 1))
+SELECT job, pos, ratio FROM r WHERE shown""",
+    "list_levels": f"""WITH i AS (SELECT * FROM {literal_sql(*INDENTS)}), t AS (SELECT column_index, list_sort(list_distinct(list(floor(indent * 2 + 0.5) / 2))) AS stops FROM i GROUP BY 1),
+c AS (SELECT column_index, list_reduce(list_transform(stops, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] > 6 THEN list_concat(a, x) ELSE a END) AS c FROM t)
+SELECT column_index, line_no, least(greatest(len(list_filter(c, lambda x: indent + 1 >= x)), 1), 6)::INT AS level FROM i JOIN c USING (column_index)""",
+    "field_renames": f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM {literal_sql(*NAMES)}),
+s AS (
+  SELECT doc, pos, name, i, name AS renamed, [name] AS used FROM n WHERE i = 1
+  UNION ALL SELECT doc, pos, name, i, renamed, list_append(used, renamed) FROM (
+    SELECT n.*, s.used, CASE WHEN NOT list_contains(s.used, n.name) THEN n.name ELSE list_filter(list_transform(range(2, len(s.used) + 3), lambda k: n.name || '_' || k), lambda c: NOT list_contains(s.used, c))[1] END AS renamed
+    FROM s JOIN n ON n.doc = s.doc AND n.i = s.i + 1))
+SELECT doc, pos, name, renamed FROM s""",
     "usage_totals": "SELECT conv_id, role, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, count(text) AS turns FROM conversations GROUP BY 1, 2",
 }
 QUERIES = {name: globals()[name] for name in SQL}

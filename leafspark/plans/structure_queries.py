@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafspark.operators import page_blocks as B
 from leafspark.operators import page_rows as R
 from leafspark.operators import scores
+from leafspark.plans.layout_queries import TIGHT_SQL
 from leafspark.sources.staging import staged
 from leafspark.sources.tables import table
 from leafspark.sources.typeset import HEIGHT, MARKS_SQL, PARAGRAPH, set_marks
@@ -207,7 +208,7 @@ table_cells AS (
          (cell + max(len(list_filter(e, lambda x: (a0 + a1) / 2 >= x)) - cell) OVER (PARTITION BY {_LANE}, tab, row ORDER BY cell))::INT AS place
   FROM table_parts JOIN table_edges USING ({_LANE}, tab))"""
 
-_TIGHT = """regexp_matches({b}, '^[.,;:!?)\\]}}%''"”’]') OR regexp_matches({a}, '[(\\[{{''"“‘/\\-]$') OR regexp_matches({a}, '[\\x{{2e80}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ac00}}-\\x{{d7af}}]$') OR regexp_matches({b}, '^[\\x{{2e80}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ac00}}-\\x{{d7af}}]')"""
+_TIGHT = TIGHT_SQL
 _CJK = "[\\x{2e80}-\\x{9fff}\\x{f900}-\\x{faff}\\x{ac00}-\\x{d7af}]"
 
 _LINES = f"""{_TABLES},
