@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import geometry as G
 from leafspark.operators import boxes as B
+from leafspark.operators import budget
 from leafspark.operators import conversations as V
 from leafspark.operators import layout as L
 from leafspark.operators import quota as Q
@@ -73,6 +74,7 @@ CLIPS = ("(0,0.0,0.0,612.0,792.0,10.0,10.0,700.0,900.0),(1,0.0,0.0,612.0,792.0,-
 RECIPES = (
     "(1,0,'a','merge','source',''),(1,1,'b','stamp','step','a'),(2,0,'a','merge','step','b'),(2,1,'b','stamp','source',''),(3,0,'a','inspect','source',''),(3,1,'b','stamp','step','a'),(4,0,'a','merge','source',''),(4,1,'a','stamp','source',''),(5,0,'a','nope','source',''),(5,1,'b','stamp','step','zz'),(6,0,'a','merge','step','a'),(7,0,'a','merge','else','')",
     "recipe_id int, pos int, step_id string, tool string, input_kind string, input_ref string",
+    "SELECT 1000 + o_custkey, o_orderkey, 's' || CAST(o_orderkey % 5 AS STRING), CASE o_orderkey % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'stamp' WHEN 2 THEN 'inspect' ELSE 'nup' END, CASE o_orderkey % 3 WHEN 0 THEN 'source' ELSE 'step' END, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE 's' || CAST(o_orderkey * 3 % 5 AS STRING) END FROM {orders}",
 )
 QUOTA_EVENTS = (
     "(1,1,0.0,10.0),(1,2,10.0,10.0),(1,3,20.0,10.0),(1,4,59.0,10.0),(1,5,60.0,10.0),(1,6,61.0,60.0),(1,7,200.0,40.0),(1,8,300.0,1.0),(1,9,400.0,1.0),(1,10,86400.0,5.0),(2,11,5.0,101.0),(2,12,6.0,99.0),(2,13,7.0,2.0)",
@@ -93,6 +95,7 @@ WORD_LISTS = ("(0,'Hello|,|world'),(1,'(|a|)|b'),(2,'中|文|x'),(3,'and|/|or'),
 )
 #: Whether two words of a line stand without a blank between them.
 TIGHT_SQL = """regexp_matches({b}, '^[.,;:!?)\\]}}%''"”’]') OR regexp_matches({a}, '[(\\[{{''"“‘/\\-]$') OR regexp_matches({a}, '[\\x{{2e80}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ac00}}-\\x{{d7af}}]$') OR regexp_matches({b}, '^[\\x{{2e80}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ac00}}-\\x{{d7af}}]')"""
+BUDGET = budget.Limits(per_minute=3, daily=900, anonymous=400, reserve=20)
 PER_MINUTE, PER_DAY, BYTES_PER_DAY = 6, 150, 2000.0
 
 
@@ -255,6 +258,16 @@ def _events(s, d):
     return table(s, d, "events").select(F.col("user_id").alias("subject"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.coalesce("value", F.lit(0.0)).alias("bytes")).withColumn("t", F.col("us") / 1e6)
 
 
+def budget_events(s, d):
+    """Events as turns that reserve their value of tokens; every third settles five seconds later, to thrice its
+    reservation's number or to an unknown use."""
+    e = _events(s, d).select(F.col("subject").cast("string").alias("subject"), F.col("event_id").alias("turn"), "t", (F.col("event_id") % 4 > 0).alias("known"), F.floor("bytes").cast("double").alias("tokens"))
+    used = F.when(F.col("turn") % 6 > 0, F.col("tokens") * 3)
+    ends = e.filter("turn % 3 = 0").select("subject", F.lit("settle").alias("kind"), "turn", F.col("t") + 5, "known", used)
+    turns = e.select("subject", F.lit("reserve").alias("kind"), "turn", "t", "known", "tokens").union(ends)
+    return budget.budget_verdicts(turns, BUDGET).select("subject", "kind", "turn", "verdict", "moved", "remaining")
+
+
 def quota_literal(s, d):
     return Q.verdicts(literal(s, d, *QUOTA_EVENTS), 3, 6, 100.0)
 
@@ -349,7 +362,8 @@ SELECT conv_id, turn, role FROM n JOIN s USING (conv_id) WHERE st IS NULL OR n <
     "recipe_validate": f"""WITH s AS (SELECT * FROM {literal_sql(*RECIPES)}), m AS (SELECT recipe_id, step_id, min(pos) AS made, min_by(tool, pos) AS maker FROM s GROUP BY 1, 2),
 e AS (SELECT s.recipe_id, s.pos, CASE WHEN made IS NULL THEN 'missing-step' WHEN made >= pos THEN 'forward-edge' WHEN maker NOT IN {recipes.CHAINABLE} THEN 'not-chainable' END AS error FROM s LEFT JOIN m ON m.recipe_id = s.recipe_id AND m.step_id = s.input_ref WHERE input_kind = 'step')
 SELECT recipe_id, pos, error FROM e WHERE error IS NOT NULL UNION ALL SELECT recipe_id, pos, 'unknown-tool' FROM s WHERE tool NOT IN {recipes.TOOLS}
-UNION ALL SELECT recipe_id, pos, 'duplicate-step' FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id, step_id ORDER BY pos) AS k FROM s) WHERE k > 1 UNION ALL SELECT recipe_id, pos, 'bad-input' FROM s WHERE input_kind NOT IN ('source', 'step')""",
+UNION ALL SELECT recipe_id, pos, 'duplicate-step' FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id, step_id ORDER BY pos) AS k FROM s) WHERE k > 1 UNION ALL SELECT recipe_id, pos, 'bad-input' FROM s WHERE input_kind NOT IN ('source', 'step')
+UNION ALL SELECT recipe_id, pos, 'too-many-steps' FROM (SELECT *, count(*) OVER (PARTITION BY recipe_id) AS n FROM s) WHERE n > {recipes.MAX_STEPS}""",
     "event_windows": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "quota_events")}
+QUERIES = {name: globals()[name] for name in (*SQL, "quota_events", "budget_events")}
