@@ -180,6 +180,19 @@ def dedupe_names(names: DataFrame) -> DataFrame:
     return folded(names.select("bundle", "pos", "name"), ["bundle"], ["pos"], ["name"], "entry string", _named)
 
 
+def flipped(pages: DataFrame, spec: DataFrame) -> DataFrame:
+    """``spec(doc_id, axis 'horizontal' or 'vertical', page_index)`` on ``pages``: which way each page is mirrored, and how
+    many of its document are. A null page means all; pages that don't exist are passed over."""
+    both = ("horizontal", "vertical")
+    flags = lambda name: [F.bool_or(F.col("axis") == axis).alias(f"{name}_{axis}") for axis in both]
+    all_ = spec.filter("page_index IS NULL").groupBy("doc_id").agg(*flags("all"))
+    some = spec.filter("page_index IS NOT NULL").groupBy("doc_id", "page_index").agg(*flags("some"))
+    joined = pages.select("doc_id", "page_index").join(some, ["doc_id", "page_index"], "left").join(all_, "doc_id", "left")
+    turned = [(F.coalesce(f"some_{a}", F.lit(False)) | F.coalesce(f"all_{a}", F.lit(False))).alias(a) for a in both]
+    out = joined.select("doc_id", "page_index", *turned)
+    return out.withColumn("flipped", F.count_if(F.col("horizontal") | F.col("vertical")).over(Window.partitionBy("doc_id")))
+
+
 def extract_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """The pages whose ``(doc_id, page_index)`` stands in ``wanted``, each once."""
     return pages.join(wanted, ["doc_id", "page_index"], "left_semi")

@@ -191,3 +191,11 @@ def test_glyphs_keep_the_width_and_skip_what_has_no_matrix(spark):
     assert {r["k"] for r in out} == {1, 6}
     assert math.isclose(sum(r["advance"] for r in out if r["k"] == 1), 80.0) and [round(r["advance"], 6) for r in out if r["k"] == 6] == [1.08, 1.08]
     assert [r["whitespace"] for r in out if r["k"] == 1] == [c == " " for c in "Wide i9 é"]
+
+
+def test_glyph_advances_and_recognised_texts_know_no_break_spaces(spark):
+    from leafspark.functions.names import ocr_text
+
+    row = spark.createDataFrame([("a b “x”…ﬁn 日­é\n z", " ")], "t string, c string")
+    got = row.select(ocr_text(F.col("t")).alias("t"), E.advance_weight(F.col("c")).alias("w")).first()
+    assert got["t"] == 'a b "x"...fin é z' and got["w"] == 0.28
