@@ -47,6 +47,6 @@ def test_stages(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}_" for k in range(1, 11)}
+    assert {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}_" for k in range(1, 14)}
     assert names["pipeline"] is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(names)
