@@ -199,3 +199,11 @@ def test_glyph_advances_and_recognised_texts_know_no_break_spaces(spark):
     row = spark.createDataFrame([("a b “x”…ﬁn 日­é\n z", " ")], "t string, c string")
     got = row.select(ocr_text(F.col("t")).alias("t"), E.advance_weight(F.col("c")).alias("w")).first()
     assert got["t"] == 'a b "x"...fin é z' and got["w"] == 0.28
+
+
+def test_words_of_pages_are_shuffled_once(spark):
+    """The texts, then the marks by page; rows and fragments keep that dealing."""
+    docs = spark.createDataFrame([(i, "some words of a text " * 30) for i in range(3)], "doc_id long, text string")
+    plan = R.fragments(R.rows(set_marks(docs)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
