@@ -207,3 +207,10 @@ def test_words_of_pages_are_shuffled_once(spark):
     plan = R.fragments(R.rows(set_marks(docs)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
 
+
+def test_words_meet_edits_without_their_lines(spark):
+    o = spark.createDataFrame([(1, 0, 0, "a", 0.0, 0.0, 5.0, 5.0, 5.0)], "doc_id long, page_index int, obj int, text string, x0 double, y0 double, x1 double, y1 double, font_size double")
+    e = spark.createDataFrame([(1, 0, 0, "a", "b", 0.0, 0.0, 5.0, 5.0)], "doc_id long, page_index int, edit int, find string, replace string, x0 double, y0 double, x1 double, y1 double")
+    found = E.edit_targets(o, e)
+    assert "posexplode(all#" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first().members == [0]
