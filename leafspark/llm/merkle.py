@@ -77,13 +77,15 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints alone."""
     leaves = lambda x: F.filter(F.split(F.substring_index(x, ":", -1), ","), lambda h: h != "")
-    x, y = leaves(a), leaves(b)
     # Up to here both sketches have all their texts' leaves; "g" is after any digit.
     upto = lambda s: F.when(F.size(s) >= SKETCH, F.array_max(s)).otherwise(F.lit("g"))
-    known = lambda s: F.size(F.filter(s, lambda h: h <= F.least(upto(x), upto(y))))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(
-        F.coalesce(F.try_divide(F.lit(2.0) * known(F.array_intersect(x, y)), known(x) + known(y)), F.lit(0.0))
-    )
+    known = lambda s, most: F.size(F.filter(s, lambda h: h <= most))
+    # Sketches and their limit go through arrays of one element, so that they are computed once and not for every hash.
+    held = F.array(F.struct(leaves(a).alias("x"), leaves(b).alias("y")))
+    held = F.transform(held, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), F.least(upto(s["x"]), upto(s["y"])).alias("most")))
+    shares = F.transform(held, lambda s: F.try_divide(
+        F.lit(2.0) * known(F.array_intersect(s["x"], s["y"]), s["most"]), known(s["x"], s["most"]) + known(s["y"], s["most"])))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(F.coalesce(F.get(shares, F.lit(0)), F.lit(0.0)))
 
 
 def edited_leaves(a: Column, b: Column) -> Column:

@@ -225,3 +225,12 @@ def test_empty_tables(none):
     assert repeats.repeat_spans(none).count() == 0
     assert merkle.compare_edits(none).count() == 0
     assert mixing.selections(none, {}, share=0.5).count() == 0
+
+
+def test_likeness_reads_a_sketch_once(spark):
+    """Not once for every hash of it."""
+    shown = str(merkle.likeness(F.col("a"), F.col("b")))
+    assert "array_max(filter(" not in shown
+    rows = [("r:" + ",".join(x), "s:" + ",".join(y)) for x, y in (("ab", "bc"), ("", ""), ("abc", "abc"), ("a", ""))]
+    found = spark.createDataFrame(rows, "a string, b string").select(merkle.likeness(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in found.collect()] == [0.5, 0.0, 1.0, 0.0]
