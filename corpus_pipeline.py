@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import byte_bpe, exact_dedup, mixing, near_copies, quality
+from leafspark.llm import byte_bpe, exact_dedup, mixing, quality, simhash
 from leafspark.llm.common import staged, table
 
 #: The mixture's part of what the stages before it kept.
@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents that share most of their five-word shingles."""
-    return near_copies.near_dedup(docs)
+    """Keeps the least id of each group of documents whose SimHashes link at three bits or fewer."""
+    return simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

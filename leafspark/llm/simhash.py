@@ -151,9 +151,10 @@ def _meeting_links(crowded: DataFrame) -> DataFrame:
     return spots.withColumn("host", host).filter("host <> fp").select(F.col("host").alias("a"), F.col("fp").alias("b"))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    marked = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+def _labelled(docs: DataFrame, id_col: str, text_col: str, crowd: int, *more: Column) -> DataFrame:
+    """Each row's doc_id, fp and ``more``, and its group's component_id."""
+    short_batches(docs.sparkSession)
+    marked = staged(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp"), *more), "fingerprints")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     labels = components(near_links(marked.select("fp").distinct(), crowd))
     linked = reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -161,11 +162,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     names = linked.join(least, "component").select("fp", "component_id")
-    return marked.join(names, "fp").select(
+    return marked.join(names, "fp")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    return _labelled(docs, id_col, text_col, crowd).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
+    """The rows of least id of each component, with all their columns. A row goes by its id and text together,
+    so a repeated id loses only the rows whose text is a copy; rows without id stay."""
+    mark = lambda: F.xxhash64(text_col).alias("mark")
+    gone = _labelled(docs, id_col, text_col, crowd, mark()).filter("doc_id <> component_id").select("doc_id", "mark")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), mark())
+    return whole.join(gone, ["doc_id", "mark"], "left_anti").select("row.*")
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 

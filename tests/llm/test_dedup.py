@@ -234,3 +234,18 @@ def test_likeness_reads_a_sketch_once(spark):
     rows = [("r:" + ",".join(x), "s:" + ",".join(y)) for x, y in (("ab", "bc"), ("", ""), ("abc", "abc"), ("a", ""))]
     found = spark.createDataFrame(rows, "a string, b string").select(merkle.likeness(F.col("a"), F.col("b")).alias("x"))
     assert [r.x for r in found.collect()] == [0.5, 0.0, 1.0, 0.0]
+
+
+def test_near_dedup_by_fingerprints(spark):
+    rows = [(1, "a b c d"), (2, "A b c d"), (2, "other words are here"), (None, "a b c d"), (4, None)]
+    found = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(found.collect(), key=str) == sorted([r for r in rows if r != (2, "A b c d")], key=str)
+
+
+def test_pipeline_drops_near_copies_by_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    called = []
+    monkeypatch.setattr(simhash, "near_dedup", lambda docs: called.append(docs) or docs)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, docs, "") is docs and called == [docs]
