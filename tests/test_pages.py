@@ -39,6 +39,14 @@ def brute_rows(marks):
     return [sorted(r["marks"]) for r in out]
 
 
+def test_level_lines_of_one_row_have_equal_base_lines(spark):
+    """A line of two text objects, the second of eleven words, whose mean of means is next to the mean."""
+    offsets = [0.5, 0.5, 1, 0.25, 1, 0.75, 0, 0.25, 0.5, 1, 0.75]
+    words = [(0, 72, 0.5), (1, 276, 0.0), (1, 296, 0.0), *((2, 316 + 20 * k, d) for k, d in enumerate(offsets))]
+    lines = R.page_lines(spark.createDataFrame([mark(1, n, item, "abc", x, 287.5 + d) for n, (item, x, d) in enumerate(words)], MARKS))
+    assert sorted((r.a0, r.n_words, r.baseline) for r in lines.collect()) == [(72.0, 1, 295.5), (276.0, 13, 295.5)]
+
+
 def test_rows_same_as_brute_force(spark):
     rng = random.Random(3)
     pages = [[mark(d, n, rng.randrange(9), "w" * rng.randrange(1, 9), rng.randrange(0, 500), rng.choice([0, 3, 7, 11, 16, 30]) * 4 + rng.random() * 3, rng.choice([6.0, 10.0, 18.0])) for n in range(40)] for d in range(12)]
