@@ -27,7 +27,6 @@ from __future__ import annotations
 import os
 import string
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -51,7 +50,9 @@ LOW = np.uint64(1 << 31)
 #: Distinct words a worker remembers the ids of.
 MEMO = 600_000
 #: Marks of ASCII but the apostrophe, which may begin a contraction.
-MARKS = string.punctuation.replace("'", "").encode()
+MARKS = string.punctuation.replace("'", "")
+#: Letters whose lower case and normal form are letters by any Unicode version.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u0481\u048a-\u0527]+$"
 #: Bytes of text that are cut into words at once.
 TEXT_BYTES = 2 << 20
 _HEAD = struct.Struct("<4s6I")
@@ -181,12 +182,21 @@ def decode_blocks(blocks: list[bytes], coder: Coder, slots: np.ndarray) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
-def _all_letters(word: bytes) -> bool:
-    """Whether the word is of letters, as the tokenizer normalises it, that every Unicode version knows."""
-    if word.isascii():
-        return word.isalpha()
-    text = unicodedata.normalize("NFC", word.decode("utf-8", "surrogatepass")).lower()
-    return text.isalpha() and max(text) < "\u0530"
+def _parted(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words as the tokenizer takes them, and the closing marks that it parts from the letters before them. It makes
+    lower case, but in special tokens. Only letters that every Unicode version knows are parted from marks."""
+    plain = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<|"))
+    words = pc.if_else(plain, pc.ascii_lower(words), words)
+    heads = pc.ascii_rtrim(words, characters=MARKS)
+    size = pc.binary_length(heads).to_numpy(zero_copy_only=False)
+    marks = pc.binary_length(words).to_numpy(zero_copy_only=False) - size
+    marks[~pc.match_substring_regex(heads, LETTERS).to_numpy(zero_copy_only=False)] = 0
+    # The array is fresh, so its buffers begin with its first word.
+    raw, at = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(words.buffers()[1], dtype=np.int32)[1 : len(words) + 1] - marks
+    upto = np.cumsum(marks)
+    tails = raw[np.repeat(at - (upto - marks), marks) + np.arange(int(marks.sum()))]
+    tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(np.append(0, upto).astype(np.int32)), pa.py_buffer(tails)])
+    return pc.if_else(pa.array(marks > 0), heads, words), tails
 
 
 class _Words:
@@ -250,16 +260,7 @@ class _Words:
         number = self.number
         new = [w for w in words if w not in number]
         if new:
-            # The tokenizer makes lower case, but in special tokens, and parts closing marks from the letters before them.
-            plain = [w.lower() if w.isascii() and b"<|" not in w else w for w in new]
-            wanted = set(plain).difference(number)
-            heads = {w: head for w in wanted if 0 < len(head := w.rstrip(MARKS)) < len(w) and _all_letters(head)}
-            marked = [*heads]
-            parts = [part for w, head in heads.items() for part in (head, w[len(head) :])]
-            self._encode([*wanted.difference(heads).union(parts).difference(number)])
-            ids, n = self.ids(np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts)))
-            self._put(marked, ids, n.reshape(-1, 2).sum(axis=1))
-            number.update(zip(new, map(number.__getitem__, plain), strict=True))
+            self._encode(new)
         return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
@@ -273,8 +274,15 @@ def encode_texts(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, n
     known = _WORDS[path]
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
-    number = known.numbers(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
-    ids, n = known.ids(number[coded.indices.to_numpy(zero_copy_only=False)])
+    heads, tails = _parted(coded.dictionary)
+    parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+    number = known.numbers(parts.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+    # A word's ids are those of its two parts.
+    flat, n = known.ids(number[parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()])
+    size = n.reshape(-1, 2).sum(axis=1)
+    start, word = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
+    n = size[word]
+    ids = flat[np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     upto = np.concatenate([[0], np.cumsum(n)])
     per_doc = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     length = np.diff(upto[per_doc])

@@ -145,6 +145,17 @@ def test_words_one_by_one_are_the_librarys():
     assert ids.tolist() == [i for w in wanted for i in w]
 
 
+def test_marked_and_capital_words_are_known_by_their_parts():
+    """A worker keeps a word once, however it is marked, and the ids are the library's."""
+    texts = ["Word. word, WORD!", "é. İ. ſ! don't. <|endoftext|>. Жук?", "", None]
+    token_files._WORDS.clear()
+    ids, n = token_files.encode_texts(WORDS, pa.array(texts), 2)
+    wanted = [[*Tokenizer.from_file(WORDS).encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [*map(len, wanted)]
+    assert ids.tolist() == sum(wanted, [])
+    assert not {b"Word.", b"word,", b"word!", "Жук?".encode()} & set(token_files._WORDS[WORDS].number)
+
+
 def test_blocks_and_checkpoints():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, size=token_files.BLOCK * 2 + 777) - 1, 5000).astype(np.int64)
