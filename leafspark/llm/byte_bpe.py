@@ -291,7 +291,7 @@ def _asked(buckets: int):
 
 def _pack(ranks: RankMap, schema: pa.Schema):
     """A bucket's words to rows of some hundred distinct ones as the fold begins with them, and, for each
-    block that has them, the word's number, block and place."""
+    block that has them, the word's number, block and place, compressed."""
     starts = _starts(ranks, schema.field("words").type.value_type)
 
     def packed(rows: list) -> Iterator[pa.RecordBatch]:
@@ -303,14 +303,14 @@ def _pack(ranks: RankMap, schema: pa.Schema):
         coded = words.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(which, kind="stable")
-        which, place = which[order].astype("<i4"), np.concatenate(places)[order].astype("<i4")
-        block = np.repeat([b.as_py() for b in block], [*map(len, places)])[order].astype("<i8")
+        which, place = which[order], np.concatenate(places)[order]
+        block = np.repeat([b.as_py() for b in block], [*map(len, places)])[order]
         for at in range(0, len(coded.dictionary), CHUNK):
             part = coded.dictionary.slice(at, CHUNK)
             own = slice(*np.searchsorted(which, [at, at + len(part)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), starts(part), type=schema.field(0).type), pa.array([(which[own] - at).tobytes()], pa.binary()),
-                 pa.array([block[own].tobytes()], pa.binary()), pa.array([place[own].tobytes()], pa.binary())], schema=schema
+                [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), starts(part), type=schema.field(0).type), pa.array([_places(which[own] - at)], pa.binary()),
+                 pa.array([_planes(np.concatenate([block[own] >> 32, block[own] & 0xFFFFFFFF]))], pa.binary()), pa.array([_planes(place[own])], pa.binary())], schema=schema
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,9 +340,11 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Less the pads around each word.
         start, size = np.cumsum(padded) - padded + 1, padded - 2
         per_row = lists.value_lengths().to_numpy(zero_copy_only=False)
-        whole = lambda k, kind: [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
-        which = np.concatenate([x.astype(np.int64) + b for x, b in zip(whole(1, "<i4"), np.cumsum(per_row) - per_row, strict=True)])
-        block, place = np.concatenate(whole(2, "<i8")), np.concatenate(whole(3, "<i4"))
+        whole = lambda k: [_numbers(x.as_py()).astype(np.int64) for x in batch.column(k)]
+        which = np.concatenate([np.cumsum(x) + b for x, b in zip(whole(1), np.cumsum(per_row) - per_row, strict=True)])
+        # Of block numbers the upper halves stand before the lower ones.
+        high, low = np.concatenate([x.reshape(2, -1) for x in whole(2)], axis=1)
+        block, place = high << 32 | low, np.concatenate(whole(3))
         order = np.lexsort((place, block))
         which, block, place = which[order], block[order], place[order]
         head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))

@@ -120,6 +120,32 @@ def test_rank_map_has_every_pair(spark):
     assert all(x >= byte_bpe.NEVER for x in got[len(pairs) :])
 
 
+def test_words_of_many_blocks_are_asked_for_in_few_bytes(spark):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ranks = byte_bpe.RankMap(byte_bpe.load_ranks(RANKS))
+    words = [f"w{i}".encode() for i in range(600)]
+    text, sizes = b"".join(words), np.array([*map(len, words)])
+    numbers = [3 << 32 | k for k in range(40)]
+    asked = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 40, pa.int64()), pa.array(numbers, pa.int64()), pa.array([byte_bpe._places(np.arange(600))] * 40, pa.binary()),
+         pa.array([byte_bpe._planes(sizes)] * 40, pa.binary()), pa.array([byte_bpe.zstandard.compress(text)] * 40, pa.binary())], ["bucket", "block", "places", "sizes", "data"]
+    )
+    packed = StructType.fromDDL("words array<struct<t: array<bigint>, r: array<bigint>>>, which binary, blocks binary, places binary")
+    rows = [*byte_bpe._pack(ranks, to_arrow_schema(packed))([asked])]
+    assert sum(len(x.as_py()) for b in rows for c in b.columns[1:] for x in c) < 4 * 600 * 40
+    # Each word's state as it began: its bytes' ids between two pads.
+    folded = [pa.RecordBatch.from_arrays([pa.array([[w["t"] for w in r] for r in b.column(0).to_pylist()], pa.list_(pa.list_(pa.int32()))), *b.columns[1:]], ["tokens", "which", "blocks", "places"]) for b in rows]
+    got = {}
+    for batch in byte_bpe._replies(iter(folded)):
+        for block, places, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends, tokens = np.cumsum(byte_bpe._numbers(n)), byte_bpe._numbers(tokens)
+            for place, part in zip(np.cumsum(byte_bpe._numbers(places)), np.split(tokens, ends[:-1]), strict=True):
+                got[block, int(place)] = part.tolist()
+    assert got == {(b, k): ranks.bytes_[[*w]].tolist() for b in numbers for k, w in enumerate(words)}
+
+
 def test_token_files_round_trip(spark, docs):
     tokenizer = Tokenizer.from_file(WORDS)
     path = common.new_path(spark, "test-files")
