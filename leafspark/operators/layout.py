@@ -158,22 +158,28 @@ def cleaned_runs(runs: DataFrame, longest: int = 120) -> DataFrame:
 def suggest_bookmarks(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """A heading of each page, or, in documents without any, each page's first line; lines that repeat
     on half of the pages and page numbers don't count, and repeats in a row are one.
-    ``runs(doc_id, page_index, text, font_size, x, y, bold)``, ``pages(doc_id, page_index)``."""
-    runs = cleaned_runs(runs)
-    body = modal_size(runs).select("doc_id", "body_size")
-    with_text = runs.groupBy("doc_id").agg(F.count_distinct("page_index").alias("with_text"))
-    keys = runs.groupBy("doc_id", "key").agg(F.count_distinct("page_index").alias("on"), F.max("font_size").alias("largest"))
-    keys = keys.join(body, "doc_id").join(with_text, "doc_id")
-    repeated = keys.filter("on >= greatest(3, ceil(with_text * 0.5)) AND largest <= body_size * 1.2 + 0.01").select("doc_id", "key")
-    rest = runs.filter(~is_page_number(F.col("text"), ranges=True)).join(repeated, ["doc_id", "key"], "left_anti").join(body, "doc_id")
-    page = Window.partitionBy(*PAGE)
-    heads = rest.filter("font_size >= body_size * 1.15 - 0.01 OR (bold AND font_size >= body_size - 0.01)")
-    heads = heads.withColumn("_r", F.row_number().over(page.orderBy(F.col("font_size").desc(), "y", "x"))).filter("_r = 1").select(*PAGE, F.col("text").alias("title"))
-    first = rest.withColumn("_r", F.row_number().over(page.orderBy("y", "x"))).filter("_r = 1").select(*PAGE, F.col("text").alias("title"))
-    plain = pages.join(heads.select("doc_id").distinct(), "doc_id", "left_anti").join(first, PAGE, "left")
-    plain = plain.select(*PAGE, F.coalesce("title", F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string"))).alias("title"))
-    picks = heads.union(plain)
-    before = F.lag(F.lower("title")).over(Window.partitionBy("doc_id").orderBy("page_index"))
+    ``runs(doc_id, page_index, text, font_size, x, y, bold)``, ``pages(doc_id, page_index)``. Both are dealt by
+    document once; the rest is windows within it."""
+    runs = cleaned_runs(runs).filter("doc_id IS NOT NULL").select(*PAGE, "text", "key", "font_size", "x", "y", "bold", F.lit(True).alias("is_run"))
+    r = runs.unionByName(pages.select(*PAGE, F.lit(False).alias("is_run")), allowMissingColumns=True).repartition("doc_id")
+    doc, page, line = Window.partitionBy("doc_id"), Window.partitionBy(*PAGE), Window.partitionBy("doc_id", "key")
+    new = lambda w: (F.col("is_run") & (F.row_number().over(w) == 1)).cast("int")
+    r = r.withColumn("new_line", new(Window.partitionBy("doc_id", "key", "page_index").orderBy("y"))).withColumn("new_page", new(page.orderBy(F.desc("is_run"))))
+    r = r.withColumn("half", F.when(F.col("is_run"), F.floor(F.col("font_size") * 2 + 0.5) / 2)).withColumn("n", F.count("half").over(Window.partitionBy("doc_id", "half")))
+    # The commonest size; of equally common ones the smaller.
+    r = r.withColumn("body_size", F.max_by("half", F.when(F.col("is_run"), F.struct("n", -F.col("half")))).over(doc)).withColumn("with_text", F.sum("new_page").over(doc))
+    r = r.withColumn("on", F.sum("new_line").over(line)).withColumn("largest", F.max("font_size").over(line))
+    repeated = F.expr("on >= greatest(3, ceil(with_text * 0.5)) AND largest <= body_size * 1.2 + 0.01")
+    large = F.expr("font_size >= body_size * 1.15 - 0.01 OR (bold AND font_size >= body_size - 0.01)")
+    r = r.withColumn("kept", F.col("is_run") & ~is_page_number(F.col("text"), ranges=True) & ~repeated).drop("key", "half", "n", "with_text", "on", "largest", "new_line", "new_page")
+    r = r.withColumn("head", F.col("kept") & F.coalesce(large, F.lit(False)))
+    first = F.row_number().over(page.orderBy(F.desc("kept"), "y", "x"))
+    best = F.row_number().over(page.orderBy(F.desc("head"), F.desc("font_size"), "y", "x"))
+    r = r.withColumn("first", first).withColumn("best", best).withColumn("title", F.max(F.when(F.col("kept") & (F.col("first") == 1), F.col("text"))).over(page))
+    r = r.withColumn("has_heads", F.max(F.coalesce("head", F.lit(False))).over(doc))
+    plain = F.coalesce("title", F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string")))
+    picks = r.filter("(head AND best = 1) OR (NOT is_run AND NOT has_heads)").select(*PAGE, F.when(F.col("is_run"), F.col("text")).otherwise(plain).alias("title"))
+    before = F.lag(F.lower("title")).over(doc.orderBy("page_index"))
     return picks.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.lower("title"))).drop("_b")
 
 

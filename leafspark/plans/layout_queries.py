@@ -114,7 +114,8 @@ def suggested_bookmarks(s, d):
 def first_line_bookmarks(s, d):
     """Every page's first line, of documents as runs of one size."""
     runs = doc_runs(table(s, d, "documents")).withColumn("bold", F.lit(False))
-    return L.suggest_bookmarks(runs, doc_pages(table(s, d, "documents")).select("doc_id", "page_index"))
+    # A page begins with a line.
+    return L.suggest_bookmarks(runs, runs.filter("run_no = 0").select("doc_id", "page_index"))
 
 
 def repeated_furniture(s, d):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafspark.operators import edits as E
+from leafspark.operators import layout as L
 from leafspark.operators import page_blocks as B
 from leafspark.operators import page_rows as R
 from leafspark.operators.folds import folded
@@ -47,6 +48,17 @@ def test_level_lines_of_one_row_have_equal_base_lines(spark):
     assert sorted((r.a0, r.n_words, r.baseline) for r in lines.collect()) == [(72.0, 1, 295.5), (276.0, 13, 295.5)]
 
 
+def test_bookmarks_are_found_in_one_dealing_by_document(spark):
+    lines = [(1, 0, "Large", 14.0, 9.0), (1, 0, "small", 10.0, 1.0), (1, 0, "small too", 10.0, 2.0), (1, 1, "not large", 10.0, 1.0), (None, 0, "lost", 10.0, 1.0)]
+    lines += [(2, k, t, 10.0, y) for k in range(4) for t, y in (("Running head", 1.0), (f"page {k + 1}", 2.0), (f"first {k // 2}", 3.0), ("later", 4.0 + k))]
+    runs = spark.createDataFrame([(d, k, t, size, 0.0, y, False) for d, k, t, size, y in lines], "doc_id long, page_index int, text string, font_size double, x double, y double, bold boolean")
+    pages = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4), (3, 0), (None, 0)], "doc_id long, page_index int")
+    found = L.suggest_bookmarks(runs, pages)
+    assert {tuple(r) for r in found.collect()} == {(1, 0, "Large"), (2, 0, "first 0"), (2, 2, "first 1"), (2, 4, "Page 5"), (3, 0, "Page 1"), (None, 0, "Page 1")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("== Initial Plan ==")].count("Exchange") == 1
+
+
 def test_rows_same_as_brute_force(spark):
     rng = random.Random(3)
     pages = [[mark(d, n, rng.randrange(9), "w" * rng.randrange(1, 9), rng.randrange(0, 500), rng.choice([0, 3, 7, 11, 16, 30]) * 4 + rng.random() * 3, rng.choice([6.0, 10.0, 18.0])) for n in range(40)] for d in range(12)]
