@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from leafspark.operators import layout as L
 from leafspark.operators import page_blocks as B
 from leafspark.operators import page_rows as R
 from leafspark.operators.folds import folded
-from leafspark.sources.typeset import set_marks
+from leafspark.plans import structure_queries as S
+from leafspark.sources.typeset import set_marks, set_pages
+from tests.conftest import SF_DIR
 
 MARKS = "doc_id long, page_index int, mark int, item int, text string, x double, y double, width double, height double, bx double, by double, rotation double, font_size double, family string, bold boolean, italic boolean"
 
@@ -234,3 +237,39 @@ def test_words_meet_edits_without_their_lines(spark):
     found = E.edit_targets(o, e)
     assert "posexplode(all#" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.first().members == [0]
+
+
+def dealings(frame):
+    """The exchanges of a plan without those of its parts that are read again."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [x.split(", [plan_id")[0].strip() for x in plan.splitlines() if "Exchange" in x]
+
+
+def by_document(dealt):
+    return re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\), REPARTITION_BY_NUM$", dealt)
+
+
+def test_pages_of_texts_shuffle_no_words(spark):
+    """The texts are dealt by document, and nothing of fragments and columns is dealt again or written."""
+    for query in (S.page_fragments, S.page_gutters, S.fragment_columns):
+        found = dealings(query(spark, SF_DIR))
+        assert len(found) == 1 and by_document(found[0])
+
+
+def test_cells_meet_fragments_as_texts_are_dealt(spark):
+    """The texts, and the few rows of tables."""
+    found = dealings(S.table_cells(spark, SF_DIR))
+    assert len(found) == 2 and all(map(by_document, found))
+
+
+def test_gathered_marks_have_the_lines_of_marks_as_rows(spark):
+    texts = [(1, "a heading of four " + "words . . . . of it " * 200), (5, "One two " * 90), (15, "cells 12 of a table " * 150), (20, "x" * 9000 + " y " + "z" * 90), (30, None), (31, " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    both = [R.page_lines(m).drop("line") for m in (set_pages(docs), set_marks(docs).repartition(3))]
+    rows, again = (sorted(map(str, x.collect())) for x in both)
+    assert rows == again and any("table=0" in r for r in rows)
+
+
+def test_gaps_are_from_the_last_ink(spark):
+    parts = R.fragments(R.rows(spark.createDataFrame([mark(1, 0, 0, "a", 0, 80), mark(1, 1, 0, " ", 6, 80), mark(1, 2, 0, "b", 20, 80), mark(1, 3, 1, "c", 26, 80)], MARKS)))
+    assert sorted((r["fragment"], r["a0"], len(r["marks"])) for r in parts.collect()) == [(0, 0.0, 1), (1, 20.0, 1), (2, 26.0, 1)]
