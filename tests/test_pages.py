@@ -12,6 +12,7 @@ from leafspark.operators import layout as L
 from leafspark.operators import page_blocks as B
 from leafspark.operators import page_rows as R
 from leafspark.operators.folds import folded
+from leafspark.plans import edit_queries as Q
 from leafspark.plans import structure_queries as S
 from leafspark.sources.typeset import set_marks, set_pages
 from tests.conftest import SF_DIR
@@ -262,6 +263,10 @@ def test_cells_meet_fragments_as_texts_are_dealt(spark):
     assert len(found) == 2 and all(map(by_document, found))
 
 
+def test_edits_meet_words_as_texts_are_dealt(spark):
+    assert all(map(by_document, dealings(Q.edit_targets(spark, SF_DIR))))
+
+
 def test_gathered_marks_have_the_lines_of_marks_as_rows(spark):
     texts = [(1, "a heading of four " + "words . . . . of it " * 200), (5, "One two " * 90), (15, "cells 12 of a table " * 150), (20, "x" * 9000 + " y " + "z" * 90), (30, None), (31, " ")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
