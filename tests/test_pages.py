@@ -257,10 +257,11 @@ def test_pages_of_texts_shuffle_no_words(spark):
         assert len(found) == 1 and by_document(found[0])
 
 
-def test_cells_meet_fragments_as_texts_are_dealt(spark):
-    """The texts, and the few rows of tables."""
-    found = dealings(S.table_cells(spark, SF_DIR))
-    assert len(found) == 2 and all(map(by_document, found))
+def test_cells_and_lines_meet_fragments_as_texts_are_dealt(spark):
+    """The texts, which lines read twice, and the few rows of tables."""
+    for query in (S.table_cells, S.structured_lines):
+        found = dealings(query(spark, SF_DIR))
+        assert len(found) <= 3 and all(map(by_document, found))
 
 
 def test_edits_meet_words_as_texts_are_dealt(spark):
